@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.columns import bucket_start, ratio_or, sol, wide
 from flowlens.operators.lookups import lookup_join, top_per_key
+from flowlens.session import materialize
 
 _SUMS = ("buys", "sells", "buy_lamports", "sell_lamports")
-_PANE = (*_SUMS, "first_time")
 
 
 def wallet_panes(swaps: DataFrame, pane: int, volume: str = "quote_amount") -> DataFrame:
@@ -35,6 +35,17 @@ def wallet_panes(swaps: DataFrame, pane: int, volume: str = "quote_amount") -> D
     )
 
 
+def pane_table(swaps: DataFrame, pane: int, volume: str = "quote_amount") -> DataFrame:
+    """``wallet_panes`` written once to the shared folder.
+
+    The statistics of a window read the panes several times (totals, ranking, first-seen, each
+    window length). Column pruning and inferred filters differ between those uses, so Spark would
+    not share one exchange and would scan the trades anew for each. The table is the reduced state
+    that all of them start from.
+    """
+    return materialize(wallet_panes(swaps, pane, volume))[0]
+
+
 def wallet_windows(panes: DataFrame, pane: int, length: int) -> DataFrame:
     """Panes regrouped into windows of ``length`` that end at every pane end with ``win_end``."""
     if length == pane:
@@ -167,20 +178,14 @@ def wallet_first_seen(swaps: DataFrame) -> DataFrame:
 
 
 def first_seen_of_panes(panes: DataFrame) -> DataFrame:
-    """First trade of each wallet out of panes; the struct keeps all pane columns in use so that
-    the panes' exchange is shared (see ``top_wallets``)."""
-    first = F.min(F.struct("first_time", *_SUMS))["first_time"]
-    return panes.groupBy("user_wallet").agg(first.alias("first_seen"))
+    """First trade of each wallet out of panes."""
+    return panes.groupBy("user_wallet").agg(F.min("first_time").alias("first_seen"))
 
 
 def top_wallets(windows: DataFrame, n: int, basis: str = "both") -> DataFrame:
-    """The ``n`` wallets of largest volume per (mint, window); ties by wallet.
-
-    Wallets are unique, so the sort keys after the wallet change nothing in the order. They keep
-    all pane columns in use, which lets this branch read the same exchange as the totals.
-    """
+    """The ``n`` wallets of largest volume per (mint, window); ties by wallet."""
     ranked = windows.withColumn("volume_lamports", _volume(basis))
-    order = [F.desc("volume_lamports"), F.asc("user_wallet"), *[F.asc(c) for c in _PANE]]
+    order = [F.desc("volume_lamports"), F.asc("user_wallet")]
     return top_per_key(ranked, ["mint", "win_end"], order, n)
 
 
@@ -199,9 +204,8 @@ def token_stats(
     One row per (mint, win_end). ``first_seen`` has one row per wallet; by default it is the first
     trade in ``swaps``.
     """
-    return stats_of_panes(
-        wallet_panes(swaps, pane, volume), pane, length, basis, first_seen, top_share, top_new
-    )
+    panes = pane_table(swaps, pane, volume)
+    return stats_of_panes(panes, pane, length, basis, first_seen, top_share, top_new)
 
 
 def stats_of_panes(

@@ -14,7 +14,7 @@ from flowlens.operators.lookups import lookup_join
 from flowlens.operators.rules import first_match, mcap_gate
 from flowlens.operators.scoring import factors, linked_buyers, scored
 from flowlens.operators.state import cooled_down
-from flowlens.operators.stats import stats_of_panes, two_windows, wallet_panes
+from flowlens.operators.stats import pane_table, stats_of_panes, two_windows
 from flowlens.operators.toplists import dominant_venue, top_buyers, vwap_recent
 from flowlens.sources.rules import Rule
 
@@ -23,7 +23,7 @@ def stats_pair(
     swaps: DataFrame, short: int, long: int, volume: str = "quote_amount", basis: str = "both"
 ) -> DataFrame:
     """Rule statistics of the short and the long window at every short-window end."""
-    panes = wallet_panes(swaps, short, volume)
+    panes = pane_table(swaps, short, volume)
     return two_windows(
         stats_of_panes(panes, short, short, basis), stats_of_panes(panes, short, long, basis)
     )

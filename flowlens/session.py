@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def build_session(app: str = "flowlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,6 +53,7 @@ def materialize(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]
     spark = df.sparkSession
     path = path or shared_dir(spark)
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -60,3 +62,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Remove all tables this process has written to the shared folder."""
+    for path in list(_WRITTEN):
+        drop_path(spark, path)

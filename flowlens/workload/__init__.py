@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_stats",)
+_MODULES = ("q_stats", "q_tx")
 
 
 def load():

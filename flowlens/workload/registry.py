@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
                 spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(spark, folder)
 
-        run.__doc__ = fn.__doc__
+        run.__doc__, run.__module__ = fn.__doc__, fn.__module__
         QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
