@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.constants import LAMPORTS_PER_SOL
@@ -16,6 +16,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    Spark pushes filters through projections by repeating the projected expressions, which makes
+    long row-local expressions run several times. A generator of one row stops that; it needs no
+    shuffle and works on streams.
+    """
+    row = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return df.select(*df.columns, F.inline_outer(row).alias(*columns))
+
+
 def sol(lamports: Column) -> Column:
     """Whole lamports as SOL."""
     return lamports.cast("double") / F.lit(float(LAMPORTS_PER_SOL))

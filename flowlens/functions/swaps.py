@@ -50,13 +50,15 @@ def _leg(mint: Column, amount: Column) -> Column:
 
 def _amount_of(sols: Column, user: Column) -> Column:
     hit = F.filter(sols, lambda s: s["account"] == user)
-    return F.when(F.size(hit) > 0, F.element_at(hit, 1)["delta"])
+    return F.try_element_at(hit, F.lit(1))["delta"]
 
 
 def _trades_of(user: Column, tokens: Column, merged: Column, raw: Column, payer: Column) -> Column:
     """Zero, one or two trades (buy, sell) that ``user`` may have made."""
 
-    def from_own(own: Column) -> Column:
+    def trades(me: Column) -> Column:
+        own, net = me["own"], me["net"]
+
         def legs(sign: int, quote: bool) -> Column:
             picked = F.filter(
                 own,
@@ -66,52 +68,47 @@ def _trades_of(user: Column, tokens: Column, merged: Column, raw: Column, payer:
             return F.transform(picked, lambda t: _leg(t["mint"], t["delta"]))
 
         def quote_legs(sign: int) -> Column:
-            net = F.coalesce(_amount_of(merged, user), F.lit(0).cast(AMOUNT))
-            sol_leg = F.filter(
-                F.array(_leg(F.lit(WSOL), net)),
-                lambda _: (net > 0 if sign > 0 else net < 0),
-            )
-            return F.concat(sol_leg, legs(sign, quote=True))
+            tokens_paid = legs(sign, quote=True)
+            sol_paid = net > 0 if sign > 0 else net < 0
+            return F.when(
+                sol_paid, F.concat(F.array(_leg(F.lit(WSOL), net)), tokens_paid)
+            ).otherwise(tokens_paid)
 
         def trade(side: str, sign: int) -> Column:
             both = F.struct(
                 legs(sign, quote=False).alias("base"), quote_legs(-sign).alias("quote")
             )
-            return let(
-                both,
-                lambda b: F.when(
-                    (F.size(b["base"]) > 0) & (F.size(b["quote"]) > 0),
-                    let(
-                        F.struct(
-                            F.array_min(b["base"]).alias("base"),
-                            F.array_min(b["quote"]).alias("quote"),
-                        ),
-                        lambda best: F.struct(
-                            (
-                                -confidence_tenths(
-                                    F.size(b["base"]),
-                                    F.size(b["quote"]),
-                                    _amount_of(raw, user),
-                                    F.size(own),
-                                )
-                            ).alias("minus_tenths"),
-                            F.when(user == payer, F.lit(0)).otherwise(F.lit(1)).alias("not_payer"),
-                            F.lit(0 if side == "buy" else 1).alias("side_rank"),
-                            user.alias("user_wallet"),
-                            F.lit(side).alias("side"),
-                            best["base"]["mint"].alias("base_mint"),
-                            best["base"]["amount"].alias("base_amount"),
-                            best["quote"]["mint"].alias("quote_mint"),
-                            best["quote"]["amount"].alias("quote_amount"),
-                        ),
-                    ),
+            return let(both, lambda b: one_trade(side, b))
+
+        def one_trade(side: str, b: Column) -> Column:
+            best = F.struct(
+                F.array_min(b["base"]).alias("base"), F.array_min(b["quote"]).alias("quote")
+            )
+            tenths = confidence_tenths(F.size(b["base"]), F.size(b["quote"]), me["raw"], F.size(own))
+            found = let(
+                best,
+                lambda x: F.struct(
+                    (-tenths).alias("minus_tenths"),
+                    F.when(user == payer, F.lit(0)).otherwise(F.lit(1)).alias("not_payer"),
+                    F.lit(0 if side == "buy" else 1).alias("side_rank"),
+                    user.alias("user_wallet"),
+                    F.lit(side).alias("side"),
+                    x["base"]["mint"].alias("base_mint"),
+                    x["base"]["amount"].alias("base_amount"),
+                    x["quote"]["mint"].alias("quote_mint"),
+                    x["quote"]["amount"].alias("quote_amount"),
                 ),
             )
+            return F.when((F.size(b["base"]) > 0) & (F.size(b["quote"]) > 0), found)
 
         return F.array_compact(F.array(trade("buy", 1), trade("sell", -1)))
 
-    own = F.filter(tokens, lambda t: (t["owner"] == user) & (t["mint"] != WSOL))
-    return let(own, from_own)
+    me = F.struct(
+        F.filter(tokens, lambda t: (t["owner"] == user) & (t["mint"] != WSOL)).alias("own"),
+        F.coalesce(_amount_of(merged, user), F.lit(0).cast(AMOUNT)).alias("net"),
+        _amount_of(raw, user).alias("raw"),
+    )
+    return let(me, trades)
 
 
 def trade_candidates(

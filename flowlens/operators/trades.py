@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowlens.constants import CONFIDENCE_CUT, PROGRAMS, WSOL
 from flowlens.functions import balances as B
 from flowlens.functions import swaps as S
+from flowlens.functions.columns import bind
 from flowlens.operators.lookups import lookup_join
 
 
@@ -48,28 +49,35 @@ def normalized(tx: DataFrame, now: int | None = None, message_id: str | None = N
 
 def delta_records(tx: DataFrame, on_duplicate: str = "sum", nested: bool = False) -> DataFrame:
     """Balance changes of every transaction, also of those without a trade."""
-    changes = tx.select(
+    changes = bind(
+        tx,
+        {
+            "token_deltas": B.token_deltas(
+                F.col("pre_token_balances"), F.col("post_token_balances"), on_duplicate, nested
+            ),
+            "sol_deltas": B.sol_deltas(
+                F.col("account_keys"),
+                F.col("pre_balances"),
+                F.col("post_balances"),
+                F.col("fee"),
+                F.col("fee_payer"),
+            ),
+        },
+    )
+    return changes.select(
         "signature",
         "slot",
         "block_time",
         "fee_payer",
         B.program_ids(F.col("programs_invoked")).alias("programs_invoked"),
-        B.token_deltas(
-            F.col("pre_token_balances"), F.col("post_token_balances"), on_duplicate, nested
-        ).alias("token_deltas"),
-        B.sol_deltas(
-            F.col("account_keys"),
-            F.col("pre_balances"),
-            F.col("post_balances"),
-            F.col("fee"),
-            F.col("fee_payer"),
-        ).alias("sol_deltas"),
+        "token_deltas",
+        "sol_deltas",
         F.col("fee").alias("tx_fee"),
         B.accounts_created(
             F.col("account_keys"), F.col("pre_balances"), F.col("post_balances")
         ).alias("accounts_created"),
+        B.mints_touched(F.col("token_deltas")).alias("mints_touched"),
     )
-    return changes.withColumn("mints_touched", B.mints_touched(F.col("token_deltas")))
 
 
 def mint_events(deltas: DataFrame) -> DataFrame:
@@ -82,27 +90,26 @@ def mint_events(deltas: DataFrame) -> DataFrame:
 def trades_considered(deltas: DataFrame) -> DataFrame:
     """Per transaction all trades its users may have made (array, unordered)."""
     moved = deltas.filter(F.size("token_deltas") > 0)
-    merged = B.merge_wsol(F.col("token_deltas"), F.col("sol_deltas"))
-    users = B.candidate_users(F.col("token_deltas"), F.col("fee_payer"))
-    return (
-        moved.withColumn("merged_sol", merged)
-        .withColumn("candidates", users)
-        .withColumn(
-            "trades",
-            S.trade_candidates(
-                F.col("candidates"),
-                F.col("token_deltas"),
-                F.col("merged_sol"),
-                F.col("sol_deltas"),
-                F.col("fee_payer"),
-            ),
-        )
+    users = bind(
+        moved,
+        {
+            "merged_sol": B.merge_wsol(F.col("token_deltas"), F.col("sol_deltas")),
+            "candidates": B.candidate_users(F.col("token_deltas"), F.col("fee_payer")),
+        },
+    )
+    trades = S.trade_candidates(
+        F.col("candidates"),
+        F.col("token_deltas"),
+        F.col("merged_sol"),
+        F.col("sol_deltas"),
+        F.col("fee_payer"),
     )
+    return bind(users, {"trades": trades})
 
 
 def infer_trades(deltas: DataFrame, min_tenths: int = CONFIDENCE_CUT) -> DataFrame:
     """The best trade of each transaction with at least ``min_tenths`` confidence."""
-    best = trades_considered(deltas).withColumn("best", S.best_trade(F.col("trades")))
+    best = bind(trades_considered(deltas), {"best": S.best_trade(F.col("trades"))})
     return (
         best.filter(F.col("best").isNotNull() & (-F.col("best.minus_tenths") >= min_tenths))
         .select(
