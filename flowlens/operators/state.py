@@ -23,15 +23,15 @@ def state_changes(
     the rest is decided per (key, hot period) from its own rows.
     """
     hot = first_sight(hits.select(key, time), [key], time, hot_ttl).select(
-        key, F.col(time).alias("at"), F.lit("hot").alias("state")
+        key, F.col(time).alias("changed_at"), F.lit("hot").alias("state")
     )
-    cold = hot.select(key, (F.col("at") + hot_ttl).alias("at"), F.lit("cold").alias("state"))
+    cold = hot.select(key, (F.col("changed_at") + hot_ttl).alias("changed_at"), F.lit("cold").alias("state"))
     # Warm: first activity ever, and first activity at or after the end of each hot period. A
     # period's end is carried forward to later activity by running maxima over evaluation times,
     # whose number per key is bounded by the time range.
     from pyspark.sql import Window
 
-    ends = cold.select(key, F.col("at").alias("_t"), F.col("at").alias("_end"), F.lit(0).alias("_k"))
+    ends = cold.select(key, F.col("changed_at").alias("_t"), F.col("changed_at").alias("_end"), F.lit(0).alias("_k"))
     acts = activity.select(
         key, F.col(time).alias("_t"), F.lit(None).cast("bigint").alias("_end"), F.lit(1).alias("_k")
     ).distinct()
@@ -44,8 +44,8 @@ def state_changes(
     warm = (
         seen.filter("_k = 1")
         .groupBy(key, "_last")
-        .agg(F.min("_t").alias("at"))
-        .select(key, "at", F.lit("warm").alias("state"))
+        .agg(F.min("_t").alias("changed_at"))
+        .select(key, "changed_at", F.lit("warm").alias("state"))
     )
     return hot.unionByName(cold).unionByName(warm)
 
@@ -54,7 +54,7 @@ def state_at(changes: DataFrame, now: int, key: str = "mint") -> DataFrame:
     """Last state of each key at ``now``. At equal times hot wins over warm over cold."""
     rank = F.when(F.col("state") == "hot", 2).when(F.col("state") == "warm", 1).otherwise(0)
     return (
-        changes.filter(F.col("at") <= now)
+        changes.filter(F.col("changed_at") <= now)
         .groupBy(key)
-        .agg(F.max_by("state", F.struct("at", rank)).alias("state"))
+        .agg(F.max_by("state", F.struct("changed_at", rank)).alias("state"))
     )

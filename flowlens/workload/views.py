@@ -227,10 +227,10 @@ CUSTOMER_EDGES = """edges as (
 
 # Component of every node by walking outwards from the least node.
 def components_sql(nodes: str, edges: str) -> str:
-    return f"""links as (select wallet as a, funder as b from {edges}
+    return f"""node_links as (select wallet as a, funder as b from {edges}
     union select funder, wallet from {edges}),
   reach as (select node as a, node as root from {nodes}
-    union select l.b, r.root from reach r join links l on l.a = r.a where r.root < l.b),
+    union select l.b, r.root from reach r join node_links l on l.a = r.a where r.root < l.b),
   members as (select a as node, min(root) as component from reach group by a)"""
 
 
