@@ -14,7 +14,7 @@ from flowlens.operators.lookups import top_per_key
 def top_buyers(swaps: DataFrame, limit: int = 10, since: int | None = None) -> DataFrame:
     """Largest buyers per mint by quote amount, with buys, base amount and mean entry market cap.
 
-    ``mcap_at_swap`` is averaged where the column exists.
+    ``mcap_at_swap`` is averaged where the column exists, over exact sums of millionths.
     """
     buys = swaps.filter(F.col("side") == "buy")
     if since is not None:
@@ -24,7 +24,10 @@ def top_buyers(swaps: DataFrame, limit: int = 10, since: int | None = None) -> D
         F.count("*").alias("buy_count"),
         F.sum(wide(F.col("quote_amount"))).alias("total_quote"),
         F.sum(wide(F.col("base_amount"))).alias("total_base"),
-        F.avg(mcap).alias("avg_entry_mcap"),
+        F.try_divide(
+            F.sum(wide(F.round(mcap * 1e6))).cast("double") / F.lit(1e6),
+            F.count(mcap).cast("double"),
+        ).alias("avg_entry_mcap"),
     )
     return top_per_key(
         per_wallet, ["mint"], [F.desc("total_quote"), F.asc("user_wallet")], limit

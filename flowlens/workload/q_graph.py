@@ -226,8 +226,7 @@ LINKS = f"""{USER_MEMBERS},
       then least(1.0::double, linked::double / buyers_listed::double + 2e-1)
     when linked::double / buyers_listed::double >= 2e-1 then linked::double / buyers_listed::double + 1e-1
     else 0.0::double end as cluster_score from links)"""
-SCORED = f"""{STATS}, {LINKS},
-  parts as (select s.*, c.* exclude (mint),
+SCORE_STEPS = """parts as (select s.*, c.* exclude (mint),
     case when top_3_volume_share >= 8e-1 then 1e0 when top_3_volume_share >= 6e-1 then 8e-1
       when top_3_volume_share >= 4e-1 then 5e-1 when top_3_volume_share >= 2e-1 then 2e-1 else 0e0 end as concentration_score,
     case when unique_buyers = 0 then 0e0 when buy_count::double / unique_buyers >= 10 then 1e0
@@ -249,6 +248,7 @@ SCORED = f"""{STATS}, {LINKS},
     case when total_score >= 8e-1 then 'CRITICAL' when total_score >= 6e-1 then 'HIGH'
       when total_score >= 4e-1 then 'MEDIUM' when total_score >= 2e-1 then 'LOW' else 'MINIMAL' end as alert_level
     from scored)"""
+SCORED = f"{STATS}, {LINKS}, {SCORE_STEPS}"
 
 
 def fixed_sql(value: str, places: int) -> str:
