@@ -264,6 +264,7 @@ def rendered(alerts: DataFrame, sol_usd: float = 200.0) -> DataFrame:
     return alerts.select(
         "alert_id",
         "mint",
+        "win_end",
         plain_line(alerts).alias("plain"),
         F.to_json(payload).alias("payload"),
         chat.alias("chat"),

@@ -176,9 +176,7 @@ _TITLE_SQL = """case trigger_name when 'concentrated_accumulation' then 'Concent
     from raised""",
 )
 def alerts_render(spark, folder):
-    rows = raised(spark, folder)
-    text = A.rendered(rows).select("alert_id", "plain", "chat")
-    return rows.select("alert_id", "mint", "win_end").join(text, "alert_id").drop("alert_id")
+    return A.rendered(raised(spark, folder)).select("mint", "win_end", "plain", "chat")
 
 
 @query(
@@ -188,13 +186,11 @@ def alerts_render(spark, folder):
 )
 def alert_payload(spark, folder):
     """Fields read back out of the structured alert payload."""
-    rows = raised(spark, folder)
-    text = A.rendered(rows).select("alert_id", "payload")
     p = F.from_json(
         "payload",
         "title string, risk string, score_pct int, clusters string, buyers array<string>",
     )
-    out = rows.select("alert_id", "mint", "win_end").join(text, "alert_id").withColumn("p", p)
+    out = A.rendered(raised(spark, folder)).select("mint", "win_end", p.alias("p"))
     return out.select(
         "mint",
         "win_end",
