@@ -16,6 +16,7 @@ from flowlens.operators.scoring import factors, linked_buyers, scored
 from flowlens.operators.state import cooled_down
 from flowlens.operators.stats import pane_table, stats_of_panes, two_windows
 from flowlens.operators.toplists import dominant_venue, top_buyers, vwap_recent
+from flowlens.session import materialize
 from flowlens.sources.rules import Rule
 
 
@@ -72,9 +73,15 @@ def alert_rows(
 
     ``passed`` has short-window statistics under rule names. ``members`` is the result of
     ``components``; ``supply`` has (base_mint, supply, decimals).
+
+    The hits, the trades of their mints and the top buyers are each used several times, so they are
+    written once: the trades are scanned for the hot mints only once, however many lists follow.
     """
-    tops = top_buyers(swaps, buyers_kept)
+    passed, _ = materialize(passed)
+    hot = passed.select(F.col("mint").alias("base_mint")).distinct()
     sizes = G.cluster_stats(members, wallet_activity(swaps))
+    swaps, _ = materialize(lookup_join(swaps, hot, ["base_mint"], "left_semi"))
+    tops, _ = materialize(top_buyers(swaps, buyers_kept))
     listed = tops.select("mint", F.col("user_wallet").alias("node"))
     summaries = G.cluster_summary(G.clusters_of(listed, members, sizes, "mint"), "mint")
     links = linked_buyers(tops, members, sizes, history)
@@ -123,12 +130,12 @@ def enrich_hot(
     Returns ``funding`` (wallet, ultimate_funder, hops), ``members`` (node, component) and
     ``clusters`` (component, size, volume_lamports, buy_count).
     """
-    hot_swaps = lookup_join(
-        swaps, hot.select(F.col("mint").alias("base_mint")).distinct(), ["base_mint"], "left_semi"
-    )
+    mints = hot.select(F.col("mint").alias("base_mint")).distinct()
+    hot_swaps, _ = materialize(lookup_join(swaps, mints, ["base_mint"], "left_semi"))
     wallets = top_buyers(hot_swaps, buyers).select(F.col("user_wallet").alias("wallet")).distinct()
     firsts = G.earliest_funder(transfers, order)
-    funding = G.trace_funding(firsts, wallets, max_hops).select("wallet", "ultimate_funder", "hops")
+    traced = G.trace_funding(firsts, wallets, max_hops)
+    funding, _ = materialize(traced.select("wallet", "ultimate_funder", "hops"))
     edges = funding.select("wallet", F.col("ultimate_funder").alias("funder"))
     members = G.components(wallets.select(F.col("wallet").alias("node")), edges)
     activity = wallet_activity(hot_swaps)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_stats", "q_tx", "q_rules", "q_graph", "q_alerts", "q_reports")
+_MODULES = ("q_stats", "q_tx", "q_rules", "q_graph", "q_alerts", "q_reports", "q_stream")
 
 
 def load():
