@@ -25,16 +25,20 @@ def trade_stream(spark, folder, max_files=None):
     return V.swaps_of(events)
 
 
-def staged(df, order, files=6):
-    """``df`` as a folder that grew in time order: one append per time slice, so that a file stream
-    reads the slices in that order."""
+SLICE_ROWS = 1_000_000
+
+
+def staged(df, order):
+    """``df`` as a folder that grew in time order: one file per time slice of bounded size, so that
+    a file stream reads the slices in that order."""
     path = shared_dir(df.sparkSession)
     df, _ = materialize(df)
-    cuts = df.approxQuantile(order, [i / files for i in range(1, files)], 0.01)
+    slices = max(5, -(-df.count() // SLICE_ROWS))
+    cuts = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.2 / slices)
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
     for low, high in zip(edges, edges[1:], strict=False):
         part = df.filter((F.col(order) > low) & (F.col(order) <= high))
-        part.write.mode("append").parquet(path)
+        part.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -46,9 +50,11 @@ def staged(df, order, files=6):
 def tx_source(spark, folder):
     """Transactions from a file stream, deduplicated, turned into trades, stored once."""
     tx = V.tx(spark, folder).drop("inner_programs", "o_orderstatus")
-    path = staged(tx, "block_time", 4)
-    stream = J.file_stream(spark, path, tx.schema, max_files=2)
-    unique = J.deduplicated(J.event_time(stream), ["signature"]).drop("ts")
+    path = shared_dir(spark)
+    tx.write.parquet(path)
+    stream = J.file_stream(spark, path, tx.schema, max_files=4)
+    # The files are not in time order, so the watermark has to span the years they cover.
+    unique = J.deduplicated(J.event_time(stream, late="4000 days"), ["signature"]).drop("ts")
     trades = T.infer_trades(T.delta_records(T.normalized(unique)))
     out = shared_dir(spark)
     J.run_available(trades, J.insert_once(out, ["signature", "base_mint"], ["slot"]), mode="append")
@@ -153,7 +159,7 @@ def stream_token_state(spark, folder):
     )
     grid = stats.select("mint", "win_end").join(fired, ["mint", "win_end"], "left")
     rows = grid.withColumn("hit", F.coalesce("hit", F.lit(False)))
-    stream = J.file_stream(spark, staged(rows, "win_end", 5), rows.schema, max_files=1)
+    stream = J.file_stream(spark, staged(rows, "win_end"), rows.schema, max_files=1)
     out = shared_dir(spark)
     J.run_available(J.token_state(stream, 3 * DAY), J.write_versions(out), mode="append")
     return spark.read.parquet(out).select("mint", "changed_at", "state")
