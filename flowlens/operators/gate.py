@@ -65,15 +65,19 @@ def first_sight(
     ``time`` is epoch seconds. Within one second the first by ``order`` stands for all. Returns
     ``keys``, ``time`` and the columns ``carry`` of the passing event.
     """
-    keys = list(keys)
+    keys, carry = list(keys), list(carry)
     length = segment_seconds(ttl)
     rank = [c for c in order if c != time] or [time]
-    kept = F.min_by(F.struct(*(carry or [time])), F.struct(*rank)).alias("_carry")
-    seconds = (
-        events.groupBy(*keys, F.col(time).cast("bigint").alias("_t"))
-        .agg(kept)
-        .withColumn("_seg", bucket_start(F.col("_t"), length))
-    )
+    second = F.col(time).cast("bigint").alias("_t")
+    if not carry:
+        seconds = events.select(*keys, second).distinct()
+    elif carry == rank and len(carry) == 1:
+        # A plain minimum stays in the hash aggregate; a struct would force a sort of the input.
+        seconds = events.groupBy(*keys, second).agg(F.min(carry[0]).alias(carry[0]))
+    else:
+        kept = F.min_by(F.struct(*carry), F.struct(*rank)).alias("_carry")
+        seconds = events.groupBy(*keys, second).agg(kept).select(*keys, "_t", "_carry.*")
+    seconds = seconds.withColumn("_seg", bucket_start(F.col("_t"), length))
     key_fields = [f for f in seconds.schema if f.name in keys]
     key_names = [f.name for f in key_fields]
 
@@ -125,5 +129,5 @@ def first_sight(
     if not carry:
         return marked.select(*key_names, F.col("_t").alias(time))
     return seconds.join(marked, [*key_names, "_t"], "left_semi").select(
-        *key_names, F.col("_t").alias(time), "_carry.*"
+        *key_names, F.col("_t").alias(time), *carry
     )

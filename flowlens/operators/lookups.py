@@ -26,14 +26,16 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``facts`` with ``table`` (one row per key).
 
-    A table of checked small size is broadcast. Otherwise the rows of a hot key are spread over
-    ``salts`` partitions and the keyed table is copied to each, so no task gets a whole hot key.
-    ``salts=1`` leaves hot keys to the adaptive skew join.
+    A table of checked small size is broadcast. A larger one that is still small beside the facts
+    is copied to ``salts`` salted partitions, over which the rows of a hot key are spread, so no
+    task gets a whole hot key. Where the copies would outweigh the facts, or with ``salts=1``, it
+    is a plain join and hot keys are left to the adaptive skew join, which splits the facts' side.
     """
     keys = list(keys)
-    if planned_bytes(table) <= broadcast_bytes:
+    size = planned_bytes(table)
+    if size <= broadcast_bytes:
         return facts.join(F.broadcast(table), keys, how)
-    if salts <= 1:
+    if salts <= 1 or size * salts > planned_bytes(facts):
         return facts.join(table, keys, how)
     spread = [c for c in facts.columns if c not in keys] or keys
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))

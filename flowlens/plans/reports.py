@@ -67,8 +67,7 @@ def alert_gaps(alerts: DataFrame, longer_than: int = 3600) -> DataFrame:
     """
     bucket = F.floor(F.col("created_at") / longer_than).cast("bigint")
     edges = alerts.groupBy(bucket.alias("bucket")).agg(
-        F.min(F.struct("created_at", "alert_id")).alias("first"),
-        F.max(F.struct("created_at", "alert_id")).alias("last"),
+        F.min("created_at").alias("first"), F.max("created_at").alias("last")
     )
     period = F.floor(F.col("bucket") / 8760).cast("bigint")
     edges = edges.withColumn("period", period)
@@ -82,10 +81,10 @@ def alert_gaps(alerts: DataFrame, longer_than: int = 3600) -> DataFrame:
     joined = inside.join(following, "period").withColumn(
         "next", F.coalesce("next_first", "next_period_first")
     )
-    gap = F.col("next.created_at") - F.col("last.created_at")
+    gap = F.col("next") - F.col("last")
     return joined.filter(gap > longer_than).select(
-        F.col("last.created_at").alias("gap_start"),
-        F.col("next.created_at").alias("gap_end"),
+        F.col("last").alias("gap_start"),
+        F.col("next").alias("gap_end"),
         (gap / F.lit(3600.0)).alias("gap_hours"),
     )
 

@@ -96,12 +96,14 @@ def test_latest_before(spark, max_age):
         assert r.v == (best[2] if best and r.t - best[0] <= max_age else None)
 
 
-def test_salted_lookup_equals_plain(spark):
+def test_salted_lookup_equals_plain(spark, monkeypatch):
+    monkeypatch.setattr(L, "planned_bytes", lambda df: 10**6 if "i" in df.columns else 10)
     facts = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)], "k string, i long")
     table = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3)], "k string, x long")
     for how in ("left", "inner", "left_semi", "left_anti"):
         plain = sorted(map(tuple, facts.join(table, "k", how).collect()), key=str)
         salted = L.lookup_join(facts, table, ["k"], how, salts=5, broadcast_bytes=0)
+        assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(map(tuple, salted.collect()), key=str) == plain
 
 
