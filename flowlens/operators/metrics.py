@@ -17,8 +17,12 @@ DEGRADED_BACKLOG, CRITICAL_BACKLOG = 50_000, 80_000
 
 
 def labelled_counts(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Counts per combination of labels, with every subtotal; ``all`` marks a summed label."""
-    counted = rows.cube(*labels).agg(F.count("*").alias("n"), F.grouping_id().alias("_g"))
+    """Counts per combination of labels, with every subtotal; ``all`` marks a summed label.
+
+    The rows are counted once per combination; only those counts are expanded into subtotals.
+    """
+    base = rows.groupBy(*labels).agg(F.count("*").alias("_n"))
+    counted = base.cube(*labels).agg(F.sum("_n").alias("n"), F.grouping_id().alias("_g"))
     last = len(labels) - 1
     return counted.select(
         *[

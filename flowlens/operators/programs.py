@@ -24,21 +24,28 @@ def unknown_uses(tx: DataFrame, known: Sequence[str]) -> DataFrame:
 def unknown_programs(tx: DataFrame, known: Sequence[str]) -> DataFrame:
     """Occurrences, first slot and known companions of each unknown program.
 
-    Companions are collected after a distinct count per pair, so their set is at most as long as
-    the known list.
+    The known list is short and configured, so each companion is one boolean of the same hash
+    aggregate: one scan, one exchange, no lists gathered.
     """
-    uses = unknown_uses(tx, known)
-    counts = uses.groupBy("program_id").agg(
-        F.count("*").alias("occurrences"), F.min("slot").alias("first_slot")
-    )
-    beside = (
-        uses.select("program_id", F.explode("known_beside").alias("companion"))
-        .distinct()
+    companions = sorted(known)
+    out = (
+        unknown_uses(tx, known)
         .groupBy("program_id")
-        .agg(F.array_sort(F.collect_list("companion")).alias("co_occurring"))
+        .agg(
+            F.count("*").alias("occurrences"),
+            F.min("slot").alias("first_slot"),
+            *[
+                F.bool_or(F.array_contains("known_beside", p)).alias(f"_{i}")
+                for i, p in enumerate(companions)
+            ],
+        )
     )
-    return counts.join(beside, "program_id", "left").withColumn(
-        "co_occurring", F.coalesce("co_occurring", F.array().cast("array<string>"))
+    beside = [F.when(F.col(f"_{i}"), F.lit(p)) for i, p in enumerate(companions)]
+    return out.select(
+        "program_id",
+        "occurrences",
+        "first_slot",
+        F.array_compact(F.array(*beside)).alias("co_occurring"),
     )
 
 

@@ -129,19 +129,19 @@ def daily_report(alerts: DataFrame, start: int, end: int) -> DataFrame:
     per_rule = rows.groupBy(F.coalesce("trigger_name", F.lit("unknown")).alias("trigger_name")).agg(
         F.count("*").alias("n")
     )
+    mean = F.try_divide(F.sum(cents).cast("double") / 100, F.count("mcap_sol").cast("double"))
+    # One scalar subquery for all totals, so that they cost one scan.
     totals = rows.agg(
-        F.count("*").alias("total_alerts"),
-        F.count_distinct("mint").alias("unique_tokens"),
-        F.try_divide(F.sum(cents).cast("double") / 100, F.count("mcap_sol").cast("double")).alias(
-            "avg_alert_mcap"
-        ),
-    )
+        F.struct(
+            F.count("*").alias("total_alerts"),
+            F.count_distinct("mint").alias("unique_tokens"),
+            mean.alias("avg_alert_mcap"),
+        )
+    ).scalar()
     return per_rule.select(
         "trigger_name",
         "n",
-        totals.select("total_alerts").scalar().alias("total_alerts"),
-        totals.select("unique_tokens").scalar().alias("unique_tokens"),
-        totals.select("avg_alert_mcap").scalar().alias("avg_alert_mcap"),
+        *[totals[c].alias(c) for c in ("total_alerts", "unique_tokens", "avg_alert_mcap")],
     )
 
 

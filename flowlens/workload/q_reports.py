@@ -277,21 +277,22 @@ def batch_timing(spark, folder):
 )
 def processing_rates(spark, folder):
     """Detection rate, mean confidence and share of repeated keys."""
-    found = T.infer_trades(deltas(spark, folder)).agg(
-        F.count("*").alias("found"), F.sum("confidence_tenths").alias("tenths")
+    found = (
+        T.infer_trades(deltas(spark, folder))
+        .agg(F.struct(F.count("*").alias("n"), F.sum("confidence_tenths").alias("tenths")))
+        .scalar()
     )
-    orders = read_table(spark, folder, "orders").agg(F.count("*").alias("processed"))
     keys = read_table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").count()
-    dups = keys.agg(F.count_if(F.col("count") > 1).alias("dups"), F.sum("count").alias("lines"))
-    n, t = found.select("found").scalar(), found.select("tenths").scalar()
+    lines = keys.agg(
+        F.struct(F.count_if(F.col("count") > 1).alias("dups"), F.sum("count").alias("n"))
+    ).scalar()
+    orders = read_table(spark, folder, "orders").agg(F.count("*").alias("processed"))
     return orders.select(
         "processed",
-        n.alias("swaps_found"),
-        ME.rate(n, F.col("processed"), 100.0).alias("detection_rate_pct"),
-        (ME.rate(t, n) / 10).alias("avg_confidence"),
-        ME.rate(dups.select("dups").scalar(), dups.select("lines").scalar(), 100.0).alias(
-            "dup_keys_pct"
-        ),
+        found["n"].alias("swaps_found"),
+        ME.rate(found["n"], F.col("processed"), 100.0).alias("detection_rate_pct"),
+        (ME.rate(found["tenths"], found["n"]) / 10).alias("avg_confidence"),
+        ME.rate(lines["dups"], lines["n"], 100.0).alias("dup_keys_pct"),
     )
 
 
