@@ -327,14 +327,14 @@ def token_profile_upsert(spark, folder):
 @query(
     "wallet_profile_upsert",
     """with old as (select c_custkey as wallet, c_name as label, c_nationkey as cluster_id, c_acctbal as funded
-        from customer where c_custkey % 3 <> 0),
+        from customer where c_mktsegment <> 'BUILDING'),
       new as (select o_custkey as wallet, 'W' || o_custkey as label, case when o_custkey % 2 = 0 then (o_custkey % 50)::int end as cluster_id,
         max(o_totalprice) as funded, count(*) as trades from orders group by all)
     select wallet, coalesce(o.label, n.label) as label, coalesce(n.cluster_id, o.cluster_id, -1) as cluster_id,
       coalesce(n.funded, o.funded) as funded, coalesce(n.trades, 0) as trades from old o full join new n using (wallet)""",
 )
 def wallet_profile_upsert(spark, folder):
-    old = read_table(spark, folder, "customer").filter("c_custkey % 3 <> 0").select(
+    old = read_table(spark, folder, "customer").filter("c_mktsegment <> 'BUILDING'").select(
         F.col("c_custkey").alias("wallet"),
         F.col("c_name").alias("label"),
         F.col("c_nationkey").alias("cluster_id"),
@@ -419,7 +419,7 @@ def metadata_fallback(spark, folder):
 @query(
     "price_source_fallback",
     f"""with {V.PRICES}, pairs_price as (select 'm' || l_partkey as mint, max(l_extendedprice) as p from lineitem
-        where l_partkey % 5 <> 0 group by all)
+        where l_returnflag = 'R' group by all)
     select mint, coalesce(market_cap_usd, p, -1.0::double) as price,
       case when market_cap_usd is not null then 'first' when p is not null then 'second' else '-' end as source
     from prices left join pairs_price using (mint)""",
@@ -429,7 +429,7 @@ def price_source_fallback(spark, folder):
     first = V.prices(spark, folder)
     second = (
         read_table(spark, folder, "lineitem")
-        .filter("l_partkey % 5 <> 0")
+        .filter("l_returnflag = 'R'")
         .groupBy(V.text("m", "l_partkey").alias("mint"))
         .agg(F.max("l_extendedprice").alias("price"))
     )

@@ -174,9 +174,9 @@ def trigger_reason(spark, folder):
     )
 
 
-# Latest caps of some mints only, so that unknown caps occur.
+# Latest caps; a mint without a recent quote has none.
 LATEST_CAPS = f"""{MCAPS}, caps as (select base_mint as mint, mcap as mcap_sol from mcaps
-  where base_mint <> 'm3' and block_time > {V.NOW_EVENTS - 3 * DAY} and block_time <= {V.NOW_EVENTS}
+  where block_time > {V.NOW_EVENTS - 3 * DAY} and block_time <= {V.NOW_EVENTS}
   qualify row_number() over (partition by base_mint order by block_time desc, slot desc) = 1)"""
 
 
@@ -184,7 +184,7 @@ def latest_caps(trades):
     latest = latest_value(
         mcap_quotes(trades), "base_mint", ["mcap"], ["block_time", "slot"], V.NOW_EVENTS, 3 * DAY
     )
-    return latest.filter("base_mint <> 'm3'").select(
+    return latest.select(
         F.col("base_mint").alias("mint"), F.col("mcap").alias("mcap_sol")
     )
 

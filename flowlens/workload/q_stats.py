@@ -311,17 +311,18 @@ def recent_swaps(spark, folder):
     return out.select("signature", "user_wallet", "side", "quote_amount", "block_time")
 
 
-# Hot mints for the joins below: more than 20 buys on the last day.
+# Hot mints for the joins below: at least half as many buys again as sells on the last days.
 HOT = f"""hot as (select base_mint as mint from swaps
-  where block_time >= {V.NOW_EVENTS - 2 * DAY} group by 1 having count(*) filter (side = 'buy') >= 4
-    and count(*) filter (side = 'buy') % 2 = 0)"""
+  where block_time >= {V.NOW_EVENTS - 2 * DAY} group by 1 having count(*) filter (side = 'buy') * 2 > count(*) filter (side = 'sell') * 3)"""
 
 
 def hot_mints(trades):
-    buys = F.count_if(F.col("side") == "buy").alias("buys")
     recent = trades.filter(F.col("block_time") >= V.NOW_EVENTS - 2 * DAY)
-    counted = recent.groupBy(F.col("base_mint").alias("mint")).agg(buys)
-    return counted.filter("buys >= 4 and buys % 2 = 0").select("mint")
+    buy = F.col("side") == "buy"
+    counted = recent.groupBy(F.col("base_mint").alias("mint")).agg(
+        F.count_if(buy).alias("buys"), F.count_if(~buy).alias("sells")
+    )
+    return counted.filter("buys * 2 > sells * 3").select("mint")
 
 
 @query(

@@ -444,22 +444,23 @@ def venue(spark, folder):
 @query(
     "mcap_at_swap",
     f"""with {SIMPLE_TRADES}, supply as (
-      select 'p' || p_partkey as mint, p_size::bigint * 1000000000 as supply, p_size % 10 as decimals
-      from part where p_partkey % 10 <> 0)
+      select 'p' || p_partkey as mint, case when p_type <> 'SMALL' then p_size::bigint * 1000000000 end as supply,
+        p_size % 10 as decimals from part)
     select signature, base_mint,
       case when quote_mint = '{WSOL}' then ((quote_amount::double / 1e9) / base_amount::double) * supply::double end
         as mcap_at_swap,
-      case when quote_mint = '{WSOL}' then ((quote_amount::double / 1e9) / base_amount::double)
+      case when quote_mint = '{WSOL}' and supply is not null then ((quote_amount::double / 1e9) / base_amount::double)
         * pow(10.0::double, decimals) end as price_sol
     from best left join supply on mint = base_mint""",
 )
 def mcap_at_swap(spark, folder):
     supply = (
         TB.read_table(spark, folder, "part")
-        .filter("p_partkey % 10 <> 0")
         .select(
             V.text("p", "p_partkey").alias("base_mint"),
-            (F.col("p_size").cast("bigint") * F.lit(10**9)).alias("supply"),
+            F.when(
+                F.col("p_type") != "SMALL", F.col("p_size").cast("bigint") * F.lit(10**9)
+            ).alias("supply"),
             (F.col("p_size") % 10).alias("decimals"),
         )
     )
@@ -467,7 +468,7 @@ def mcap_at_swap(spark, folder):
     return out.select("signature", "base_mint", "mcap_at_swap", "price_sol")
 
 
-BACKFILL = f"""hot_mints as (select 'p' || p_partkey as mint from part where p_size % 10 = 0)"""
+BACKFILL = f"""hot_mints as (select 'p' || p_partkey as mint from part where p_size >= 45)"""
 
 
 @query(
@@ -477,7 +478,7 @@ BACKFILL = f"""hot_mints as (select 'p' || p_partkey as mint from part where p_s
 )
 def hot_backfill(spark, folder):
     """Trades of newly hot mints found again in stored balance changes."""
-    hot = TB.read_table(spark, folder, "part").filter("p_size % 10 = 0")
+    hot = TB.read_table(spark, folder, "part").filter("p_size >= 45")
     found = T.backfill(
         deltas(spark, folder, mixed=True), hot.select(V.text("p", "p_partkey").alias("mint"))
     )

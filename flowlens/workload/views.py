@@ -299,17 +299,18 @@ def user_edges(trades: DataFrame) -> DataFrame:
 # --- markets -------------------------------------------------------------------------------
 
 PAIRS = """pairs as (
-  select 'm' || l_partkey as mint, case when l_linestatus = 'F' then 'solana' else 'other' end as chain,
+  select 'm' || l_partkey as mint, case when l_linestatus = 'F' and l_partkey % 10 <> 0 then 'solana' else 'other' end as chain,
     l_extendedprice as liquidity_usd, l_quantity as price_usd,
     l_orderkey * 10000 + l_linenumber as pair_id, l_suppkey
-  from lineitem where not (l_linestatus = 'F' and l_partkey % 10 = 0))"""
+  from lineitem)"""
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     lines = read_table(spark, folder, "lineitem")
-    return lines.filter("not (l_linestatus = 'F' and l_partkey % 10 = 0)").select(
+    main = (F.col("l_linestatus") == "F") & (F.col("l_partkey") % 10 != 0)
+    return lines.select(
         text("m", "l_partkey").alias("mint"),
-        F.when(F.col("l_linestatus") == "F", "solana").otherwise("other").alias("chain"),
+        F.when(main, "solana").otherwise("other").alias("chain"),
         F.col("l_extendedprice").alias("liquidity_usd"),
         F.col("l_quantity").alias("price_usd"),
         (F.col("l_orderkey") * 10000 + F.col("l_linenumber")).alias("pair_id"),
