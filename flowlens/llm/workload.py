@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.llm.common import table
+from flowlens.llm.substrings import deduplicated
 from flowlens.llm.tokens import token_index, write_tokens
 
 QUERIES: dict = {}
@@ -27,3 +28,10 @@ def op1_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Packed ids of all documents, read back from the blocks."""
     blocks = write_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_index(blocks)
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words left after removing every repeated window of 35 words."""
+    found = deduplicated(table(spark, folder, "documents"), digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
