@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm.common import table
+from flowlens.llm.common import crc_mod, table
+from flowlens.llm.lm import scored
 from flowlens.llm.substrings import deduplicated
 from flowlens.llm.tokens import token_index, write_tokens
 
@@ -30,6 +31,12 @@ def op1_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_index(blocks)
 
 
+@query("op2_lm_scores")
+def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Deleted-interpolation scores of all documents; remainder 2 is held out of the counts."""
+    return scored(table(spark, folder, "documents"), crc_mod("doc_id", 7) != 2)
+
+
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left after removing every repeated window of 35 words."""
