@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.llm.common import crc_mod, table
 from flowlens.llm.lm import scored
+from flowlens.llm.neardup import near_duplicates
 from flowlens.llm.substrings import deduplicated
 from flowlens.llm.tokens import token_index, write_tokens
 
@@ -37,6 +38,12 @@ def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored(table(spark, folder, "documents"), crc_mod("doc_id", 7) != 2)
 
 
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 3-word shingles overlap by 85 % or more."""
+    return near_duplicates(table(spark, folder, "documents"), width=3, num=85, den=100)
+
+
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left after removing every repeated window of 35 words."""
