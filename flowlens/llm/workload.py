@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from flowlens.llm import language, toxicity
 from flowlens.llm.common import crc_mod, table
 from flowlens.llm.lm import scored
 from flowlens.llm.neardup import near_duplicates
@@ -44,8 +46,31 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), width=3, num=85, den=100)
 
 
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; remainder 0 is held out of training."""
+    docs, held = table(spark, folder, "documents"), crc_mod("doc_id", 5) == 0
+    model = language.fit(docs.filter(~held))
+    found = language.identified(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+        F.col("lang_ambiguous").alias("ambiguous"),
+    )
+
+
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left after removing every repeated window of 35 words."""
     found = deduplicated(table(spark, folder, "documents"), digest=True)
     return found.withColumnRenamed("kept", "kept_sha256")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; remainder 1 is held out of training."""
+    docs, held = table(spark, folder, "documents"), crc_mod("doc_id", 3) == 1
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~held)
+    found = toxicity.toxicity(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"), "predicted", "toxic_window"
+    )
