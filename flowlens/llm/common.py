@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from flowlens.session import shared_dir
 
@@ -233,9 +234,13 @@ def key_buckets(chars: int, per_bucket: int = 6 << 20) -> int:
 
 
 def chunk_parts(spark: SparkSession, chars: int) -> int:
-    """Tasks over the chunk table: a few chunks each."""
-    cores = spark.sparkContext.defaultParallelism
-    return int(min(max(2 * cores, chars // (3 * CHUNK_CHARS)), 20_000))
+    """Tasks over the chunk table: a few chunks each.
+
+    Not below the number of shuffle partitions: with fewer buckets Spark would rather shuffle both
+    sides of a join than keep the table where it is.
+    """
+    least = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return int(max(least, min(chars // (3 * CHUNK_CHARS), 20_000)))
 
 
 def answered(
@@ -255,3 +260,70 @@ def with_replies(chunks: DataFrame, replies: DataFrame, fields: list[str]) -> Da
         F.sort_array(F.collect_list(F.struct("bucket", *fields))).alias("replies")
     )
     return chunks.join(lists, "chunk", "left")
+
+
+# --- scalar models -----------------------------------------------------------------------------
+
+
+def appended(docs: DataFrame, fields: list[tuple[str, str]], fn: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """``docs`` with new columns made from whole texts; columns of the same names are replaced.
+
+    ``fn`` gets slices of bounded text size. All other columns pass through untouched.
+    """
+    names = [n for n, _ in fields]
+    base = docs.drop(*names)
+    new = ", ".join(f"{n} {t}" for n, t in fields)
+    schema = StructType([*base.schema.fields, *StructType.fromDDL(new).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            for lo, texts in slices(batch.column(at)):
+                old = [c.slice(lo, len(texts)) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*old, *fn(texts)], names=[*batch.schema.names, *names])
+
+    return base.mapInArrow(run, schema)
+
+
+def hash_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
+    """About ``per_class`` rows of each label, at most a quarter more, chosen by a hash of doc_id.
+
+    The classes are counted first, so the bound holds at every size of ``rows``.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
+    if not counts:
+        return rows.limit(0)
+    key = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_class / n) * (1 << 30)))])
+    kept = rows.withColumn("sample_key", key).filter(F.col("sample_key") < share[F.col(label)])
+    return kept.limit(per_class * len(counts) * 5 // 4)
+
+
+def letters_grams(words: list[str], sizes: tuple[int, ...], slots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per n-gram size: (word number, hashed n-gram) of all n-grams of letters with word bounds.
+
+    Words are lower-cased; characters other than letters count as bounds.
+    """
+    codes = np.frombuffer((" " + " ".join(words).lower() + " ").encode("utf-32-le"), np.uint32)
+    distinct, back = np.unique(codes, return_inverse=True)
+    alpha = np.array([chr(c).isalpha() for c in distinct.tolist()])
+    text = np.where(alpha, distinct, 32)[back].astype(np.uint64)
+    letter = alpha[back]
+    # Lower-casing may change a word's length, so words are told apart by the blanks between them.
+    word = np.cumsum(codes == 32) - 1
+    for size in sizes:
+        n = len(text) - size + 1
+        if n <= 0:
+            continue
+        h = np.full(n, size, np.uint64)
+        some = np.zeros(n, bool)
+        for j in range(size):
+            h = h * np.uint64(0x100000001B3) + text[j : n + j]
+            some |= letter[j : n + j]
+        # An n-gram stays within one word and its bounds.
+        inside = letter[1 : n + 1] if size > 2 else np.ones(n, bool)
+        for j in range(1, size - 1):
+            inside &= letter[j : n + j]
+        keep = np.flatnonzero(some & inside)
+        at = word[keep + (1 if size > 1 else 0)] if size > 2 else word[np.where(letter[keep], keep, keep + size - 1)]
+        yield at, (mix(h[keep]) % np.uint64(slots)).astype(np.int64)
