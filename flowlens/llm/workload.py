@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import language, toxicity
+from flowlens.llm import language, mixing, toxicity
 from flowlens.llm.common import crc_mod, table
 from flowlens.llm.lm import scored
 from flowlens.llm.neardup import near_duplicates
@@ -65,6 +65,23 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("kept", "kept_sha256")
 
 
+@query("op7_mixing", mixing.SQL)
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document, in the order of their first position."""
+    docs = table(spark, folder, "documents")
+    mixed = mixing.curriculum(docs.select("doc_id", "source", "text"), mixing.size_of()).drop("text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.element_at("mix_positions", 1)
+    return (
+        mixed.withColumn("position", F.when(F.size("mix_positions") > 0, place))
+        .repartitionByRange(parts, "position", "doc_id").sortWithinPartitions("position", "doc_id")
+        .select(
+            "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+            F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"),
+        )
+    )
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document; remainder 1 is held out of training."""
