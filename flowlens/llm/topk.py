@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def _blocks(size: int):
                     {
                         "block": part + made, "dim": dim, "most": int((vectors**2).sum(axis=1).max()),
                         "ids": np.array([i for i, _ in rows], np.int64).tobytes(),
-                        "vectors": vectors.astype(np.int32).tobytes(),
+                        "vectors": vectors.tobytes(),
                     }
                 ],
                 schema=pa.schema(
@@ -112,10 +113,10 @@ def _search(k: int, most: int, pivots: dict[int, np.ndarray]):
                 dim = row["dim"]
                 ids, vectors = (
                     np.frombuffer(row["ids"], np.int64),
-                    np.frombuffer(row["vectors"], np.int32).reshape(-1, dim).astype(float),
+                    np.frombuffer(row["vectors"], np.int64).reshape(len(ids), dim).astype(float),
                 )
                 q_ids = np.frombuffer(row["q_ids"], np.int64)
-                queries = np.frombuffer(row["q_vectors"], np.int32).reshape(-1, dim).astype(float)
+                queries = np.frombuffer(row["q_vectors"], np.int64).reshape(len(q_ids), dim).astype(float)
                 chosen = pivots.get(dim, np.zeros((0, dim)))
                 table = np.frombuffer(row["distances"], np.float64).reshape(len(ids), -1) if len(chosen) else np.zeros((len(ids), 1))
                 mine = lifted(queries, chosen, most, query=True) if len(chosen) else np.zeros((len(q_ids), 1))
@@ -146,8 +147,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for dim, data in zip(batch.column("dim").to_pylist(), batch.column("vectors").to_pylist(), strict=True):
-                x = np.frombuffer(data, np.int32).reshape(-1, dim).astype(float)
+            for dim, data, count in zip(
+                batch.column("dim").to_pylist(), batch.column("vectors").to_pylist(),
+                pc.binary_length(batch.column("ids")).to_pylist(), strict=True,
+            ):
+                x = np.frombuffer(data, np.int64).reshape(count // 8, dim).astype(float)
                 out.append(lifted(x, pivots[dim], most, query=False).tobytes() if dim in pivots else b"")
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "distances"]
@@ -160,7 +164,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     place = index.withColumn("place", F.pmod(F.xxhash64("block"), F.lit(groups)))
     sent = queries.select(
         "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("place"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("place"),
     )
     found = place.join(sent, ["place", "dim"]).mapInArrow(_search(k, most, pivots), _PAIR)
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -170,9 +174,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
 
 SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as e from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
   from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import language, mixing, toxicity
+from flowlens.llm import decontaminate, language, mixing, topk, toxicity
 from flowlens.llm.common import crc_mod, table
 from flowlens.llm.lm import scored
 from flowlens.llm.neardup import near_duplicates
@@ -82,6 +82,20 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds a passage of a benchmark item, with the item and the words matched."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.with_leaks(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.words")
+
+
+@query("op9_top_k", topk.SQL)
+def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """Five best inner products of every fiftieth vector among all others."""
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document; remainder 1 is held out of training."""
