@@ -327,3 +327,10 @@ def letters_grams(words: list[str], sizes: tuple[int, ...], slots: int) -> Itera
         keep = np.flatnonzero(some & inside)
         at = word[keep + (1 if size > 1 else 0)] if size > 2 else word[np.where(letter[keep], keep, keep + size - 1)]
         yield at, (mix(h[keep]) % np.uint64(slots)).astype(np.int64)
+
+
+def aside(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but ``needed`` renamed, so that none clashes with those that operators
+    add, and the columns that bring the old names back."""
+    names = [c if c in needed else f"column_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(new).alias(old) for new, old in zip(names, docs.columns, strict=True)]

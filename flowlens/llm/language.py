@@ -167,13 +167,3 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_ambiguous, read from ``text`` alone."""
     fields = [("lang_pred", "string"), ("lang_score", "double"), ("lang_ambiguous", "boolean")]
     return appended(docs, fields, _decide(model))
-
-
-def known_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The documents whose text has a language that is told for sure, with their own columns."""
-    clash = {c.lower() for c in docs.columns} & {"lang_pred", "lang_score", "lang_ambiguous"}
-    if clash:  # their columns must come back as they were
-        kept = docs.withColumns({f"_kept_{c}": F.col(c) for c in docs.columns if c.lower() in clash})
-        found = identified(kept, model).filter(~F.col("lang_ambiguous"))
-        return found.select(*[F.col(f"_kept_{c}").alias(c) if c.lower() in clash else F.col(c) for c in docs.columns])
-    return identified(docs, model).filter(~F.col("lang_ambiguous")).select(*docs.columns)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, language, mixing, topk, toxicity
+from flowlens.llm import decontaminate, language, licences, mixing, topk, toxicity
 from flowlens.llm.common import crc_mod, table
 from flowlens.llm.lm import scored
 from flowlens.llm.neardup import near_duplicates
@@ -65,6 +66,16 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("kept", "kept_sha256")
 
 
+@query("op6_licence_scan", licences.SQL)
+def op6_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence of every document by the digest of its whole text, and the notices among its lines."""
+    found = licences.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.col("licence_digest").alias("digest"), F.col("licence").alias("license"),
+        F.array_join("licence_notices", ",").alias("notices"),
+    )
+
+
 @query("op7_mixing", mixing.SQL)
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of every document, in the order of their first position."""
@@ -105,3 +116,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"), "predicted", "toxic_window"
     )
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
