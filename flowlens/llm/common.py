@@ -292,7 +292,7 @@ def hash_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
     if not counts:
-        return rows.limit(0)
+        return rows.withColumn("sample_key", F.lit(0)).limit(0)
     key = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_class / n) * (1 << 30)))])
     kept = rows.withColumn("sample_key", key).filter(F.col("sample_key") < share[F.col(label)])

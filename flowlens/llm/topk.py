@@ -111,10 +111,8 @@ def _search(k: int, most: int, pivots: dict[int, np.ndarray]):
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
                 dim = row["dim"]
-                ids, vectors = (
-                    np.frombuffer(row["ids"], np.int64),
-                    np.frombuffer(row["vectors"], np.int64).reshape(len(ids), dim).astype(float),
-                )
+                ids = np.frombuffer(row["ids"], np.int64)
+                vectors = np.frombuffer(row["vectors"], np.int64).reshape(len(ids), dim).astype(float)
                 q_ids = np.frombuffer(row["q_ids"], np.int64)
                 queries = np.frombuffer(row["q_vectors"], np.int64).reshape(len(q_ids), dim).astype(float)
                 chosen = pivots.get(dim, np.zeros((0, dim)))

@@ -245,7 +245,7 @@ def train(texts: list[str], toxic: list[int], share: float, rounds: int = 8, see
             # Clean windows that were hard once stay in.
             pool = np.union1d(pool[~bad[doc[pool]]], order[np.where(own, top, top | other)])
         y = bad[doc[pool]].astype(np.float32)
-        for batch in np.array_split(rng.permutation(len(pool)), max(1, len(pool) // 256)):
+        for batch in np.array_split(rng.permutation(len(pool)), max(1, len(pool) // max(16, min(256, len(pool) // 40)))):
             step += 1
             own, back = np.unique(grid[pool[batch]], return_inverse=True)
             own = own[own < words.n]
