@@ -1,11 +1,14 @@
 """First-sight gate: after an event passes, its key is closed for a time to live.
 
 Used for duplicate removal by key, alert cool-down, hot periods and wallet first-seen.
-Which events pass depends on the last one that passed, so it is no window function. It still
-splits: time is cut into segments per key, every segment works out in parallel where each possible
-entry would leave it, a short chain over the segments fixes the true entries, and a second parallel
-pass marks the events. Events are first reduced to whole seconds, so a segment holds at most as
-many rows as it has seconds, however hot its key is.
+
+Events are first reduced to whole seconds. An event at least a TTL after the previous *event* of its
+key always passes, so events fall into runs, found by comparing neighbours within time segments, and a
+run shorter than the TTL passes its first event only. That settles keys that do not recur, such as
+signatures, without Python. Which events of a longer run pass depends on the last one that passed; such
+a run still splits: every segment works out in parallel where each possible entry would leave it, a
+short chain over the segments fixes the true entries, and a second parallel pass marks the events. A
+segment holds at most as many rows as it has seconds, however hot its key is. Null keys are keys.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.columns import bucket_start
+from flowlens.session import materialize
 
 SEGMENT_ROWS = 1_000_000
 SEGMENT_TTLS = 64
@@ -31,11 +35,12 @@ def segment_seconds(ttl: int) -> int:
 
 def _exits(times: np.ndarray, start: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
     """For sorted seconds of one segment: entry thresholds and the last pass they lead to."""
+    own = np.arange(len(times))
     following = np.searchsorted(times, times + ttl)
-    last = times.copy()
-    for i in range(len(times) - 1, -1, -1):
-        if following[i] < len(times):
-            last[i] = last[following[i]]
+    step = np.where(following < len(times), following, own)
+    while not np.array_equal(further := step[step], step):  # twice as far each time
+        step = further
+    last = times[step]
     # An entry lies in the first TTL of the segment or is the first event after it.
     n = min(len(times), int(np.searchsorted(times, start + ttl)) + 1)
     upto, leave = times[:n], last[:n]
@@ -52,6 +57,39 @@ def _passes(times: np.ndarray, threshold: int, ttl: int) -> np.ndarray:
     return out
 
 
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys are equal; keeps the left side's keys."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _runs(seconds: DataFrame, keys: Sequence[str], ttl: int) -> DataFrame:
+    """``seconds`` with ``_start`` (a TTL or more after the event before) and ``_run``, its run's start.
+
+    Neighbours are compared within (key, segment); what a segment needs of those before it is one row
+    per segment.
+    """
+    within = Window.partitionBy(*keys, "_seg").orderBy("_t")
+    sofar = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = Window.partitionBy(*keys).orderBy("_seg")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    segments = seconds.groupBy(*keys, "_seg").agg(F.max("_t").alias("_last"))
+    segments = segments.withColumn("_before", F.lag("_last").over(over)).drop("_last")
+    previous = F.coalesce(F.lag("_t").over(within), F.col("_before"))
+    marked = _join(seconds, segments, [*keys, "_seg"]).withColumn(
+        "_start", F.coalesce(F.col("_t") - previous >= ttl, F.lit(True))
+    )
+    starts = marked.groupBy(*keys, "_seg").agg(F.max(F.when(F.col("_start"), F.col("_t"))).alias("_in"))
+    starts = starts.withColumn("_earlier", F.last("_in", ignorenulls=True).over(before)).drop("_in")
+    own = F.last(F.when(F.col("_start"), F.col("_t")), ignorenulls=True).over(sofar)
+    return (
+        _join(marked.withColumn("_own", own), starts, [*keys, "_seg"])
+        .withColumn("_run", F.coalesce("_own", "_earlier"))
+        .drop("_before", "_own", "_earlier")
+    )
+
+
 def first_sight(
     events: DataFrame,
     keys: Sequence[str],
@@ -77,8 +115,23 @@ def first_sight(
     else:
         kept = F.min_by(F.struct(*carry), F.struct(*rank)).alias("_carry")
         seconds = events.groupBy(*keys, second).agg(kept).select(*keys, "_t", "_carry.*")
-    seconds = seconds.withColumn("_seg", bucket_start(F.col("_t"), length))
-    key_fields = [f for f in seconds.schema if f.name in keys]
+    seconds, _ = materialize(seconds.withColumn("_seg", bucket_start(F.col("_t"), length)))
+    rows, _ = materialize(_runs(seconds.select(*keys, "_seg", "_t"), keys, ttl))
+    passed = rows.filter("_start").select(*keys, "_t")
+    late = rows.filter(F.col("_t") - F.col("_run") >= ttl).select(*keys, "_run").distinct()
+    if not late.isEmpty():
+        slim = _join(rows.select(*keys, "_run", "_seg", "_t"), late, [*keys, "_run"], "left_semi")
+        passed = passed.unionByName(_chained(slim, [*keys, "_run"], ttl).filter("_t > _run").drop("_run"))
+    if not carry:
+        return passed.withColumnRenamed("_t", time)
+    return _join(seconds, passed, [*keys, "_t"], "left_semi").select(
+        *keys, F.col("_t").alias(time), *carry
+    )
+
+
+def _chained(slim: DataFrame, keys: Sequence[str], ttl: int) -> DataFrame:
+    """Passing seconds (``keys``, ``_t``) of runs longer than the TTL, from (keys, ``_seg``, ``_t``)."""
+    key_fields = [f for f in slim.schema if f.name in keys]
     key_names = [f.name for f in key_fields]
 
     def entry_map(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,18 +169,12 @@ def first_sight(
     def schema(*extra: str) -> T.StructType:
         return T.StructType(key_fields + [T.StructField(n, T.LongType()) for n in extra])
 
-    slim = seconds.select(*key_names, "_seg", "_t")
     maps = slim.groupBy(*key_names, "_seg").applyInPandas(
         entry_map, schema("_seg", "_upto", "_leave")
     )
     entries = maps.groupBy(*key_names).applyInPandas(chain, schema("_seg", "_threshold"))
-    marked = (
-        slim.join(entries, [*key_names, "_seg"])
+    return (
+        _join(slim, entries, [*key_names, "_seg"])
         .groupBy(*key_names, "_seg")
         .applyInPandas(mark, schema("_t"))
     )
-    if not carry:
-        return marked.select(*key_names, F.col("_t").alias(time))
-    return seconds.join(marked, [*key_names, "_t"], "left_semi").select(
-        *key_names, F.col("_t").alias(time), *carry
-    )

@@ -197,12 +197,13 @@ def token_stats(
     basis: str = "both",
     first_seen: DataFrame | None = None,
     top_share: int = 3,
-    top_new: int = 100,
+    top_new: int | None = None,
 ) -> DataFrame:
     """All statistics of a token window: counts, distinct wallets, volume, concentration, new wallets.
 
     One row per (mint, win_end). ``first_seen`` has one row per wallet; by default it is the first
-    trade in ``swaps``.
+    trade in ``swaps``. All wallets of the window are looked at for new ones; with ``top_new`` only
+    those of largest volume.
     """
     panes = pane_table(swaps, pane, volume)
     return stats_of_panes(panes, pane, length, basis, first_seen, top_share, top_new)
@@ -215,21 +216,24 @@ def stats_of_panes(
     basis: str = "both",
     first_seen: DataFrame | None = None,
     top_share: int = 3,
-    top_new: int = 100,
+    top_new: int | None = None,
 ) -> DataFrame:
     """``token_stats`` from ready panes (computed or read from a stored pane table)."""
     windows = wallet_windows(panes, pane, length)
     totals = with_ratios(window_totals(windows, ["mint", "win_end"], basis))
     seen = first_seen_of_panes(panes) if first_seen is None else first_seen
-    leaders = lookup_join(
-        top_wallets(windows, max(top_share, top_new), basis), seen, ["user_wallet"], salts=1
+    biggest = top_wallets(windows, top_share, basis).groupBy("mint", "win_end").agg(
+        F.sum(wide(F.col("volume_lamports"))).alias("top_lamports")
     )
-    new = (F.col("rank") <= top_new) & (F.col("first_seen") >= F.col("win_end") - length)
-    tops = leaders.groupBy("mint", "win_end").agg(
-        F.sum(F.when(F.col("rank") <= top_share, wide(F.col("volume_lamports")))).alias(
-            "top_lamports"
-        ),
-        F.count_if(new).alias("new_wallet_count"),
+    judged = windows if top_new is None else top_wallets(windows, top_new, basis)
+    new = F.col("first_seen") >= F.col("win_end") - length
+    newcomers = (
+        lookup_join(judged.select("mint", "win_end", "user_wallet"), seen, ["user_wallet"], salts=1)
+        .groupBy("mint", "win_end")
+        .agg(F.count_if(new).alias("new_wallet_count"))
+    )
+    tops = biggest.join(newcomers, ["mint", "win_end"], "full").withColumn(
+        "new_wallet_count", F.coalesce("new_wallet_count", F.lit(0))
     )
     return (
         totals.join(tops, ["mint", "win_end"], "left")

@@ -97,13 +97,24 @@ def summary(found: DataFrame) -> DataFrame:
     )
 
 
-def by_trigger_fraction(alerts: DataFrame, prices: DataFrame, now: int, sol_usd: float, limit: int):
-    """Command-line form: newest ``limit`` alerts with a market cap, gains as fractions."""
-    newest = (
-        alerts.filter(F.col("mcap_sol") > 0)
-        .orderBy(F.desc("created_at"), F.desc("alert_id"))
-        .limit(limit)
-    )
+def by_trigger_fraction(
+    alerts: DataFrame,
+    prices: DataFrame,
+    now: int,
+    sol_usd: float,
+    days: int | None = None,
+    limit: int | None = None,
+):
+    """Command-line form: alerts with a market cap, gains as fractions.
+
+    ``days`` keeps the alerts of that many days before ``now``, ``limit`` the newest ones; without
+    them all alerts count.
+    """
+    newest = alerts.filter(F.col("mcap_sol") > 0)
+    if days is not None:
+        newest = newest.filter(F.col("created_at") >= now - days * 86_400)
+    if limit is not None:
+        newest = newest.orderBy(F.desc("created_at"), F.desc("alert_id")).limit(limit)
     found = results(newest, prices, now, sol_usd)
     total = F.sum(F.round(F.col("gain_pct") * 1e9).cast("decimal(38,0)")).cast("double") / 1e9
     priced = F.count("gain_pct").cast("double")

@@ -13,6 +13,8 @@ from flowlens.workload import views as V
 from flowlens.workload.q_tx import SIMPLE_TRADES, deltas
 from flowlens.workload.registry import query
 
+DAY_SECONDS = V.DAY
+
 DAY = V.DAY
 _DAY_SQL = "strftime(make_timestamp({} * 1000000), '%Y-%m-%d')"
 DAY_OF = _DAY_SQL.format("created_at")
@@ -95,20 +97,34 @@ def backtest_view_by_age(spark, folder):
     return BT.view(results(spark, folder), by="age").select("alert_id", "status", "age_hours")
 
 
-@query(
-    "backtest_cli",
-    f"""with {V.ALERTS}, {V.PRICES}, newest as (select * from alerts where mcap_sol > 0
-      order by created_at desc, alert_id desc limit 5000),
+def _cli_sql(where: str = "", tail: str = "") -> str:
+    return f"""with {V.ALERTS}, {V.PRICES}, newest as (select * from alerts where mcap_sol > 0 {where} {tail}),
     g as (select trigger_name, (market_cap_usd - mcap_sol) / mcap_sol * 100 as gain_pct from newest left join prices using (mint))
     select trigger_name, count(*) as alerts, count(*) filter (gain_pct > 0) as wins, count(*) filter (gain_pct <= 0) as losses,
       ((sum(round(gain_pct * 1e9)::hugeint))::hugeint::double / 1e9) / count(gain_pct)::double / 100 as avg_gain
-    from g group by all""",
-)
+    from g group by all"""
+
+
+def _cli(spark, folder, **kept):
+    return BT.by_trigger_fraction(V.alerts(spark, folder), V.prices(spark, folder), V.NOW_ORDERS, 1.0, **kept)
+
+
+@query("backtest_cli", _cli_sql())
 def backtest_cli(spark, folder):
-    """Command-line form: the newest five thousand alerts, gains as fractions."""
-    return BT.by_trigger_fraction(
-        V.alerts(spark, folder), V.prices(spark, folder), V.NOW_ORDERS, 1.0, 5000
-    )
+    """Command-line form over all alerts, gains as fractions."""
+    return _cli(spark, folder)
+
+
+@query("backtest_cli_days", _cli_sql(f"and created_at >= {V.NOW_ORDERS - 365 * DAY_SECONDS}"))
+def backtest_cli_days(spark, folder):
+    """The alerts of the last year only."""
+    return _cli(spark, folder, days=365)
+
+
+@query("backtest_cli_limited", _cli_sql(tail="order by created_at desc, alert_id desc limit 5000"))
+def backtest_cli_limited(spark, folder):
+    """The newest five thousand alerts only: the limit is the feature here."""
+    return _cli(spark, folder, limit=5000)
 
 
 # --- alert reports -------------------------------------------------------------------------

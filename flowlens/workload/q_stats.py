@@ -34,8 +34,9 @@ def windows_sql(name: str, days: int) -> str:
   from panes, range({days}) as r(i) group by all)"""
 
 
-def stats_sql(name: str, windows: str, days: int) -> str:
+def stats_sql(name: str, windows: str, days: int, top_new: int | None = None) -> str:
     """CTEs ``{name}_top`` and ``{name}``: all statistics per (mint, win_end)."""
+    new = f"first_seen >= win_end - {days * DAY}" + (f" and r <= {top_new}" if top_new else "")
     return f"""{name}_seen as (
     select user_wallet, min(block_time) as first_seen from swaps group by all),
   {name}_top as (
@@ -53,8 +54,8 @@ def stats_sql(name: str, windows: str, days: int) -> str:
         as buy_sell_ratio,
       coalesce((sum(lamports) filter (r <= 3))::bigint::double
         / nullif(sum(lamports)::bigint::double, 0), 0.0::double) as top_3_volume_share,
-      count(*) filter (r <= 100 and first_seen >= win_end - {days * DAY}) as new_wallet_count,
-      coalesce((count(*) filter (r <= 100 and first_seen >= win_end - {days * DAY}))::double
+      count(*) filter ({new}) as new_wallet_count,
+      coalesce((count(*) filter ({new}))::double
         / nullif(count(*) filter (buys > 0), 0)::double, 0.0::double) as new_wallet_pct
     from {name}_top group by mint, win_end)"""
 
@@ -110,14 +111,28 @@ def unique_wallets(spark, folder):
     return S.unique_wallets(V.swaps(spark, folder), DAY)
 
 
-@query("unique_wallets_sketch")
+@query(
+    "unique_wallets_sketch",
+    f"""with {V.SWAPS} select base_mint as mint,
+    count(distinct user_wallet) filter (side = 'buy') as unique_buyers,
+    count(distinct user_wallet) filter (side = 'sell') as unique_sellers, true as close
+    from swaps group by all""",
+)
 def unique_wallets_sketch(spark, folder):
-    """Daily sketches merged to one estimate per mint."""
-    daily = S.unique_wallets(V.swaps(spark, folder), DAY, approx=True)
-    return daily.groupBy("mint").agg(
-        F.hll_sketch_estimate(F.hll_union_agg("buyer_sketch")).alias("unique_buyers"),
-        F.hll_sketch_estimate(F.hll_union_agg("seller_sketch")).alias("unique_sellers"),
+    """Daily sketches merged to one estimate per mint, held against the exact counts."""
+    trades = V.swaps(spark, folder)
+    merged = S.unique_wallets(trades, DAY, approx=True).groupBy("mint").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("buyer_sketch")).alias("buyers"),
+        F.hll_sketch_estimate(F.hll_union_agg("seller_sketch")).alias("sellers"),
     )
+    exact = (
+        trades.groupBy(F.col("base_mint").alias("mint"), "user_wallet")
+        .agg(F.max(F.col("side") == "buy").alias("bought"), F.max(F.col("side") == "sell").alias("sold"))
+        .groupBy("mint")
+        .agg(F.count_if("bought").alias("unique_buyers"), F.count_if("sold").alias("unique_sellers"))
+    )
+    off = [F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), F.col(b) * 0.05) for a, b in (("buyers", "unique_buyers"), ("sellers", "unique_sellers"))]
+    return exact.join(merged, "mint").select("mint", "unique_buyers", "unique_sellers", (off[0] & off[1]).alias("close"))
 
 
 @query(
@@ -201,6 +216,18 @@ def new_wallets(spark, folder):
     )
 
 
+@query(
+    "new_wallets_top_100",
+    f"""with {V.SWAPS}, {PANES}, {windows_sql('week', 7)}, {stats_sql('long', 'week', 7, 100)}
+    select mint, win_end, new_wallet_count, new_wallet_pct from long""",
+)
+def new_wallets_top_100(spark, folder):
+    """New wallets among the hundred of largest volume only: the original's shortcut."""
+    return S.token_stats(V.swaps(spark, folder), DAY, 7 * DAY, top_new=100).select(
+        "mint", "win_end", "new_wallet_count", "new_wallet_pct"
+    )
+
+
 @query(
     "token_stats",
     f"""with {STATS} select * replace (
@@ -477,6 +504,19 @@ def processing_lag(spark, folder):
     return last.withColumn("lag_seconds", F.lit(V.NOW_EVENTS) - F.col("last_block_time"))
 
 
+@query(
+    "dedup_ttl_signature",
+    f"""with {V.SWAPS} select signature, block_time from swaps
+    union all select signature, block_time + 700 from swaps where slot % 5 = 0""",
+)
+def dedup_ttl_signature(spark, folder):
+    """The gate by signature: repeats within 600 s of the first sight fall, later ones pass."""
+    trades = V.swaps(spark, folder).select("signature", "slot", "block_time")
+    later = lambda every, by: trades.filter(F.col("slot") % every == 0).withColumn("block_time", F.col("block_time") + by)
+    seen = trades.unionByName(later(3, 100)).unionByName(later(5, 700)).unionByName(later(7, 0))
+    return first_sight(seen, ["signature"], "block_time", 600)
+
+
 @query(
     "dedup_ttl",
     f"""with recursive {V.SWAPS}, seen as (
