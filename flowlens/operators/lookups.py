@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.session import materialize
+
 # A keyed table below this planned size may be sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -16,6 +18,19 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def measured(table: DataFrame) -> tuple[DataFrame, int]:
+    """``table`` written once, and its size in memory from its real rows.
+
+    Without a cost model the planned size of an aggregate is that of its input, so ten keys would seem as
+    large as the facts they were reduced from. Text counts with its real mean length.
+    """
+    table, _ = materialize(table)
+    text = [f.name for f in table.schema if f.dataType.simpleString() == "string"]
+    lengths = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(f"_{i}") for i, c in enumerate(text)]
+    rows, *sums = table.agg(F.count("*"), *lengths).first()
+    return table, int(rows * (16 + 16 * len(table.columns)) + sum(sums))
+
+
 def lookup_join(
     facts: DataFrame,
     table: DataFrame,
@@ -26,15 +41,22 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``facts`` with ``table`` (one row per key).
 
-    A table of checked small size is broadcast. A larger one that is still small beside the facts
-    is copied to ``salts`` salted partitions, over which the rows of a hot key are spread, so no
-    task gets a whole hot key. Where the copies would outweigh the facts, or with ``salts=1``, it
-    is a plain join and hot keys are left to the adaptive skew join, which splits the facts' side.
+    A table planned small (an upper bound where its plan is an aggregate or a filter) is broadcast. One that is
+    planned large is written first and measured: if it turns out
+    small it is broadcast all the same, so a few hot keys never shuffle the facts. A larger one that is still
+    small beside the facts is copied to ``salts`` salted partitions, over which the rows of a hot key are
+    spread, so no task gets a whole hot key. Where the copies would outweigh the facts, or with
+    ``salts=1``, it is a plain join and hot keys are left to the adaptive skew join, which splits the
+    facts' side.
     """
     keys = list(keys)
     size = planned_bytes(table)
     if size <= broadcast_bytes:
         return facts.join(F.broadcast(table), keys, how)
+    if not facts.isStreaming and not table.isStreaming:
+        table, size = measured(table)
+        if size <= broadcast_bytes:
+            return facts.join(F.broadcast(table), keys, how)
     if salts <= 1 or size * salts > planned_bytes(facts):
         return facts.join(table, keys, how)
     spread = [c for c in facts.columns if c not in keys] or keys

@@ -11,8 +11,13 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 _WRITTEN: list[str] = []
 
 
-def build_session(app: str = "flowlens", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators count on; ``conf`` keys use ``__`` for dots."""
+def build_session(
+    app: str = "flowlens", master: str | None = None, shared: str | None = None, **conf: str
+) -> SparkSession:
+    """A session with the settings the operators count on; ``conf`` keys use ``__`` for dots.
+
+    ``shared`` is the folder that all executors see, for tables that cut lineage.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -23,6 +28,7 @@ def build_session(app: str = "flowlens", master: str | None = None, **conf: str)
         # Split a skewed join side even where that costs one more exchange above it.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **({"spark.checkpoint.dir": shared} if shared else {}),
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for key, value in settings.items():
@@ -34,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the cluster's shared folder (``spark.checkpoint.dir``).
 
     Where the setting is absent a temporary folder is used in local mode only: on a cluster a
-    machine-local folder would be lost with its executor.
+    machine-local folder would be lost with its executor. ``drop_materialized`` removes the path.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -45,7 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in _LOCAL_FOLDERS:
             _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         base = _LOCAL_FOLDERS[app]
-    return f"{base.rstrip('/')}/flowlens-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/flowlens-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def materialize(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
@@ -53,7 +61,6 @@ def materialize(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]
     spark = df.sparkSession
     path = path or shared_dir(spark)
     df.write.mode("overwrite").parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -67,6 +74,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def drop_materialized(spark: SparkSession) -> None:
-    """Remove all tables this process has written to the shared folder."""
+    """Remove everything this process has put into the shared folder: tables, logs, checkpoints."""
     for path in list(_WRITTEN):
         drop_path(spark, path)

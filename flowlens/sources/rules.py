@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.constants import RULE_STATS
@@ -59,6 +59,24 @@ def rules_from(entries: list[dict]) -> list[Rule]:
     return out
 
 
+def write_rules(spark: SparkSession, rules: list[Rule], path: str) -> None:
+    """Rules as one JSON record per rule in a folder of any file system that Spark writes."""
+    rows = [
+        (i, r.name, [f"{c.field} {c.op} {c.value!r}" for c in r.conditions]) for i, r in enumerate(rules)
+    ]
+    table = spark.createDataFrame(rows, "place int, name string, conditions array<string>")
+    table.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_rules(spark: SparkSession, path: str) -> list[Rule]:
+    """Rules from such a folder (a few dozen rows of configuration)."""
+    schema = "place int, name string, conditions array<string>, enabled boolean"
+    rows = spark.read.schema(schema).json(path).orderBy("place").collect()
+    return rules_from(
+        [{"name": r.name, "conditions": r.conditions, "enabled": r.enabled is not False} for r in rows]
+    )
+
+
 def load_rules(path: str | Path = DEFAULT_RULES) -> list[Rule]:
     """Read a YAML or JSON rule file (a few dozen entries of configuration)."""
     text = Path(path).read_text()

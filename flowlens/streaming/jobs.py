@@ -38,7 +38,10 @@ def file_stream(
 
 
 def event_time(rows: DataFrame, epoch: str = "block_time", late: str = "10 minutes") -> DataFrame:
-    """Add ``ts`` from epoch seconds with a watermark; later rows are dropped and counted."""
+    """Add ``ts`` from epoch seconds with a watermark; stateful operators drop rows later than that.
+
+    ``run_available`` counts the dropped rows.
+    """
     return rows.withColumn("ts", F.timestamp_seconds(epoch)).withWatermark("ts", late)
 
 
@@ -92,20 +95,40 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     return top_per_key(spark.read.parquet(path), keys, [F.desc("batch")], 1).drop("rank", "batch")
 
 
-def insert_once(path: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def insert_once(
+    path: str, keys: Sequence[str], order: Sequence[str], epoch: str | None = None, reach: int = 7
+) -> Callable[[DataFrame, int], None]:
     """Sink that keeps the first row per key for good.
 
     A replayed batch overwrites its own folder and is compared with earlier batches only, so a
-    restart neither loses nor repeats rows.
+    restart neither loses nor repeats rows. With ``epoch`` (a column of epoch seconds) rows are stored by
+    day, and a batch is compared with the days it touches and ``reach`` days around them only: what one
+    batch reads then depends on the batch and not on the life of the stream. Keys must not come back later
+    than that.
     """
 
+    def stored_before(batch: DataFrame, batch_id: int) -> DataFrame:
+        earlier = batch.sparkSession.read.parquet(path).filter(F.col("batch") < batch_id)
+        if epoch is None:
+            return earlier
+        low, high = batch.agg(F.min(epoch), F.max(epoch)).first()
+        if low is None:
+            return earlier.limit(0)
+        return earlier.filter(F.col("day").between(low // 86_400 - reach, high // 86_400 + reach))
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = first_per_key(batch, keys, [F.asc(c) for c in order])
-        if batch_id > 0 and _exists(spark, path):
-            earlier = spark.read.parquet(path).filter(F.col("batch") < batch_id)
-            new = new.join(earlier.select(*keys), list(keys), "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch = batch.persist()  # read twice below; the stateful steps before it must run once
+        try:
+            new = first_per_key(batch, keys, [F.asc(c) for c in order])
+            if batch_id > 0 and _exists(batch.sparkSession, path):
+                new = new.join(stored_before(batch, batch_id).select(*keys), list(keys), "left_anti")
+            if epoch is None:
+                new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            else:
+                days = new.withColumn("day", F.floor(F.col(epoch) / 86_400))
+                days.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return write
 
@@ -132,22 +155,43 @@ def run_available(
     sink: Callable[[DataFrame, int], None],
     checkpoint: str | None = None,
     mode: str = "update",
+    counts: dict[str, int] | None = None,
 ) -> str:
-    """Process what is there, then stop; returns the checkpoint for a restart."""
-    checkpoint = checkpoint or shared_dir(stream.sparkSession)
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    """Process what is there, then stop; returns the checkpoint for a restart.
+
+    ``counts`` gets the number of micro-batches and of rows that came too late for the watermark.
+    """
+    spark = stream.sparkSession
+    checkpoint = checkpoint or shared_dir(spark)
+    # State beyond the executors' memory: kept on disk, snapshots in the checkpoint.
+    provider, before = "spark.sql.streaming.stateStore.providerClass", None
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(sink)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    if counts is not None:
+        progress = list({p["batchId"]: p for p in query.recentProgress}.values())
+        counts["batches"] = counts.get("batches", 0) + len(progress)
+        late = sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
+        counts["late_rows"] = counts.get("late_rows", 0) + late
     return checkpoint
 
 
 # --- token state ---------------------------------------------------------------------------
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Rows of this mint only move the watermark.
+CLOCK = "~clock"
+
 STATE_OUT = T.StructType(
     [
         T.StructField("mint", T.StringType()),
@@ -170,6 +214,8 @@ def token_state(evaluations: DataFrame, hot_ttl: int, late: str = "10 minutes")
 
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mint = key[0]
+        if mint == CLOCK:
+            return
         current, hot_until = state.get if state.exists else ("cold", 0)
         out = []
         if state.hasTimedOut:
@@ -188,7 +234,10 @@ def token_state(evaluations: DataFrame, hot_ttl: int, late: str = "10 minutes")
                 if hit and current != "hot":
                     out.append((mint, int(at), "hot"))
                     current, hot_until = "hot", int(at) + hot_ttl
-        state.update((current, hot_until))
+        if current == "cold":
+            state.remove()  # the same as no state
+        else:
+            state.update((current, hot_until))
         if current == "hot":
             due = max(hot_until * 1000, state.getCurrentWatermarkMs() + 1)
             state.setTimeoutTimestamp(due)

@@ -8,38 +8,39 @@ from flowlens.operators import rules as RU
 from flowlens.operators import trades as T
 from flowlens.plans.detection import stats_pair
 from flowlens.session import materialize, shared_dir
-from flowlens.sources.tables import read_table
+from flowlens.sources.rules import read_rules, write_rules
 from flowlens.streaming import jobs as J
 from flowlens.workload import views as V
-from flowlens.workload.q_rules import HITS, RULES, STATES
+from flowlens.workload.q_rules import RULE_SQL, RULES, STATES
+from flowlens.workload.q_stats import PAIR
 from flowlens.workload.q_tx import SIMPLE_TRADES
 from flowlens.workload.registry import query
 
 DAY = V.DAY
 
 
-def trade_stream(spark, folder, max_files=None):
-    """The events file as a stream of trades."""
-    schema = read_table(spark, folder, "events").schema
-    events = J.file_stream(spark, folder, schema, "events.parquet", max_files)
-    return V.swaps_of(events)
-
-
-SLICE_ROWS = 1_000_000
+def staged(df, order, files=None):
+    """``df`` as a folder that grew in time order: one range-partitioned write, whose files then get
+    modification times in the order of their ranges, so that a file stream reads them in time order."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    files = files or max(6, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    found.sort(key=lambda f: f.getPath().getName())
+    first = min((f.getModificationTime() for f in found), default=0)
+    for i, file in enumerate(found):
+        system.setTimes(file.getPath(), first + 1000 * i, -1)
+    return path
 
 
-def staged(df, order):
-    """``df`` as a folder that grew in time order: one file per time slice of bounded size, so that
-    a file stream reads the slices in that order."""
-    path = shared_dir(df.sparkSession)
-    df, _ = materialize(df)
-    slices = max(5, -(-df.count() // SLICE_ROWS))
-    cuts = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.2 / slices)
-    edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    for low, high in zip(edges, edges[1:], strict=False):
-        part = df.filter((F.col(order) > low) & (F.col(order) <= high))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+def trade_stream(spark, folder):
+    """The trades as a stream of several micro-batches in time order."""
+    trades = V.swaps(spark, folder)
+    return J.file_stream(spark, staged(trades, "block_time"), trades.schema, max_files=1)
 
 
 @query(
@@ -48,13 +49,13 @@ def staged(df, order):
     base_amount, quote_amount from best""",
 )
 def tx_source(spark, folder):
-    """Transactions from a file stream, deduplicated, turned into trades, stored once."""
+    """Transactions from a file stream, some delivered twice, turned into trades, stored once."""
     tx = V.tx(spark, folder).drop("inner_programs", "o_orderstatus")
-    path = shared_dir(spark)
-    tx.write.parquet(path)
-    stream = J.file_stream(spark, path, tx.schema, max_files=4)
-    # The files are not in time order, so the watermark has to span the years they cover.
-    unique = J.deduplicated(J.event_time(stream, late="4000 days"), ["signature"]).drop("ts")
+    again = tx.filter(F.col("slot") % 5 == 0).withColumn("block_time", F.col("block_time") + 60)
+    path = staged(tx.unionByName(again), "block_time")
+    stream = J.file_stream(spark, path, tx.schema, max_files=1)
+    # Signatures are kept for a day; repeats come within minutes.
+    unique = J.deduplicated(J.event_time(stream, late="1 day"), ["signature"]).drop("ts")
     trades = T.infer_trades(T.delta_records(T.normalized(unique)))
     out = shared_dir(spark)
     J.run_available(trades, J.insert_once(out, ["signature", "base_mint"], ["slot"]), mode="append")
@@ -130,28 +131,40 @@ def stream_restart(spark, folder):
     )
 
 
+_MIDDLE = V.NOW_EVENTS - 15 * DAY
+_EARLY = [r.name for r in RULES[:3]]
+_RELOADED = " ".join(
+    f"when {test}" + ("" if name in _EARLY else f" and win_end >= {_MIDDLE}") + f" then '{name}'"
+    for name, test in RULE_SQL.items()
+)
+
+
 @query(
     "rules_reload",
-    f"with {HITS} select mint, win_end, trigger_name from hits",
+    f"""with {PAIR} select mint, win_end, trigger_name from (
+      select mint, win_end, case {_RELOADED} end as trigger_name from pair) where trigger_name is not null""",
 )
 def rules_reload(spark, folder):
-    """Rules read anew for every micro-batch of statistics."""
-    stats, path = materialize(stats_pair(V.swaps(spark, folder), V.SHORT, V.LONG))
-    stream = J.file_stream(spark, path, stats.schema, max_files=2)
-    out = shared_dir(spark)
-    J.run_available(stream, J.match_rules(out, lambda: RULES), mode="append")
+    """Rules read anew from their file for every micro-batch; the file changes half way."""
+    stats, _ = materialize(stats_pair(V.swaps(spark, folder), V.SHORT, V.LONG))
+    source, out, file = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+
+    def run(rules, part, checkpoint=None):
+        write_rules(spark, rules, file)
+        stats.filter(part).write.mode("append").parquet(source)
+        stream = J.file_stream(spark, source, stats.schema, max_files=2)
+        return J.run_available(stream, J.match_rules(out, lambda: read_rules(spark, file)), checkpoint, "append")
+
+    checkpoint = run(RULES[:3], F.col("win_end") < _MIDDLE)
+    run(RULES, F.col("win_end") >= _MIDDLE, checkpoint)
     return spark.read.parquet(out).select("mint", "win_end", "trigger_name")
 
 
-@query(
-    "stream_token_state",
-    f"""with recursive {STATES} select * from changes
-    where state <> 'cold' or changed_at <= (select max(win_end) from stats)""",
-)
+@query("stream_token_state", f"with recursive {STATES} select * from changes")
 def stream_token_state(spark, folder):
-    """State changes by a stateful stream: those of ``token_state`` up to the end of the data.
+    """State changes by a stateful stream: those of ``token_state``.
 
-    Hot periods that end later are still open when the stream stops.
+    A clock row beyond the last hot period moves the watermark, so that the open periods end too.
     """
     stats, _ = materialize(stats_pair(V.swaps(spark, folder), V.SHORT, V.LONG))
     fired = RU.first_match(stats, RULES, with_reason=False).select(
@@ -159,9 +172,11 @@ def stream_token_state(spark, folder):
     )
     grid = stats.select("mint", "win_end").join(fired, ["mint", "win_end"], "left")
     rows = grid.withColumn("hit", F.coalesce("hit", F.lit(False)))
+    clock = rows.agg((F.max("win_end") + 30 * DAY).alias("win_end")).filter("win_end is not null").select(
+        F.lit(J.CLOCK).alias("mint"), "win_end", F.lit(False).alias("hit")
+    )
+    rows = rows.unionByName(clock)
     stream = J.file_stream(spark, staged(rows, "win_end"), rows.schema, max_files=1)
     out = shared_dir(spark)
     J.run_available(J.token_state(stream, 3 * DAY), J.write_versions(out), mode="append")
     return spark.read.parquet(out).select("mint", "changed_at", "state")
-
-

@@ -9,10 +9,11 @@ from flowlens.session import build_session, drop_materialized  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[4]",
+        shared=str(tmp_path_factory.mktemp("shared")),
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
         spark__driver__memory="4g",

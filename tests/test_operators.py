@@ -196,3 +196,54 @@ def test_plans_stay_on_the_jvm_and_avoid_cross_joins(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
         assert "Python" not in plan
+
+
+def test_gate_null_keys_are_keys(spark):
+    from flowlens.operators.gate import first_sight
+
+    rows = [(None, 1), (None, 700), ("a", 1), ("a", 5), (None, 300)]
+    events = spark.createDataFrame(rows, "k string, t long")
+    got = sorted(map(tuple, first_sight(events, ["k"], "t", 600).collect()), key=str)
+    assert got == sorted([(None, 1), (None, 700), ("a", 1)], key=str)
+    carried = first_sight(events, ["k"], "t", 600, order=["t"], carry=["t"]).count()
+    assert carried == 3
+
+
+def test_large_plan_of_a_small_table_is_broadcast(spark):
+    """Ten keys out of many rows: planned as large as the facts, broadcast after measuring."""
+    from flowlens.operators.lookups import lookup_join, planned_bytes
+
+    facts = spark.range(200_000).selectExpr("id % 10 as k", "id")
+    table = facts.groupBy("k").count()
+    limit = 10_000
+    assert planned_bytes(table) > limit
+    plan = lookup_join(facts, table, ["k"], broadcast_bytes=limit)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_new_wallets_beyond_the_hundredth(spark):
+    from flowlens.operators.stats import token_stats
+
+    rows = [("m", f"u{i}", "buy", 10, 1000 - i) for i in range(150)]
+    trades = spark.createDataFrame(rows, "base_mint string, user_wallet string, side string, block_time long, quote_amount long")
+    every = token_stats(trades, 60, 60).first()
+    few = token_stats(trades, 60, 60, top_new=100).first()
+    assert (every.new_wallet_count, every.new_wallet_pct) == (150, 1.0)
+    assert few.new_wallet_count == 100
+
+
+def test_late_rows_are_counted(spark):
+    from flowlens.session import shared_dir
+    from flowlens.streaming import jobs as J
+
+    schema = "signature string, block_time long"
+    path, out = shared_dir(spark), shared_dir(spark)
+    counts, checkpoint = {}, None
+    for batch in ([("a", 100_000), ("b", 100_010)], [("c", 200_000)], [("d", 5), ("e", 200_001)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = J.file_stream(spark, path, spark.read.parquet(path).schema, max_files=1)
+        unique = J.deduplicated(J.event_time(stream)).drop("ts")
+        sink = J.insert_once(out, ["signature"], ["block_time"], epoch="block_time")
+        checkpoint = J.run_available(unique, sink, checkpoint, "append", counts)
+    assert sorted(r.signature for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "e"]
+    assert counts["late_rows"] == 1 and counts["batches"] >= 3
