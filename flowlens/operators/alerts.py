@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,17 @@ def venue_or_suffix(venue: Column, mint: Column) -> Column:
     return F.coalesce(venue, F.when(mint.endswith("pump"), F.lit("pump")))
 
 
-def buyer_lists(tops: DataFrame, limit: int = 5) -> DataFrame:
-    """The top buyers of each mint as one array of at most ``limit`` entries.
+def buyer_lists(tops: DataFrame, limit: int = 5, keys: Sequence[str] = ("mint",)) -> DataFrame:
+    """The top buyers per ``keys`` as one array of at most ``limit`` entries.
 
-    ``tops`` is the result of ``top_buyers``, so a mint's group is already bounded.
+    ``tops`` is the result of ``top_buyers``, so a group is already bounded.
     """
     entry = F.struct(
         "rank", "user_wallet", "buy_count", "total_quote", "total_base", "avg_entry_mcap"
     )
     return (
         tops.filter(F.col("rank") <= limit)
-        .groupBy("mint")
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(entry)).alias("top_buyers"))
     )
 
@@ -56,12 +58,13 @@ def build_alerts(
 ) -> DataFrame:
     """Alert rows for rule hits (``mint``, ``win_end``, trigger and statistics).
 
-    The others are keyed by mint: ``top_buyers``, ``cluster_summary``, ``venue``, ``price_sol`` and
-    ``mcap_sol``. The id is a hash of mint, rule and time, so a replay gives the same alert.
+    The others are keyed by mint and ``win_end`` (what was known then): ``top_buyers``,
+    ``cluster_summary``, ``venue``, ``price_sol`` and ``mcap_sol``. The id is a hash of mint, rule and
+    time, so a replay gives the same alert.
     """
     out = hits
     for table in (buyers, summaries, venues, prices):
-        out = lookup_join(out, table, ["mint"])
+        out = lookup_join(out, table, ["mint", "win_end"])
     return out.withColumn("venue", venue_or_suffix(F.col("venue"), F.col("mint"))).withColumn(
         "alert_id", F.xxhash64("mint", "trigger_name", "win_end")
     )

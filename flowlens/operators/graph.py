@@ -128,6 +128,27 @@ def clusters_of(lists: DataFrame, members: DataFrame, stats: DataFrame, key: str
     return lookup_join(found.select(key, "component").distinct(), stats, ["component"], "inner")
 
 
+def clusters_as_of(
+    lists: DataFrame, members: DataFrame, activity: DataFrame, keys: Sequence[str], end: str
+) -> DataFrame:
+    """Clusters of the wallets listed per ``keys``, with the volume of their members until then.
+
+    ``lists``: (keys, node). ``activity``: (node, pane_end, lamports), one row per wallet and pane; only panes
+    that close by the column ``end`` (one of ``keys``) count. Starts from the listed clusters, so
+    only their members' activity is summed.
+    """
+    keys = list(keys)
+    found = lookup_join(lists.select(*keys, "node"), members, ["node"], "inner").select(*keys, "component").distinct()
+    all_members = members.withColumnRenamed("node", "member")
+    held = found.join(all_members, "component").join(
+        activity, (F.col("member") == F.col("node")) & (F.col("pane_end") <= F.col(end)), "left"
+    )
+    return held.groupBy(*keys, "component").agg(
+        F.count_distinct("member").alias("size"),
+        F.coalesce(F.sum(wide(F.col("lamports"))), F.lit(0)).alias("volume_lamports"),
+    )
+
+
 def cluster_overview(stats: DataFrame, minimum: int = 2) -> DataFrame:
     """One row: wallets, clusters, large clusters, mean and largest size."""
     return stats.agg(
@@ -145,18 +166,19 @@ def _plural(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n > 1, F.lit("s")).otherwise(F.lit("")))
 
 
-def cluster_summary(found: DataFrame, key: str, shown: int = 5) -> DataFrame:
+def cluster_summary(found: DataFrame, key: str | Sequence[str], shown: int = 5) -> DataFrame:
     """Text per key: wallets, clusters, and the largest clusters by volume as A, B, C, ...
 
     ``found`` is the result of ``clusters_of``. Only the ``shown`` largest clusters per key are
     gathered into a list.
     """
-    totals = found.groupBy(key).agg(
+    keys = [key] if isinstance(key, str) else list(key)
+    totals = found.groupBy(*keys).agg(
         F.sum("size").alias("wallets"), F.count("*").alias("clusters")
     )
     tops = (
-        top_per_key(found, [key], [F.desc("volume_lamports"), F.asc("component")], shown)
-        .groupBy(key)
+        top_per_key(found, keys, [F.desc("volume_lamports"), F.asc("component")], shown)
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("rank", "size", "volume_lamports"))).alias("top"))
     )
     lines = F.transform(
@@ -183,7 +205,7 @@ def cluster_summary(found: DataFrame, key: str, shown: int = 5) -> DataFrame:
         F.concat_ws(", ", lines),
         extra,
     )
-    return totals.join(tops, key).select(key, "wallets", "clusters", text.alias("cluster_summary"))
+    return totals.join(tops, keys).select(*keys, "wallets", "clusters", text.alias("cluster_summary"))
 
 
 def funding_edges(tx: DataFrame) -> DataFrame:

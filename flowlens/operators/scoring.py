@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +12,21 @@ from flowlens.operators.lookups import lookup_join
 
 
 def linked_buyers(
-    buyers: DataFrame, members: DataFrame, sizes: DataFrame, history: DataFrame | None = None
+    buyers: DataFrame,
+    members: DataFrame,
+    sizes: DataFrame,
+    history: DataFrame | None = None,
+    keys: Sequence[str] = ("mint",),
 ) -> DataFrame:
-    """How the top buyers of each mint are linked.
+    """How the top buyers per ``keys`` are linked.
 
-    ``buyers``: (mint, user_wallet), already cut to a top list. ``members``: (node, component).
+    ``buyers``: (keys, user_wallet), already cut to a top list. ``members``: (node, component).
     ``sizes``: (component, size). ``history``: (user_wallet, cluster_id) of earlier runs. Counts the
     full size of every cluster of two or more that a buyer is in, plus buyers linked only in history.
     """
+    keys = list(keys)
     found = lookup_join(
-        buyers.select("mint", "user_wallet"),
+        buyers.select(*keys, "user_wallet"),
         members.withColumnRenamed("node", "user_wallet"),
         ["user_wallet"],
     )
@@ -29,29 +36,29 @@ def linked_buyers(
     else:
         found = lookup_join(found, history.select("user_wallet", "cluster_id"), ["user_wallet"])
     large = F.coalesce(F.col("size") >= 2, F.lit(False))
-    listed = found.groupBy("mint").agg(F.count("*").alias("buyers_listed"))
+    listed = found.groupBy(*keys).agg(F.count("*").alias("buyers_listed"))
     current = (
         found.filter(large)
-        .groupBy("mint", "component")
+        .groupBy(*keys, "component")
         .agg(F.max("size").alias("size"))
-        .groupBy("mint")
+        .groupBy(*keys)
         .agg(F.sum("size").alias("in_clusters"), F.max("size").alias("largest"))
     )
     past = (
         found.filter(F.col("cluster_id").isNotNull())
-        .groupBy("mint", "cluster_id")
+        .groupBy(*keys, "cluster_id")
         .agg(F.count("*").alias("n"), F.count_if(~large).alias("only_past"))
-        .groupBy("mint")
+        .groupBy(*keys)
         .agg(
             F.sum(F.when(F.col("n") >= 2, F.col("only_past")).otherwise(0)).alias("past_only"),
             F.max("n").alias("past_largest"),
         )
     )
     return (
-        listed.join(current, "mint", "left")
-        .join(past, "mint", "left")
+        listed.join(current, keys, "left")
+        .join(past, keys, "left")
         .select(
-            "mint",
+            *keys,
             "buyers_listed",
             (F.coalesce("in_clusters", F.lit(0)) + F.coalesce("past_only", F.lit(0))).alias(
                 "linked"

@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+from flowlens.functions.columns import wide
 from flowlens.operators import alerts as A
 from flowlens.operators import graph as G
+from flowlens.operators.asof import latest_before
 from flowlens.operators.lookups import lookup_join
 from flowlens.operators.rules import first_match, mcap_gate
 from flowlens.operators.scoring import factors, linked_buyers, scored
 from flowlens.operators.state import cooled_down
 from flowlens.operators.stats import pane_table, stats_of_panes, two_windows
-from flowlens.operators.toplists import dominant_venue, top_buyers, vwap_recent
+from flowlens.operators.toplists import (
+    dominant_venue_as_of,
+    pane_end,
+    top_buyers,
+    top_buyers_as_of,
+    vwap_as_of,
+)
 from flowlens.session import materialize
 from flowlens.sources.rules import Rule
 
@@ -43,10 +51,21 @@ def hits(
 
 
 def gated_hits(
-    matched: DataFrame, latest_mcap: DataFrame, minimum: float, cooldown: int | None = None
+    matched: DataFrame,
+    quotes: DataFrame,
+    minimum: float,
+    cooldown: int | None = None,
+    max_age: int = 3600,
+    order: Sequence[str] = ("block_time", "slot"),
 ) -> DataFrame:
-    """Hits that pass the market-cap gate and, if given, the cool-down."""
-    passed = mcap_gate(lookup_join(matched, latest_mcap, ["mint"]), minimum=minimum)
+    """Hits that pass the market-cap gate and, if given, the cool-down, with their ``mcap_sol``.
+
+    ``quotes``: (mint, mcap_sol, ``order``). A hit is judged by the last quote before its window's end
+    that is at most ``max_age`` seconds old; later quotes can't change it.
+    """
+    asked = matched.withColumn("asked_at", F.col("win_end") - 1)
+    known = latest_before(asked, quotes, "mint", "mcap_sol", max_age, ("asked_at",), order)
+    passed = mcap_gate(known.drop("asked_at", "mcap_sol_time"), minimum=minimum)
     return passed if cooldown is None else cooled_down(passed, cooldown)
 
 
@@ -64,6 +83,7 @@ def alert_rows(
     members: DataFrame,
     supply: DataFrame,
     quote: str,
+    pane: int,
     history: DataFrame | None = None,
     symbols: DataFrame | None = None,
     buyers_kept: int = 5,
@@ -71,26 +91,37 @@ def alert_rows(
 ) -> DataFrame:
     """Full alert rows for hits: top buyers, clusters, score, venue, price and market cap.
 
-    ``passed`` has short-window statistics under rule names. ``members`` is the result of
-    ``components``; ``supply`` has (base_mint, supply, decimals).
+    ``passed`` has short-window statistics under rule names and the gate's ``mcap_sol``. ``members`` is
+    the result of ``components``; ``supply`` has (base_mint, supply, decimals); ``pane`` is the short window.
+
+    Everything is as of the hit: lists, clusters, venue and price come from the trades before its
+    ``win_end``. The market cap is the one the gate saw, else supply times the mean of the last trades.
 
     The hits, the trades of their mints and the top buyers are each used several times, so they are
     written once: the trades are scanned for the hot mints only once, however many lists follow.
     """
+    keys = ["mint", "win_end"]
     passed, _ = materialize(passed)
     hot = passed.select(F.col("mint").alias("base_mint")).distinct()
-    sizes = G.cluster_stats(members, wallet_activity(swaps))
+    activity = swaps.groupBy(F.col("user_wallet").alias("node"), pane_end(pane).alias("pane_end")).agg(
+        F.sum(wide(F.col("quote_amount"))).alias("lamports")
+    )
     swaps, _ = materialize(lookup_join(swaps, hot, ["base_mint"], "left_semi"))
-    tops, _ = materialize(top_buyers(swaps, buyers_kept))
-    listed = tops.select("mint", F.col("user_wallet").alias("node"))
-    summaries = G.cluster_summary(G.clusters_of(listed, members, sizes, "mint"), "mint")
-    links = linked_buyers(tops, members, sizes, history)
-    price = lookup_join(
-        vwap_recent(swaps, quote=quote), supply.withColumnRenamed("base_mint", "mint"), ["mint"]
+    tops, _ = materialize(top_buyers_as_of(swaps, passed, pane, buyers_kept))
+    listed = tops.select(*keys, F.col("user_wallet").alias("node"))
+    summaries = G.cluster_summary(G.clusters_as_of(listed, members, activity, keys, "win_end"), keys)
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
+    links = linked_buyers(tops, members, sizes, history, keys)
+    vwap = lookup_join(
+        vwap_as_of(swaps, passed, pane, quote=quote), supply.withColumnRenamed("base_mint", "mint"), ["mint"]
     ).select(
-        "mint",
+        *keys,
         (F.col("price_per_unit") * F.pow(F.lit(10.0), F.col("decimals"))).alias("price_sol"),
-        (F.col("price_per_unit") * F.col("supply").cast("double")).alias("mcap_sol"),
+        (F.col("price_per_unit") * F.col("supply").cast("double")).alias("vwap_mcap"),
+    )
+    seen = passed.select(*keys, F.when(F.col("mcap_sol") > 0, F.col("mcap_sol")).alias("seen"))
+    price = lookup_join(seen, vwap, keys).select(
+        *keys, "price_sol", F.coalesce("seen", "vwap_mcap").alias("mcap_sol")
     )
     stats = passed.select(
         "mint",
@@ -104,12 +135,12 @@ def alert_rows(
         F.col("top_3_buyers_volume_share_5m").alias("top_3_volume_share"),
         F.col("new_wallet_pct_5m").alias("new_wallet_pct"),
     )
-    rated = factors(scored(lookup_join(stats, links, ["mint"])))
+    rated = factors(scored(lookup_join(stats, links, keys)))
     built = A.build_alerts(
         rated,
-        A.buyer_lists(tops, buyers_kept),
-        summaries.select("mint", "cluster_summary"),
-        dominant_venue(swaps, unknown_venue).select("mint", "venue"),
+        A.buyer_lists(tops, buyers_kept, keys),
+        summaries.select(*keys, "cluster_summary"),
+        dominant_venue_as_of(swaps, passed, pane, unknown_venue).select(*keys, "venue"),
         price,
     )
     if symbols is None:

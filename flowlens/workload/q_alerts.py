@@ -36,13 +36,11 @@ from flowlens.workload.q_graph import (
 )
 from flowlens.workload.q_rules import (
     COOLED,
-    HITS,
-    LATEST_CAPS,
+    GATED_HITS,
     RULES,
-    latest_caps,
+    cap_quotes,
     reason_sql,
 )
-from flowlens.workload.q_stats import VWAP
 from flowlens.workload.registry import query
 
 DAY = V.DAY
@@ -52,52 +50,57 @@ DAY = V.DAY
 # Digit of the mint drives supply and symbol.
 _DIGIT = "base_mint[2:]::bigint"
 ALERT_STEPS = f"""{LINKS}, {SCORE_STEPS}, {EVIDENCE},
-  wallet_buys as (select base_mint as mint, user_wallet, count(*) as buy_count, sum(quote_amount)::bigint as total_quote,
+  cases as (select h.* from hits h join cooled using (mint, win_end)),
+  before as (select c.win_end, s.* from cases c join swaps s on s.base_mint = c.mint and s.block_time < c.win_end),
+  wallet_buys as (select base_mint as mint, win_end, user_wallet, count(*) as buy_count, sum(quote_amount)::bigint as total_quote,
       (sum(round((quote_amount::double / 1e9) / base_amount::double * 1000000.0::double * 1e6)::bigint)
         filter (quote_mint = 'WSOL'))::bigint::double / 1e6 / count(*) filter (quote_mint = 'WSOL')::double as avg_mcap
-    from swaps where side = 'buy' group by base_mint, user_wallet),
-  tops as (select *, row_number() over (partition by mint order by total_quote desc, user_wallet) as r
+    from before where side = 'buy' group by base_mint, win_end, user_wallet),
+  tops as (select *, row_number() over (partition by mint, win_end order by total_quote desc, user_wallet) as r
     from wallet_buys qualify r <= 5),
-  lines as (select mint, r, user_wallet || ' - ' || {fixed_sql('total_quote::double / 1e9', 2)} || ' SOL'
+  lines as (select mint, win_end, r, user_wallet || ' - ' || {fixed_sql('total_quote::double / 1e9', 2)} || ' SOL'
       || case when avg_mcap > 0 then ' @ ' || case when avg_mcap * 200 >= 1e6 then '$' || {fixed_sql('avg_mcap * 200.0::double / 1e6', 1)} || 'M'
         when avg_mcap * 200 >= 1e3 then '$' || {fixed_sql('avg_mcap * 200.0::double / 1e3', 0)} || 'K'
         else '$' || {fixed_sql('avg_mcap * 200.0::double', 0)} end else '' end as line from tops),
-  line_lists as (select mint, string_agg(line, ' ; ' order by r) as buyers,
-    string_agg(r || '. ' || line, chr(10) order by r) filter (r <= 3) as first_three from lines group by mint),
-  activity as (select user_wallet as node, sum(quote_amount)::bigint as lamports from swaps group by all),
-  group_sums as (select component, count(*) as size, coalesce(sum(lamports), 0)::bigint as lamports
-    from members left join activity using (node) group by all),
-  found as (select distinct mint, g.* from tops join members on node = user_wallet join group_sums g using (component)),
-  found_ranked as (select *, row_number() over (partition by mint order by lamports desc, component) as r from found),
-  summaries as (select mint, sum(size) || ' wallets in ' || count(*) || ' cluster'
+  line_lists as (select mint, win_end, string_agg(line, ' ; ' order by r) as buyers,
+    string_agg(r || '. ' || line, chr(10) order by r) filter (r <= 3) as first_three from lines group by mint, win_end),
+  listed as (select distinct mint, win_end, component from tops join members on node = user_wallet),
+  found as (select l.mint, l.win_end, l.component, count(distinct m.node) as size, coalesce(sum(s.quote_amount), 0)::bigint as lamports
+    from listed l join members m using (component)
+    left join swaps s on s.user_wallet = m.node and s.block_time < l.win_end group by all),
+  found_ranked as (select *, row_number() over (partition by mint, win_end order by lamports desc, component) as r from found),
+  summaries as (select mint, win_end, sum(size) || ' wallets in ' || count(*) || ' cluster'
       || case when count(*) > 1 then 's' else '' end || ': '
       || string_agg('Cluster ' || chr((64 + r)::int) || ' (' || size || ' wallet' || case when size > 1 then 's' else '' end
         || ', ' || {fixed_sql('lamports::double / 1e9', 2)} || ' SOL)', ', ' order by r) filter (r <= 5) as cluster_summary
-    from found_ranked group by mint),
-  {VWAP},
-  priced as (select mint, (total_quote::double / 1e9) / total_base::double * pow(10.0::double, 3) as price_sol,
-      (total_quote::double / 1e9) / total_base::double * ((1 + mint[2:]::bigint) * 1000000)::double as mcap_sol from vwap),
-  venues as (select base_mint as mint, venue from swaps where venue <> 'error' group by base_mint, venue
-    qualify row_number() over (partition by base_mint order by count(*) desc, venue) = 1),
+    from found_ranked group by mint, win_end),
+  vwap as (select base_mint as mint, win_end, sum(quote_amount)::bigint as total_quote, sum(base_amount)::bigint as total_base
+    from (select * from before
+      qualify row_number() over (partition by base_mint, win_end order by block_time desc, slot desc) <= 5)
+    where side = 'buy' and quote_mint = 'WSOL' group by all),
+  priced as (select mint, win_end, (total_quote::double / 1e9) / total_base::double * pow(10.0::double, 3) as price_sol,
+      (total_quote::double / 1e9) / total_base::double * ((1 + mint[2:]::bigint) * 1000000)::double as vwap_mcap from vwap),
+  venues as (select base_mint as mint, win_end, venue from before where venue <> 'error' group by base_mint, win_end, venue
+    qualify row_number() over (partition by base_mint, win_end order by count(*) desc, venue) = 1),
   raised as (select h.mint, h.win_end, h.trigger_name, {reason_sql().replace('trigger_name', 'h.trigger_name', 1)} as trigger_reason,
-      e.* exclude (mint, win_end), buyers, first_three, cluster_summary, venue, price_sol, p.mcap_sol,
+      e.* exclude (mint, win_end), buyers, first_three, cluster_summary, venue, price_sol,
+      coalesce(case when h.mcap_sol > 0 then h.mcap_sol end, vwap_mcap) as mcap_sol,
       case when h.mint[2:]::bigint % 2 = 0 then 'S' || h.mint[2:] end as token_symbol
-    from hits h join cooled using (mint, win_end) left join caps c on c.mint = h.mint
+    from cases h
     join evidenced e on e.mint = h.mint and e.win_end = h.win_end
-    left join line_lists l on l.mint = h.mint left join summaries s on s.mint = h.mint
-    left join priced p on p.mint = h.mint left join venues v on v.mint = h.mint)"""
+    left join line_lists l on l.mint = h.mint and l.win_end = h.win_end
+    left join summaries s on s.mint = h.mint and s.win_end = h.win_end
+    left join priced p on p.mint = h.mint and p.win_end = h.win_end
+    left join venues v on v.mint = h.mint and v.win_end = h.win_end)"""
 # Cool-down applies to hits that passed the gate, so the gate comes first here.
-GATED = HITS.replace("hits as (", "all_hits as (", 1) + f""", {LATEST_CAPS},
-  hits as (select h.* from all_hits h left join caps using (mint)
-    where mcap_sol is null or mcap_sol = 0 or mcap_sol >= 500), {COOLED}"""
-RAISED = f"{GATED}, {ALERT_STEPS}"
+RAISED = f"{GATED_HITS}, {COOLED}, {ALERT_STEPS}"
 
 
 def raised(spark, folder):
     """Alert rows from trades: rules, gate, cool-down, buyers, clusters, score, price."""
     trades = V.swaps(spark, folder)
     hits = first_match(stats_pair(trades, V.SHORT, V.LONG), RULES)
-    passed = gated_hits(hits, latest_caps(trades), 500, 3 * DAY).drop("mcap_sol")
+    passed = gated_hits(hits, cap_quotes(trades), 500, 3 * DAY, max_age=3 * DAY)
     members, _ = materialize(user_members(trades))
     digit = F.substring("base_mint", 2, 9).cast("bigint")
     mints = trades.select("base_mint").distinct()
@@ -118,6 +121,7 @@ def raised(spark, folder):
         members,
         supply,
         quote="WSOL",
+        pane=V.SHORT,
         history=user_history(trades),
         symbols=symbols,
         unknown_venue="error",

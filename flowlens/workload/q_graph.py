@@ -9,7 +9,7 @@ from flowlens.operators import graph as G
 from flowlens.operators.lookups import lookup_join
 from flowlens.operators.scoring import factors, linked_buyers, scored
 from flowlens.operators.stats import token_stats
-from flowlens.operators.toplists import top_buyers
+from flowlens.operators.toplists import pane_end, top_buyers_as_of
 from flowlens.plans.detection import enrich_hot
 from flowlens.session import materialize
 from flowlens.sources.tables import read_table
@@ -211,22 +211,29 @@ def enrich(spark, folder):
 USER_MEMBERS = f"""{V.USER_EDGES}, {V.components_sql('users', 'user_edges')},
   sizes as (select component, count(*) as size from members group by all)"""
 # Clusters of an earlier run: users by number modulo 40.
+# Top buyers, and so links, are those of the trades before each window's end.
 LINKS = f"""{USER_MEMBERS},
-  buyers as (select base_mint as mint, user_wallet, user_id, sum(quote_amount) as q from swaps where side = 'buy'
-    group by base_mint, user_wallet, user_id qualify row_number() over (partition by base_mint order by q desc, user_wallet) <= 5),
-  bought as (select mint, user_wallet, component, size, 'h' || (user_id % 3) as cluster_id
+  buyers as (select s.mint, s.win_end, user_wallet, user_id, sum(quote_amount) as q
+    from (select mint, win_end from stats) s join swaps w on w.base_mint = s.mint and w.block_time < s.win_end
+    where side = 'buy' group by s.mint, s.win_end, user_wallet, user_id
+    qualify row_number() over (partition by s.mint, s.win_end order by q desc, user_wallet) <= 5),
+  bought as (select mint, win_end, user_wallet, component, size, 'h' || (user_id % 3) as cluster_id
     from buyers join members on node = user_wallet join sizes using (component)),
-  past as (select mint, cluster_id, count(*) as n, count(*) filter (size < 2) as only_past from bought group by all),
-  links as (select mint, count(*) as buyers_listed,
-    (coalesce((select sum(size) from (select distinct component, size from bought b where b.mint = o.mint and size >= 2)), 0)
-      + (select sum(case when n >= 2 then only_past else 0 end) from past p where p.mint = o.mint))::bigint as linked,
-    coalesce(max(size) filter (size >= 2), (select max(n) from past p where p.mint = o.mint)) as largest
-    from bought o group by mint),
+  past as (select mint, win_end, cluster_id, count(*) as n, count(*) filter (size < 2) as only_past from bought group by all),
+  in_past as (select mint, win_end, sum(case when n >= 2 then only_past else 0 end) as past_only, max(n) as past_largest
+    from past group by all),
+  in_now as (select mint, win_end, sum(size) as in_clusters
+    from (select distinct mint, win_end, component, size from bought where size >= 2) group by all),
+  links as (select mint, win_end, count(*) as buyers_listed,
+    (coalesce(any_value(in_clusters), 0) + any_value(past_only))::bigint as linked,
+    coalesce(max(size) filter (size >= 2), any_value(past_largest)) as largest
+    from bought left join in_now using (mint, win_end) left join in_past using (mint, win_end) group by mint, win_end),
   clustered as (select *, case when linked::double / buyers_listed::double >= 5e-1
       then least(1.0::double, linked::double / buyers_listed::double + 2e-1)
     when linked::double / buyers_listed::double >= 2e-1 then linked::double / buyers_listed::double + 1e-1
     else 0.0::double end as cluster_score from links)"""
-SCORE_STEPS = """parts as (select s.*, c.* exclude (mint),
+SCORE_STEPS = """parts as (select s.*, coalesce(c.buyers_listed, 0) as buyers_listed, coalesce(c.linked, 0) as linked,
+    coalesce(c.largest, 1) as largest, coalesce(c.cluster_score, 0.0::double) as cluster_score,
     case when top_3_volume_share >= 8e-1 then 1e0 when top_3_volume_share >= 6e-1 then 8e-1
       when top_3_volume_share >= 4e-1 then 5e-1 when top_3_volume_share >= 2e-1 then 2e-1 else 0e0 end as concentration_score,
     case when unique_buyers = 0 then 0e0 when buy_count::double / unique_buyers >= 10 then 1e0
@@ -236,7 +243,7 @@ SCORE_STEPS = """parts as (select s.*, c.* exclude (mint),
       when new_wallet_pct >= 3e-1 then 4e-1 else 0e0 end as new_wallet_score,
     case when buy_sell_ratio >= 20 then 1e0 when buy_sell_ratio >= 10 then 8e-1
       when buy_sell_ratio >= 5 then 5e-1 when buy_sell_ratio >= 3 then 3e-1 else 0e0 end as ratio_score,
-    from stats s left join clustered c on c.mint = s.mint),
+    from stats s left join clustered c on c.mint = s.mint and c.win_end = s.win_end),
   scored as (select *, (concentration_score * 25 + cluster_score * 30 + timing_score * 15 + new_wallet_score * 15
       + ratio_score * 15) / 100e0 as total_score,
     greatest(10 - case when buy_count < 5 then 3 when buy_count < 10 then 2 when buy_count < 20 then 1 else 0 end
@@ -260,7 +267,7 @@ def percent_sql(value: str) -> str:
 
 
 _FINITE = "case when isinf(buy_sell_ratio) then 0 else buy_sell_ratio end"
-_SHARE = "linked::double / buyers_listed::double"
+_SHARE = "(case when buyers_listed = 0 then 0e0 else linked::double / buyers_listed::double end)"
 _FREQ = "(case when unique_buyers = 0 then 0e0 else buy_count::double / unique_buyers::double end)"
 EVIDENCE = f"""evidenced as (select *, list_filter([
     case when top_3_volume_share >= 8e-1 then 'Very high concentration: top 3 = ' || {percent_sql('top_3_volume_share')}
@@ -290,23 +297,30 @@ def user_history(trades):
     )
 
 
-def links(trades):
+def links(trades, cases):
     members, _ = materialize(user_members(trades))
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    return linked_buyers(top_buyers(trades, 5), members, sizes, user_history(trades))
+    tops = top_buyers_as_of(trades, cases, DAY, 5)
+    return linked_buyers(tops, members, sizes, user_history(trades), ["mint", "win_end"])
 
 
 def scored_days(spark, folder):
     trades = V.swaps(spark, folder)
-    return scored(lookup_join(token_stats(trades, DAY, DAY), links(trades), ["mint"]))
+    stats, _ = materialize(token_stats(trades, DAY, DAY))
+    return scored(lookup_join(stats, links(trades, stats), ["mint", "win_end"]))
 
 
 @query(
     "cluster_score",
-    f"""with recursive {V.SWAPS}, {LINKS} select mint, buyers_listed, linked, largest, cluster_score from clustered""",
+    f"""with recursive {STATS}, {LINKS} select mint, win_end, buyers_listed, linked, largest, cluster_score from clustered""",
 )
 def cluster_score(spark, folder):
-    return links(V.swaps(spark, folder))
+    """Links among the top buyers of each token as of every day."""
+    trades = V.swaps(spark, folder)
+    days = trades.select(
+        F.col("base_mint").alias("mint"), pane_end(DAY).alias("win_end")
+    ).distinct()
+    return links(trades, days)
 
 
 _PARTS = "concentration_score, cluster_score, timing_score, new_wallet_score, ratio_score"

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 import flowlens
 from flowlens.functions.text import finite_ratio
 from flowlens.operators import rules as RU
-from flowlens.operators.asof import latest_value
 from flowlens.operators.state import cooled_down, state_at, state_changes
 from flowlens.plans.detection import gated_hits, stats_pair
 from flowlens.sources.rules import FIELDS, load_rules, parsed_condition, rule_errors
@@ -174,30 +173,32 @@ def trigger_reason(spark, folder):
     )
 
 
-# Latest caps; a mint without a recent quote has none.
-LATEST_CAPS = f"""{MCAPS}, caps as (select base_mint as mint, mcap as mcap_sol from mcaps
-  where block_time > {V.NOW_EVENTS - 3 * DAY} and block_time <= {V.NOW_EVENTS}
-  qualify row_number() over (partition by base_mint order by block_time desc, slot desc) = 1)"""
+# The last cap before each hit; a mint without a recent quote has none.
+CAPS_AS_OF = f"""{MCAPS}, caps as (select h.mint, h.win_end, m.mcap as mcap_sol
+  from (select mint, win_end from matched) h join mcaps m on m.base_mint = h.mint
+    and m.block_time < h.win_end and m.block_time >= h.win_end - 1 - {3 * DAY}
+  qualify row_number() over (partition by h.mint, h.win_end order by m.block_time desc, m.slot desc) = 1)"""
+MATCHED = HITS.replace("hits as (", "matched as (", 1)
+GATED_HITS = f"""{MATCHED}, {CAPS_AS_OF},
+  hits as (select m.*, mcap_sol from matched m left join caps using (mint, win_end)
+    where mcap_sol is null or mcap_sol = 0 or mcap_sol >= 500)"""
 
 
-def latest_caps(trades):
-    latest = latest_value(
-        mcap_quotes(trades), "base_mint", ["mcap"], ["block_time", "slot"], V.NOW_EVENTS, 3 * DAY
-    )
-    return latest.select(
-        F.col("base_mint").alias("mint"), F.col("mcap").alias("mcap_sol")
+def cap_quotes(trades):
+    return mcap_quotes(trades).select(
+        F.col("base_mint").alias("mint"), "block_time", "slot", F.col("mcap").alias("mcap_sol")
     )
 
 
 @query(
     "trigger_mcap_gate",
-    f"""with {HITS}, {LATEST_CAPS} select mint, win_end, trigger_name, coalesce(mcap_sol, 0.0::double) as mcap_sol
-    from hits left join caps using (mint) where mcap_sol is null or mcap_sol = 0 or mcap_sol >= 500""",
+    f"""with {GATED_HITS} select mint, win_end, trigger_name, coalesce(mcap_sol, 0.0::double) as mcap_sol from hits""",
 )
 def trigger_mcap_gate(spark, folder):
+    """Hits whose market cap, as known at the hit, is large enough or unknown."""
     trades = V.swaps(spark, folder)
     hits = RU.first_match(stats_pair(trades, V.SHORT, V.LONG), RULES)
-    passed = gated_hits(hits, latest_caps(trades), 500)
+    passed = gated_hits(hits, cap_quotes(trades), 500, max_age=3 * DAY)
     return passed.select(
         "mint", "win_end", "trigger_name", F.coalesce("mcap_sol", F.lit(0.0)).alias("mcap_sol")
     )

@@ -247,3 +247,47 @@ def test_late_rows_are_counted(spark):
         checkpoint = J.run_available(unique, sink, checkpoint, "append", counts)
     assert sorted(r.signature for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "e"]
     assert counts["late_rows"] == 1 and counts["batches"] >= 3
+
+
+def test_later_trades_do_not_change_an_alert(spark):
+    import random
+
+    from flowlens.operators.toplists import dominant_venue_as_of, top_buyers, top_buyers_as_of, vwap_as_of, vwap_recent
+    from flowlens.plans.detection import gated_hits
+
+    rng = random.Random(2)
+    rows = [
+        (f"m{rng.randrange(3)}", f"u{rng.randrange(9)}", rng.choice(["buy", "buy", "sell"]), rng.choice("abc"), "SOL",
+         t * 7, t, rng.randrange(1, 99), rng.randrange(1, 99))
+        for t in range(300)
+    ]
+    schema = (
+        "base_mint string, user_wallet string, side string, venue string, quote_mint string, block_time long,"
+        " slot long, quote_amount long, base_amount long"
+    )
+    trades = spark.createDataFrame(rows, schema)
+    cases = spark.createDataFrame([("m0", 600), ("m0", 1200), ("m1", 60), ("m2", 1800)], "mint string, win_end long")
+
+    def lists(swaps):
+        found = (
+            top_buyers_as_of(swaps, cases, 60, 3), dominant_venue_as_of(swaps, cases, 60), vwap_as_of(swaps, cases, 60, 5, "SOL")
+        )
+        return [sorted(map(str, f.collect())) for f in found]
+
+    whole = lists(trades)
+    for mint, end in ((r.mint, r.win_end) for r in cases.collect()):
+        past = trades.filter((F.col("block_time") < end) & (F.col("base_mint") == mint))
+        own = F.col("win_end") == end
+        got = top_buyers_as_of(trades, cases, 60, 3).filter(own & (F.col("mint") == mint)).drop("win_end")
+        want = top_buyers(past, 3)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+        price = vwap_as_of(trades, cases, 60, 5, "SOL").filter(own & (F.col("mint") == mint)).collect()
+        assert [r.price_per_unit for r in price] == [r.price_per_unit for r in vwap_recent(past, 5, "SOL").collect()]
+    late = [(f"m{i % 3}", "whale", "buy", "z", "SOL", 1800 + i, 1000 + i, 10**6, 1) for i in range(50)]
+    assert lists(trades.unionByName(spark.createDataFrame(late, schema))) == whole
+
+    hits = spark.createDataFrame([("m0", 600), ("m1", 600), ("m2", 600)], "mint string, win_end long")
+    quotes = [("m0", 10, 1, 900.0), ("m0", 599, 2, 100.0), ("m0", 600, 3, 900.0), ("m1", 50, 4, 100.0)]
+    quotes = spark.createDataFrame(quotes, "mint string, block_time long, slot long, mcap_sol double")
+    passed = gated_hits(hits, quotes, 500.0, max_age=300)
+    assert sorted((r.mint, r.mcap_sol) for r in passed.collect()) == [("m1", None), ("m2", None)]
