@@ -49,6 +49,12 @@ def buyer_lists(tops: DataFrame, limit: int = 5, keys: Sequence[str] = ("mint",)
     )
 
 
+def alert_key(mint: Column, rule: Column, end: Column) -> Column:
+    """A number from the first 60 bits of a digest of mint, rule and time."""
+    digest = F.md5(F.concat_ws("|", mint, rule, end.cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def build_alerts(
     hits: DataFrame,
     buyers: DataFrame,
@@ -66,7 +72,7 @@ def build_alerts(
     for table in (buyers, summaries, venues, prices):
         out = lookup_join(out, table, ["mint", "win_end"])
     return out.withColumn("venue", venue_or_suffix(F.col("venue"), F.col("mint"))).withColumn(
-        "alert_id", F.xxhash64("mint", "trigger_name", "win_end")
+        "alert_id", alert_key(F.col("mint"), F.col("trigger_name"), F.col("win_end"))
     )
 
 

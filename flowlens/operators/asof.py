@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.columns import bucket_start
 
+# Buckets are this many times shorter than the age limit.
+BUCKETS_PER_AGE = 64
+
 
 def latest_before(
     facts: DataFrame,
@@ -21,13 +24,13 @@ def latest_before(
 ) -> DataFrame:
     """For each fact, the last ``value`` of its key at or before it and at most ``max_age`` old.
 
-    Orders start with epoch seconds; at equal times the value comes first. Time is cut into
-    buckets of ``max_age`` seconds: what a fact may see lies in its own bucket or the one before,
-    so the last value of each bucket is also sent to the next bucket and the search runs per
-    (key, bucket). A hot key is thereby spread over its buckets, and nothing is paired with
-    everything.
+    Orders start with epoch seconds; at equal times the value comes first. Time is cut into buckets
+    much shorter than ``max_age``. Each bucket is reduced to its last value, and these are carried forward
+    over one row per bucket to the buckets that hold facts; the search itself runs per (key, bucket). So a
+    hot key is spread over its buckets, however long values live, and nothing is paired with everything.
     """
     f_time, v_time = fact_order[0], value_order[0]
+    width = max(1, max_age // BUCKETS_PER_AGE)
     tie = [F.coalesce(F.col(c).cast("bigint"), F.lit(0)) for c in value_order[1:]] or [F.lit(0)]
     known = values.select(
         F.col(key),
@@ -35,11 +38,19 @@ def latest_before(
         F.struct(*tie).alias("_tie"),
         F.col(value).alias("_v"),
     ).filter(F.col("_v").isNotNull())
-    known = known.withColumn("_b", bucket_start(F.col("_t"), max_age))
+    known = known.withColumn("_b", bucket_start(F.col("_t"), width))
+    ends = known.groupBy(key, "_b").agg(
+        F.max_by(F.struct("_t", "_tie", "_v"), F.struct("_t", "_tie")).alias("_l")
+    )
+    asked = facts.select(F.col(key), bucket_start(F.col(f_time).cast("bigint"), width).alias("_b")).distinct()
+    steps = ends.select(key, "_b", "_l", F.lit(0).alias("_asked")).unionByName(
+        asked.select(key, "_b", F.lit(None).cast(ends.schema["_l"].dataType).alias("_l"), F.lit(1).alias("_asked"))
+    )
+    before = Window.partitionBy(key).orderBy("_b").rangeBetween(Window.unboundedPreceding, -1)
     last = (
-        known.groupBy(key, "_b")
-        .agg(F.max_by(F.struct("_t", "_tie", "_v"), F.struct("_t", "_tie")).alias("_l"))
-        .select(key, (F.col("_b") + max_age).alias("_b"), "_l.*")
+        steps.withColumn("_c", F.last("_l", ignorenulls=True).over(before))
+        .filter((F.col("_asked") == 1) & (F.col("_b") - F.col("_c._t") <= max_age))
+        .select(key, "_b", "_c.*")
     )
     side = known.unionByName(last).select(
         key,
@@ -52,7 +63,7 @@ def latest_before(
     )
     left = facts.select(
         F.col(key),
-        bucket_start(F.col(f_time), max_age).alias("_b"),
+        bucket_start(F.col(f_time).cast("bigint"), width).alias("_b"),
         F.col(f_time).cast("bigint").alias("_t"),
         F.lit(None).cast(known.schema["_tie"].dataType).alias("_tie"),
         F.lit(1).alias("_kind"),

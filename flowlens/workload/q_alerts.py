@@ -130,12 +130,14 @@ def raised(spark, folder):
 
 @query(
     "alerts_build",
-    f"""with recursive {RAISED} select mint, win_end, trigger_name, trigger_reason, buy_count, unique_buyers,
+    f"""with recursive {RAISED} select ('0x' || md5(mint || '|' || trigger_name || '|' || win_end)[1:15])::bigint as alert_id,
+    mint, win_end, trigger_name, trigger_reason, buy_count, unique_buyers,
     volume_sol, total_score, score_confidence, buyers, cluster_summary, venue, coalesce(price_sol, -1.0::double) as price_sol,
     coalesce(mcap_sol, -1.0::double) as mcap_sol, coalesce(token_symbol, '-') as token_symbol from raised""",
 )
 def alerts_build(spark, folder):
     return raised(spark, folder).select(
+        "alert_id",
         "mint",
         "win_end",
         "trigger_name",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlens.functions.columns import epoch_seconds
 from flowlens.operators import metrics as ME
 from flowlens.operators import trades as T
 from flowlens.plans import backtest as BT
@@ -284,15 +285,18 @@ def batch_timing(spark, folder):
 
 
 @query(
-    "processing_rates",
+    "pipeline_rates",
     f"""with {SIMPLE_TRADES} select (select count(*) from orders) as processed, count(*) as swaps_found,
+    (select count(*)::double / (max(epoch_us(o_orderdate) // 1000000) - min(epoch_us(o_orderdate) // 1000000))::double from orders) as tx_per_second,
+    (select count(*)::double / (select count(*) from orders)::double * 100 from orders
+      where o_orderkey not in (select l_orderkey from lineitem)) as error_rate_pct,
     count(*)::double / (select count(*) from orders)::double * 100 as detection_rate_pct,
     (sum(tenths)::bigint::double / count(*)::double) / 10 as avg_confidence,
     (select count(*)::double / (select count(*) from lineitem)::double * 100 from (
       select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having n > 1)) as dup_keys_pct from best""",
 )
-def processing_rates(spark, folder):
-    """Detection rate, mean confidence and share of repeated keys."""
+def pipeline_rates(spark, folder):
+    """Throughput, errors (transactions without a balance), detection rate, confidence, repeated keys."""
     found = (
         T.infer_trades(deltas(spark, folder))
         .agg(F.struct(F.count("*").alias("n"), F.sum("confidence_tenths").alias("tenths")))
@@ -302,9 +306,19 @@ def processing_rates(spark, folder):
     lines = keys.agg(
         F.struct(F.count_if(F.col("count") > 1).alias("dups"), F.sum("count").alias("n"))
     ).scalar()
-    orders = read_table(spark, folder, "orders").agg(F.count("*").alias("processed"))
-    return orders.select(
+    orders = read_table(spark, folder, "orders")
+    seconds = epoch_seconds(F.col("o_orderdate"))
+    known = read_table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    marked = orders.join(known.withColumn("known", F.lit(True)), "o_orderkey", "left")
+    counted = marked.agg(
+        F.count("*").alias("processed"),
+        F.count_if(F.col("known").isNull()).alias("errors"),
+        (F.max(seconds) - F.min(seconds)).alias("span"),
+    )
+    return counted.select(
         "processed",
+        ME.rate(F.col("processed"), F.col("span")).alias("tx_per_second"),
+        ME.rate(F.col("errors"), F.col("processed"), 100.0).alias("error_rate_pct"),
         found["n"].alias("swaps_found"),
         ME.rate(found["n"], F.col("processed"), 100.0).alias("detection_rate_pct"),
         (ME.rate(found["tenths"], found["n"]) / 10).alias("avg_confidence"),
