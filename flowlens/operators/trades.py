@@ -12,6 +12,7 @@ from flowlens.functions import balances as B
 from flowlens.functions import swaps as S
 from flowlens.functions.columns import bind
 from flowlens.operators.lookups import lookup_join
+from flowlens.operators.merge import insert_ignore
 
 
 def subscribed(tx: DataFrame, programs: Sequence[str] = tuple(PROGRAMS)) -> DataFrame:
@@ -161,3 +162,13 @@ def backfill(deltas: DataFrame, hot_mints: DataFrame) -> DataFrame:
     chosen = deltas.join(wanted, "signature", "left_semi")
     found = infer_trades(chosen).withColumnRenamed("base_mint", "mint")
     return lookup_join(found, hot_mints.select("mint").distinct(), ["mint"], "left_semi")
+
+
+def backfill_missing(
+    deltas: DataFrame, hot_mints: DataFrame, supply: DataFrame, stored: DataFrame | None = None
+) -> DataFrame:
+    """``backfill`` to the end: with price and market cap, without the trades that ``stored``
+    (signature, base_mint) already holds."""
+    found = with_mcap(backfill(deltas, hot_mints).withColumnRenamed("mint", "base_mint"), supply)
+    order = [F.asc("slot"), F.asc("user_wallet")]
+    return insert_ignore(stored, found, ["signature", "base_mint"], order)

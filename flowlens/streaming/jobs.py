@@ -14,6 +14,7 @@ from flowlens.functions.columns import wide
 from flowlens.operators.lookups import top_per_key
 from flowlens.operators.merge import first_per_key
 from flowlens.operators.rules import first_match
+from flowlens.operators.trades import backfill_missing
 from flowlens.session import shared_dir
 from flowlens.sources.rules import Rule
 
@@ -150,6 +151,19 @@ def match_rules(
     return write
 
 
+def backfill_hot(
+    path: str, deltas: Callable[[], DataFrame], supply: DataFrame
+) -> Callable[[DataFrame, int], None]:
+    """Sink for a stream of newly hot mints (``mint``): their trades in the stored balance changes
+    that ``deltas`` reads, with market cap, stored once."""
+    store = insert_once(path, ["signature", "base_mint"], ["slot"])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store(backfill_missing(deltas(), batch.select("mint").distinct(), supply), batch_id)
+
+    return write
+
+
 def run_available(
     stream: DataFrame,
     sink: Callable[[DataFrame, int], None],

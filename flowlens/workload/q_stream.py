@@ -13,7 +13,18 @@ from flowlens.streaming import jobs as J
 from flowlens.workload import views as V
 from flowlens.workload.q_rules import RULE_SQL, RULES, STATES
 from flowlens.workload.q_stats import PAIR
-from flowlens.workload.q_tx import SIMPLE_TRADES
+from flowlens.workload.q_tx import (
+    BACKFILL,
+    BACKFILLED,
+    BEST,
+    MIXED_TRADES,
+    SIMPLE_TRADES,
+    SUPPLY,
+    backfill_columns,
+    deltas,
+    hot_parts,
+    part_supply,
+)
 from flowlens.workload.registry import query
 
 DAY = V.DAY
@@ -70,6 +81,20 @@ def tx_source(spark, folder):
     )
 
 
+@query(
+    "stream_backfill",
+    f"""with {MIXED_TRADES}, {BEST}, {BACKFILL}, {SUPPLY} {BACKFILLED}""",
+)
+def stream_backfill(spark, folder):
+    """Mints turn hot one batch after another; each batch fetches their trades, none twice."""
+    hot = hot_parts(spark, folder)
+    stream = J.file_stream(spark, staged(hot.unionByName(hot), "mint", 3), hot.schema, max_files=1)
+    out = shared_dir(spark)
+    changes, _ = materialize(deltas(spark, folder, mixed=True))
+    J.run_available(stream, J.backfill_hot(out, lambda: changes, part_supply(spark, folder)), mode="append")
+    return backfill_columns(spark.read.parquet(out))
+
+
 def _counters_sql(size: int, slide: int) -> str:
     starts = f"range(block_time // {slide} * {slide} - {size - slide}, block_time // {slide} * {slide} + 1, {slide})"
     return f"""with {V.SWAPS} select base_mint as mint, s as win_start, s + {size} as win_end,

@@ -471,29 +471,53 @@ def mcap_at_swap(spark, folder):
 BACKFILL = f"""hot_mints as (select 'p' || p_partkey as mint from part where p_size >= 45)"""
 
 
-@query(
-    "hot_backfill",
-    f"""with {MIXED_TRADES}, {BEST}, {BACKFILL} select signature, slot, user_wallet, side, base_mint as mint,
-    base_amount, quote_mint, quote_amount from best where base_mint in (select mint from hot_mints)""",
-)
-def hot_backfill(spark, folder):
-    """Trades of newly hot mints found again in stored balance changes."""
-    hot = TB.read_table(spark, folder, "part").filter("p_size >= 45")
-    found = T.backfill(
-        deltas(spark, folder, mixed=True), hot.select(V.text("p", "p_partkey").alias("mint"))
+SUPPLY = """supply as (
+  select 'p' || p_partkey as mint, case when p_type <> 'SMALL' then p_size::bigint * 1000000000 end as supply from part)"""
+BACKFILLED = f"""select signature, slot, venue, user_wallet, side, base_mint as mint, base_amount, quote_mint, quote_amount,
+    case when quote_mint = '{WSOL}' then ((quote_amount::double / 1e9) / base_amount::double) * supply::double end as mcap_at_swap
+    from (select *, 'unknown' as venue from best) left join supply on mint = base_mint
+    where base_mint in (select mint from hot_mints)"""
+
+
+def part_supply(spark, folder):
+    return TB.read_table(spark, folder, "part").select(
+        V.text("p", "p_partkey").alias("base_mint"),
+        F.when(F.col("p_type") != "SMALL", F.col("p_size").cast("bigint") * F.lit(10**9)).alias("supply"),
+        (F.col("p_size") % 10).alias("decimals"),
     )
+
+
+def hot_parts(spark, folder):
+    hot = TB.read_table(spark, folder, "part").filter("p_size >= 45")
+    return hot.select(V.text("p", "p_partkey").alias("mint"))
+
+
+def backfill_columns(found):
     return found.select(
         "signature",
         "slot",
+        "venue",
         "user_wallet",
         "side",
-        "mint",
+        F.col("base_mint").alias("mint"),
         F.col("base_amount").cast("bigint").alias("base_amount"),
         "quote_mint",
         F.col("quote_amount").cast("bigint").alias("quote_amount"),
+        "mcap_at_swap",
     )
 
 
+@query(
+    "hot_backfill",
+    f"""with {MIXED_TRADES}, {BEST}, {BACKFILL}, {SUPPLY} {BACKFILLED} and slot % 3 <> 0""",
+)
+def hot_backfill(spark, folder):
+    """Trades of newly hot mints found again in stored balance changes, but for those stored already."""
+    changes = deltas(spark, folder, mixed=True)
+    stored = T.infer_trades(changes.filter(F.col("slot") % 3 == 0)).select("signature", "base_mint")
+    return backfill_columns(T.backfill_missing(changes, hot_parts(spark, folder), part_supply(spark, folder), stored))
+
+
 # --- programs ------------------------------------------------------------------------------
 
 _UNKNOWN = f"program_id not in ({_KNOWN_SQL})"
