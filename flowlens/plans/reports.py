@@ -166,3 +166,33 @@ def live_counts(swaps: DataFrame, alerts: DataFrame, swaps_now: int, alerts_sinc
         .scalar()
         .alias("alerts_today"),
     )
+
+
+def live_view(
+    swaps: DataFrame, alerts: DataFrame, changes: DataFrame, now: int, alerts_now: int, newest: int = 20
+) -> DataFrame:
+    """One list for a live page: newest trades, alerts of the last hour, and hot tokens.
+
+    Columns: kind (swap, alert, hot), place, id, mint, seen_at. ``changes`` are state changes (mint,
+    changed_at, state). Every part is a top-k, cut before it is gathered.
+    """
+
+    def part(rows: DataFrame, kind: str, key: str, mint: str, at: str) -> DataFrame:
+        named = rows.select(F.col(key).cast("string").alias("id"), F.col(mint).alias("mint"), F.col(at).alias("seen_at"))
+        top = named.orderBy(F.desc("seen_at"), F.desc("id")).limit(newest)
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("seen_at"), F.desc("id")))
+        return top.select(F.lit(kind).alias("kind"), place.alias("place"), "id", "mint", "seen_at")
+
+    recent = alerts.filter((F.col("created_at") > alerts_now - 3600) & (F.col("created_at") <= alerts_now))
+    last = (
+        changes.filter(F.col("changed_at") <= now)
+        .groupBy("mint")
+        .agg(F.max(F.struct("changed_at", F.col("state") == "hot", "state")).alias("s"))
+        .filter("s.state = 'hot'")
+        .select("mint", F.col("s.changed_at").alias("at"))
+    )
+    return (
+        part(swaps.filter(F.col("block_time") <= now), "swap", "signature", "base_mint", "block_time")
+        .unionByName(part(recent, "alert", "alert_id", "mint", "created_at"))
+        .unionByName(part(last, "hot", "mint", "mint", "at"))
+    )

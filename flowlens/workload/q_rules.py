@@ -10,6 +10,7 @@ import flowlens
 from flowlens.functions.text import finite_ratio
 from flowlens.operators import rules as RU
 from flowlens.operators.state import cooled_down, state_at, state_changes
+from flowlens.plans import reports as R
 from flowlens.plans.detection import gated_hits, stats_pair
 from flowlens.sources.rules import FIELDS, load_rules, parsed_condition, rule_errors
 from flowlens.sources.tables import read_table
@@ -255,3 +256,23 @@ def state_counts(spark, folder):
     return states.groupBy("state").agg(F.count("*").alias("tokens"))
 
 
+_VIEW_NOW = V.NOW_EVENTS - 10 * DAY
+_ALERTS_NOW = V.NOW_ORDERS - 1000 * DAY
+
+
+@query(
+    "live_view",
+    f"""with recursive {STATES}, {V.ALERTS}, last as (select mint, changed_at, state from changes where changed_at <= {_VIEW_NOW}
+      qualify row_number() over (partition by mint order by changed_at desc,
+        case state when 'hot' then 1 else 0 end desc, state desc) = 1),
+    entries as (select 'swap' as kind, signature as id, base_mint as mint, block_time as seen_at from swaps where block_time <= {_VIEW_NOW}
+      union all select 'alert', alert_id::varchar, mint, created_at from alerts
+        where created_at > {_ALERTS_NOW - 3600} and created_at <= {_ALERTS_NOW}
+      union all select 'hot', mint, mint, changed_at from last where state = 'hot')
+    select kind, row_number() over (partition by kind order by seen_at desc, id desc)::int as place, id, mint, seen_at
+    from entries qualify place <= 20""",
+)
+def live_view(spark, folder):
+    """Newest trades, alerts of the last hour and hot tokens at one time."""
+    trades, alerts = V.swaps(spark, folder), V.alerts(spark, folder)
+    return R.live_view(trades, alerts, changes(spark, folder), _VIEW_NOW, _ALERTS_NOW)

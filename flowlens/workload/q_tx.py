@@ -155,6 +155,19 @@ def delta_log(spark, folder):
     )
 
 
+@query(
+    "retention_drop",
+    f"""with {V.SWAPS} select block_time // 300 * 300 as bucket, count(*) as records from swaps
+    where (block_time // {DAY} + 1) * {DAY} >= {V.NOW_EVENTS - 10 * DAY} group by all""",
+)
+def retention_drop(spark, folder):
+    """Write a log by day, drop the days beyond ten, and read back what is left."""
+    path = shared_dir(spark)
+    TB.append_delta_log(V.swaps(spark, folder).select("signature", "block_time"), path)
+    TB.drop_expired(spark, path, V.NOW_EVENTS, 10 * DAY)
+    return spark.read.parquet(path).groupBy("bucket").agg(F.count("*").alias("records"))
+
+
 @query(
     "delta_read_for_mint",
     f"""with {V.LINES}, {TOKEN_DELTAS} select signature, o_orderkey as slot from deltas
