@@ -9,6 +9,7 @@ task holds more than one bucket of keys or one chunk of text.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,7 +27,7 @@ from flowlens.session import shared_dir
 # Characters of text that one chunk, or one slice of a batch, holds at most (a longer document
 # makes a chunk of its own).
 CHUNK_CHARS = 8 << 20
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 2 << 20
 
 WORD_SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -119,6 +120,40 @@ def starts_of(offsets: np.ndarray, length: int) -> np.ndarray:
     return np.arange(n) + length <= ends
 
 
+# --- worker memory -----------------------------------------------------------------------------
+
+_KEPT: dict[tuple[str, str], object] = {}
+
+
+def kept(owner: str, key: str, make: Callable[[], object]) -> object:
+    """Something costly that a Python worker keeps between tasks of one operator."""
+    if (owner, key) not in _KEPT:
+        _KEPT[owner, key] = make()
+    return _KEPT[owner, key]
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system, for workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def task(fn: Callable, owner: str = "") -> Callable:
+    """``fn`` over batches, without what other operators kept, and leaving no free memory behind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key in [k for k in _KEPT if k[0] != owner]:
+            del _KEPT[key]
+        try:
+            yield from fn(batches)
+        finally:
+            hand_back()
+
+    return run
+
+
 # --- blobs -------------------------------------------------------------------------------------
 
 
@@ -214,7 +249,7 @@ def chunk_table(docs: DataFrame, mark: Column, parts: int) -> DataFrame:
     path = shared_dir(spark)
     name = "chunks_" + path.rsplit("-", 1)[-1]
     (
-        rows.mapInArrow(_chunks, CHUNK_SCHEMA)
+        rows.mapInArrow(task(_chunks), CHUNK_SCHEMA)
         .write.option("compression", "zstd")
         .option("path", path)
         .bucketBy(parts, "chunk")
@@ -251,7 +286,13 @@ def answered(
     ``requests`` has ``bucket`` and ``chunk``. A bucket is a bounded range of hashed keys, so the
     group is bounded however often a key occurs.
     """
-    return stored(requests.groupBy("bucket").applyInPandas(answer, schema))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = answer(group)
+        hand_back()
+        return out
+
+    return stored(requests.groupBy("bucket").applyInPandas(run, schema))
 
 
 def with_replies(chunks: DataFrame, replies: DataFrame, fields: list[str]) -> DataFrame:
@@ -282,7 +323,7 @@ def appended(docs: DataFrame, fields: list[tuple[str, str]], fn: Callable[[pa.Ar
                 old = [c.slice(lo, len(texts)) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*old, *fn(texts)], names=[*batch.schema.names, *names])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(task(run), schema)
 
 
 def hash_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:

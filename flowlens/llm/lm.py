@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import (
     answered, by_bucket, chunk_parts, chunk_table, coded, key_buckets, pack_counts, pack_keys, pair_hash,
-    text_bytes, totals, unpack_counts, unpack_keys, with_replies, word_hashes, words_of,
+    task, text_bytes, totals, unpack_counts, unpack_keys, with_replies, word_hashes, words_of,
 )
 
 BUCKETS = 32
@@ -242,18 +242,18 @@ def scored(docs: DataFrame, train: Column) -> DataFrame:
     chars = text_bytes(docs)
     buckets = key_buckets(chars)
     chunks = chunk_table(docs, train, chunk_parts(spark, chars))
-    replies = answered(chunks.mapInArrow(_requests(buckets), _REQUEST), _answer, _REPLY)
+    replies = answered(chunks.mapInArrow(task(_requests(buckets)), _REQUEST), _answer, _REPLY)
     n, v = replies.agg(
         F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_words"), F.lit(0))
     ).first()
     both = with_replies(chunks, replies, ["word_totals", "pair_totals"])
-    cells = both.mapInArrow(_cells(buckets, n, v), "cell long, n long, one double, two double")
+    cells = both.mapInArrow(task(_cells(buckets, n, v)), "cell long, n long, one double, two double")
     weights = learn_weights(
         cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("one").alias("one"), F.sum("two").alias("two"))
         .orderBy("cell").toPandas()
     )
     return both.mapInArrow(
-        _score(buckets, n, v, weights),
+        task(_score(buckets, n, v, weights)),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
         " base_score double, score double",
     )

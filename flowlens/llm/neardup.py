@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import coded, mix, slices, stored, word_hashes, words_of
+from flowlens.llm.common import coded, mix, slices, stored, task, word_hashes, words_of
 from flowlens.operators.graph import components
 
 K = 64
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFram
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(texts.mapInArrow(_signatures(width, False), _SETS).drop("shingles"))
+    signed = stored(texts.mapInArrow(task(_signatures(width, False)), _SETS).drop("shingles"))
     sets = stored(
         signed.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("digest", "check", "n_shingles")
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFram
     few = wanted.count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
     full = stored(
-        chosen.mapInArrow(_signatures(width, True), _SETS)
+        chosen.mapInArrow(task(_signatures(width, True)), _SETS)
         .filter("n_shingles > 0")
         .groupBy(F.col("doc_id").alias("id"), "digest", "check")
         .agg(F.any_value("shingles").alias("shingles"))
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFram
     own = _with_sets(stars.select("pivot").distinct(), "pivot", full, []).groupBy("pivot").agg(
         F.collect_list("item").alias("own")
     )
-    measured = stored(others.join(own, "pivot").select("pivot", "own", "others").mapInArrow(_stars, _STAR))
+    measured = stored(others.join(own, "pivot").select("pivot", "own", "others").mapInArrow(task(_stars), _STAR))
     hit = F.col("common") * den >= F.col("united") * num
     links = measured.filter(hit).select(F.col("pivot").alias("a"), F.col("member").alias("b"))
     nodes = wanted.select(F.col("doc_id").alias("node"))
@@ -335,7 +335,7 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFram
                 .agg(F.collect_list("item").alias(out))
             )
 
-        more = side("left", "a").join(side("right", "b"), "job").select("a", "b").mapInArrow(_links(num, den), "a long, b long")
+        more = side("left", "a").join(side("right", "b"), "job").select("a", "b").mapInArrow(task(_links(num, den)), "a long, b long")
         all_links = stored(links.unionByName(more.distinct()))
 
     # Documents with one id are one node: join their classes too.

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import (
     answered, by_bucket, chunk_parts, chunk_table, coded, key_buckets, mix, pack_keys, pair_hash,
-    starts_of, text_bytes, unpack_keys, with_replies, word_hashes, words_of,
+    starts_of, task, text_bytes, unpack_keys, with_replies, word_hashes, words_of,
 )
 
 WINDOW = 35
@@ -195,8 +195,8 @@ def deduplicated(docs: DataFrame, length: int = WINDOW, digest: bool = False) ->
 
     state = chunks
     for level in range(len(levels)):
-        replies = answered(state.mapInArrow(ask(level), _REQUEST), _answer, _REPLY)
+        replies = answered(state.mapInArrow(task(ask(level)), _REQUEST), _answer, _REPLY)
         if replies.isEmpty():
-            return state.mapInArrow(finish(None), _RESULT)
+            return state.mapInArrow(task(finish(None)), _RESULT)
         state = with_replies(state, replies, ["seen"]).withColumnRenamed("replies", f"replies{level}")
-    return state.mapInArrow(finish(len(levels) - 1), _RESULT)
+    return state.mapInArrow(task(finish(len(levels) - 1)), _RESULT)

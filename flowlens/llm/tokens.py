@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import SLICE_CHARS, slices, stored
+from flowlens.llm.common import SLICE_CHARS, kept, slices, stored, task
 
 BLOCK_IDS = 1 << 16
 END_ID = 2
 # Distinct pieces whose ids a Python worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 
 BLOCK_SCHEMA = (
     "shard int, block int, bits int, n_ids long,"
@@ -102,17 +102,28 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, np.ndarray] = {}
+        self._forget()
 
-    def _pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # piece -> its number
+        self.pool = np.zeros(0, np.uint32)  # ids of all known pieces, one after the other
+        self.first = np.zeros(1, np.int64)  # where each piece's ids start
+
+    def _pieces(self, pieces: list[bytes]) -> np.ndarray:
+        """Number of each piece; pieces not known yet are encoded."""
         if len(self.known) > CACHE_PIECES:
-            self.known = {}
+            self._forget()
         new = [p for p in pieces if p not in self.known]
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
             found = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, np.uint32)) for p, e in zip(part, found, strict=True))
-        return [self.known[p] for p in pieces]
+            ids = [e.ids for e in found]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+            self.known.update((p, len(self.first) - 1 + k) for k, p in enumerate(part))
+            self.pool = np.concatenate([self.pool, flat])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids per text), without the end id."""
@@ -138,24 +149,18 @@ class Encoder:
             pa.large_binary(), len(marks) - 1, [None, pa.py_buffer(marks), pa.py_buffer(raw)]
         ).dictionary_encode()
         codes = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = self._pieces(pieces.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool, first = np.concatenate(ids), np.cumsum(sizes) - sizes
-        each = sizes[codes]
+        number = self._pieces(pieces.dictionary.to_pylist())[codes]
+        first = self.first[number]
+        each = self.first[number + 1] - first
         after = np.cumsum(each)
-        flat = pool[np.repeat(first[codes] - (after - each), each) + np.arange(after[-1])]
+        flat = self.pool[np.repeat(first - (after - each), each) + np.arange(after[-1])]
         seen = np.concatenate([[0], after])[np.searchsorted(marks, ends)]
         return flat, np.diff(seen)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept("tokens", path, lambda: Encoder(path))
 
 
 def _writer(path: str, end_id: int, block_ids: int):
@@ -212,7 +217,7 @@ def write_tokens(
         F.xxhash64("text").alias("tie"),
     )
     ordered = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    blocks = ordered.select("doc_id", "text").mapInArrow(_writer(tokenizer, end_id, block_ids), BLOCK_SCHEMA)
+    blocks = ordered.select("doc_id", "text").mapInArrow(task(_writer(tokenizer, end_id, block_ids), "tokens"), BLOCK_SCHEMA)
     return stored(blocks, codec="none")
 
 
@@ -250,7 +255,7 @@ def token_index(blocks: DataFrame) -> DataFrame:
         "shard", "block", (F.col("shard_start") + F.coalesce(F.sum("n_ids").over(inner), F.lit(0))).alias("base")
     )
     read = blocks.mapInArrow(
-        _read, "shard int, block int, doc_id long, offset long, n_tokens long, ids_crc32 long"
+        task(_read, "tokens"), "shard int, block int, doc_id long, offset long, n_tokens long, ids_crc32 long"
     )
     return read.join(places, ["shard", "block"]).select(
         "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import stored
+from flowlens.llm.common import stored, task
 
 PIVOTS = 32
 INDEX_ROWS, QUERY_ROWS = 4096, 512
@@ -134,7 +134,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best of ``vectors`` (vec_id, embedding) per query."""
     spark = vectors.sparkSession
     rows = valid(vectors).select("vec_id", "embedding")
-    blocks = stored(rows.mapInArrow(_blocks(INDEX_ROWS), _BLOCK))
+    blocks = stored(rows.mapInArrow(task(_blocks(INDEX_ROWS)), _BLOCK))
     most = blocks.agg(F.max("most")).first()[0] or 0
     # The pivots are a sample of fixed size; those of another length than a block's are of no use to it.
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("embedding").collect()
@@ -155,8 +155,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
                 [*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "distances"]
             )
 
-    index = stored(blocks.mapInArrow(measured, _BLOCK + ", distances binary"))
-    queries = stored(rows.filter(is_query).coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_blocks(QUERY_ROWS), _BLOCK))
+    index = stored(blocks.mapInArrow(task(measured), _BLOCK + ", distances binary"))
+    queries = stored(rows.filter(is_query).coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(task(_blocks(QUERY_ROWS)), _BLOCK))
     # Queries are the smaller side: a copy of each of their blocks goes to every group of index blocks.
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     place = index.withColumn("place", F.pmod(F.xxhash64("block"), F.lit(groups)))
@@ -164,7 +164,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
         "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("place"),
     )
-    found = place.join(sent, ["place", "dim"]).mapInArrow(_search(k, most, pivots), _PAIR)
+    found = place.join(sent, ["place", "dim"]).mapInArrow(task(_search(k, most, pivots)), _PAIR)
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
