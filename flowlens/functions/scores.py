@@ -89,6 +89,25 @@ def level(score: Column, scale: str = "score") -> Column:
     return _band(score, LEVELS[scale], "MINIMAL")
 
 
+# Wording of the evidence, in the order of the score's parts.
+EVIDENCE_TEXT = {
+    "top_very_high": "Very high concentration: top 3 = ",
+    "top_high": "High concentration: top 3 = ",
+    "linked_high": "High clustering: ",
+    "linked_largest": " in linked wallets, largest cluster = ",
+    "linked_some": "Some clustering: ",
+    "linked_end": " in linked wallets",
+    "frequency_high": "High buy frequency: ",
+    "frequency_some": "Elevated buy frequency: ",
+    "frequency_end": " buys/wallet",
+    "new_very_high": "Very high new wallet %: ",
+    "new_high": "High new wallet %: ",
+    "no_sells": "All buys, no sells",
+    "ratio_extreme": "Extreme buy ratio: ",
+    "ratio_very_high": "Very high buy ratio: ",
+}
+
+
 def evidence(
     top_share: Column,
     linked: Column,
@@ -108,40 +127,40 @@ def evidence(
         F.array(
             F.when(
                 top_share >= 0.8,
-                F.concat(F.lit("Very high concentration: top 3 = "), percent(top_share)),
+                F.concat(F.lit(EVIDENCE_TEXT["top_very_high"]), percent(top_share)),
             ).when(
-                top_share >= 0.6, F.concat(F.lit("High concentration: top 3 = "), percent(top_share))
+                top_share >= 0.6, F.concat(F.lit(EVIDENCE_TEXT["top_high"]), percent(top_share))
             ),
             F.when(
                 cluster_share >= 0.5,
                 F.concat(
-                    F.lit("High clustering: "),
+                    F.lit(EVIDENCE_TEXT["linked_high"]),
                     percent(cluster_share),
-                    F.lit(" in linked wallets, largest cluster = "),
+                    F.lit(EVIDENCE_TEXT["linked_largest"]),
                     largest.cast("string"),
                 ),
             ).when(
                 cluster_share >= 0.2,
                 F.concat(
-                    F.lit("Some clustering: "), percent(cluster_share), F.lit(" in linked wallets")
+                    F.lit(EVIDENCE_TEXT["linked_some"]), percent(cluster_share), F.lit(EVIDENCE_TEXT["linked_end"])
                 ),
             ),
             F.when(
                 per_buyer >= 10,
-                F.concat(F.lit("High buy frequency: "), fixed(per_buyer, 1), F.lit(" buys/wallet")),
+                F.concat(F.lit(EVIDENCE_TEXT["frequency_high"]), fixed(per_buyer, 1), F.lit(EVIDENCE_TEXT["frequency_end"])),
             ).when(
                 per_buyer >= 5,
                 F.concat(
-                    F.lit("Elevated buy frequency: "), fixed(per_buyer, 1), F.lit(" buys/wallet")
+                    F.lit(EVIDENCE_TEXT["frequency_some"]), fixed(per_buyer, 1), F.lit(EVIDENCE_TEXT["frequency_end"])
                 ),
             ),
             F.when(
-                new_share >= 0.7, F.concat(F.lit("Very high new wallet %: "), percent(new_share))
-            ).when(new_share >= 0.5, F.concat(F.lit("High new wallet %: "), percent(new_share))),
-            F.when(endless, F.lit("All buys, no sells"))
-            .when(ratio >= 20, F.concat(F.lit("Extreme buy ratio: "), fixed(shown, 1), F.lit("x")))
+                new_share >= 0.7, F.concat(F.lit(EVIDENCE_TEXT["new_very_high"]), percent(new_share))
+            ).when(new_share >= 0.5, F.concat(F.lit(EVIDENCE_TEXT["new_high"]), percent(new_share))),
+            F.when(endless, F.lit(EVIDENCE_TEXT["no_sells"]))
+            .when(ratio >= 20, F.concat(F.lit(EVIDENCE_TEXT["ratio_extreme"]), fixed(shown, 1), F.lit("x")))
             .when(
-                ratio >= 10, F.concat(F.lit("Very high buy ratio: "), fixed(shown, 1), F.lit("x"))
+                ratio >= 10, F.concat(F.lit(EVIDENCE_TEXT["ratio_very_high"]), fixed(shown, 1), F.lit("x"))
             ),
         )
     )

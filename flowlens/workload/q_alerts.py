@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlens.constants import RULE_TEXT
 from flowlens.functions.text import (
     duration_text,
     gain_text,
@@ -160,14 +161,9 @@ _RATIO_TEXT = f"""case when buy_sell_ratio > 1000 then 'ALL BUYS (no sells)'
   when buy_sell_ratio > 100 then {fixed_sql('case when isinf(buy_sell_ratio) then 0 else buy_sell_ratio end', 0)} || 'x (almost no sells)'
   when buy_sell_ratio > 10 then {fixed_sql('case when isinf(buy_sell_ratio) then 0 else buy_sell_ratio end', 0)} || 'x'
   else {fixed_sql('case when isinf(buy_sell_ratio) then 0 else buy_sell_ratio end', 1)} || 'x' end"""
-_RULE_TEXT_SQL = """case trigger_name when 'concentrated_accumulation' then 'Few wallets accumulating aggressively'
-  when 'stealth_accumulation' then 'Many small buys (avoiding detection)' when 'extreme_ratio' then 'Heavy buying, almost no selling'
-  when 'whale_concentration' then 'Top buyers hold majority' when 'slow_stealth_accumulation' then 'Prolonged quiet accumulation'
-  when 'slow_concentration' then 'Gradual concentration over time' end"""
-_TITLE_SQL = """case trigger_name when 'concentrated_accumulation' then 'Concentrated Accumulation'
-  when 'stealth_accumulation' then 'Stealth Accumulation' when 'extreme_ratio' then 'Extreme Ratio'
-  when 'whale_concentration' then 'Whale Concentration' when 'slow_stealth_accumulation' then 'Slow Stealth Accumulation'
-  when 'slow_concentration' then 'Slow Concentration' end"""
+# Wording from the same table as the Spark form; a title is the rule's name in capitals.
+_RULE_TEXT_SQL = "case trigger_name " + " ".join(f"when '{r.name}' then '{RULE_TEXT[r.name]}'" for r in RULES) + " end"
+_TITLE_SQL = "case trigger_name " + " ".join(f"when '{r.name}' then '{r.name.replace('_', ' ').title()}'" for r in RULES) + " end"
 
 
 @query(

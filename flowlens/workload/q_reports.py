@@ -382,3 +382,21 @@ def health_issues(spark, folder):
     )
 
 
+@query(
+    "safe_double",
+    """with texts as (select event_id, case when event_id % 13 = 0 then 'many' when event_id % 17 = 0 then ''
+      when event_id % 19 = 0 then value::int::varchar || '.' || event_id else (event_id % 1000)::varchar end as text from events)
+    select event_id, coalesce(try_cast(text as double), -1.0::double) as number from texts""",
+)
+def safe_double(spark, folder):
+    """Numbers read from texts of which some are none."""
+    from flowlens.functions.text import safe_double as read
+
+    key = F.col("event_id")
+    text = (
+        F.when(key % 13 == 0, "many").when(key % 17 == 0, "")
+        .when(key % 19 == 0, F.concat(F.rint("value").cast("int").cast("string"), F.lit("."), key.cast("string")))
+        .otherwise((key % 1000).cast("string"))
+    )
+    events = read_table(spark, folder, "events")
+    return events.select("event_id", F.coalesce(read(text), F.lit(-1.0)).alias("number"))
