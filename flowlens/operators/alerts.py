@@ -183,6 +183,10 @@ def buyers_share(buyers: Column, volume_sol: Column, shown: int = 5) -> Column:
     return F.when(volume_sol > 0, total / volume_sol * 100)
 
 
+# Fixed value: the note on alerts raised while enrichment was down.
+DEGRADED_TEXT = "Enrichment degraded - some data may be missing"
+
+
 def plain_line(alert: DataFrame) -> Column:
     """One log line per alert."""
     token = F.coalesce(F.nullif("token_symbol", F.lit("")), F.substring("mint", 1, 8))
@@ -222,6 +226,8 @@ def rendered(alerts: DataFrame, sol_usd: float = 200.0) -> DataFrame:
     payload = F.struct(
         F.concat(F.lit("https://dexscreener.com/solana/"), mint).alias("url"),
         ticker.alias("title"),
+        F.when(F.col("token_name") != F.coalesce("token_symbol", F.lit("")), F.col("token_name")).alias("name"),
+        F.col("token_image").alias("thumbnail"),
         level(F.col("total_score"), "alert").alias("risk"),
         venue_text(F.col("venue")).alias("venue"),
         F.when(F.col("mcap_sol").isNotNull(), mcap_text(F.col("mcap_sol"), sol_usd)).alias("mcap"),
@@ -245,6 +251,9 @@ def rendered(alerts: DataFrame, sol_usd: float = 200.0) -> DataFrame:
             F.concat(F.lit("https://dexscreener.com/solana/"), mint),
             F.concat(F.lit("https://solscan.io/token/"), mint),
         ).alias("links"),
+        F.when(F.col("enrichment_degraded"), F.lit(DEGRADED_TEXT)).alias("warning"),
+        F.col("win_end").alias("timestamp"),
+        mint.alias("footer"),
     )
     chat = F.concat_ws(
         "\n",

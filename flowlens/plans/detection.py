@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,7 +12,7 @@ from flowlens.functions.columns import wide
 from flowlens.operators import alerts as A
 from flowlens.operators import graph as G
 from flowlens.operators.asof import latest_before
-from flowlens.operators.lookups import lookup_join
+from flowlens.operators.lookups import first_known, lookup_join
 from flowlens.operators.rules import first_match, mcap_gate
 from flowlens.operators.scoring import factors, linked_buyers, scored
 from flowlens.operators.state import cooled_down
@@ -85,7 +85,8 @@ def alert_rows(
     quote: str,
     pane: int,
     history: DataFrame | None = None,
-    symbols: DataFrame | None = None,
+    profiles: Sequence[DataFrame] = (),
+    degraded: Column | None = None,
     buyers_kept: int = 5,
     unknown_venue: str = "unknown",
 ) -> DataFrame:
@@ -93,6 +94,8 @@ def alert_rows(
 
     ``passed`` has short-window statistics under rule names and the gate's ``mcap_sol``. ``members`` is
     the result of ``components``; ``supply`` has (base_mint, supply, decimals); ``pane`` is the short window.
+    ``profiles`` have (mint and some of token_name, token_symbol, token_image): the first that knows a field
+    gives it. ``degraded`` is a condition over the hit: was enrichment down then?
 
     Everything is as of the hit: lists, clusters, venue and price come from the trades before its
     ``win_end``. The market cap is the one the gate saw, else supply times the mean of the last trades.
@@ -143,9 +146,11 @@ def alert_rows(
         dominant_venue_as_of(swaps, passed, pane, unknown_venue).select(*keys, "venue"),
         price,
     )
-    if symbols is None:
-        return built.withColumn("token_symbol", F.lit(None).cast("string"))
-    return lookup_join(built, symbols.select("mint", "token_symbol"), ["mint"])
+    known = first_known(built, profiles, "mint", ["token_name", "token_symbol", "token_image"])
+    sizes_of = supply.select(F.col("base_mint").alias("mint"), F.col("supply").alias("token_supply"))
+    return lookup_join(known, sizes_of, ["mint"]).withColumn(
+        "enrichment_degraded", F.lit(False) if degraded is None else degraded
+    )
 
 
 def enrich_hot(

@@ -15,6 +15,7 @@ from flowlens.functions.text import (
     usd_text,
 )
 from flowlens.operators import alerts as A
+from flowlens.operators.alerts import DEGRADED_TEXT
 from flowlens.operators import merge as M
 from flowlens.operators.lookups import first_known, first_source
 from flowlens.operators.rules import first_match
@@ -86,7 +87,10 @@ ALERT_STEPS = f"""{LINKS}, {SCORE_STEPS}, {EVIDENCE},
   raised as (select h.mint, h.win_end, h.trigger_name, {reason_sql().replace('trigger_name', 'h.trigger_name', 1)} as trigger_reason,
       e.* exclude (mint, win_end), buyers, first_three, cluster_summary, venue, price_sol,
       coalesce(case when h.mcap_sol > 0 then h.mcap_sol end, vwap_mcap) as mcap_sol,
-      case when h.mint[2:]::bigint % 2 = 0 then 'S' || h.mint[2:] end as token_symbol
+      case when h.mint[2:]::bigint % 2 = 0 then 'S' || h.mint[2:] when h.mint[2:]::bigint % 3 = 0 then 'Q' || h.mint[2:] end as token_symbol,
+      case when h.mint[2:]::bigint % 3 = 0 then 'Token ' || h.mint[2:] end as token_name,
+      case when h.mint[2:]::bigint % 3 = 0 then 'i' || h.mint[2:] end as token_image,
+      (1 + h.mint[2:]::bigint) * 1000000 as token_supply, h.win_end // {DAY} % 7 = 0 as enrichment_degraded
     from cases h
     join evidenced e on e.mint = h.mint and e.win_end = h.win_end
     left join line_lists l on l.mint = h.mint and l.win_end = h.win_end
@@ -108,9 +112,14 @@ def raised(spark, folder):
     supply = mints.select(
         "base_mint", ((digit + 1) * 1_000_000).alias("supply"), F.lit(3).alias("decimals")
     )
-    symbols = mints.select(
-        F.col("base_mint").alias("mint"),
-        F.when(digit % 2 == 0, F.concat(F.lit("S"), digit.cast("string"))).alias("token_symbol"),
+    name = digit.cast("string")
+    mint = F.col("base_mint").alias("mint")
+    stored = mints.select(mint, F.when(digit % 2 == 0, F.concat(F.lit("S"), name)).alias("token_symbol"), F.lit("").alias("token_name"))
+    listed = mints.filter(digit % 3 == 0).select(
+        mint,
+        F.concat(F.lit("Token "), name).alias("token_name"),
+        F.concat(F.lit("Q"), name).alias("token_symbol"),
+        F.concat(F.lit("i"), name).alias("token_image"),
     )
     price = (F.col("quote_amount").cast("double") / 1e9) / F.col("base_amount").cast("double")
     with_caps = trades.withColumn(
@@ -124,7 +133,8 @@ def raised(spark, folder):
         quote="WSOL",
         pane=V.SHORT,
         history=user_history(trades),
-        symbols=symbols,
+        profiles=[stored, listed],
+        degraded=F.floor(F.col("win_end") / DAY) % 7 == 0,
         unknown_venue="error",
     )
 
@@ -134,7 +144,8 @@ def raised(spark, folder):
     f"""with recursive {RAISED} select ('0x' || md5(mint || '|' || trigger_name || '|' || win_end)[1:15])::bigint as alert_id,
     mint, win_end, trigger_name, trigger_reason, buy_count, unique_buyers,
     volume_sol, total_score, score_confidence, buyers, cluster_summary, venue, coalesce(price_sol, -1.0::double) as price_sol,
-    coalesce(mcap_sol, -1.0::double) as mcap_sol, coalesce(token_symbol, '-') as token_symbol from raised""",
+    coalesce(mcap_sol, -1.0::double) as mcap_sol, coalesce(token_symbol, '-') as token_symbol,
+    coalesce(token_name, '-') as token_name, coalesce(token_image, '-') as token_image, token_supply, enrichment_degraded from raised""",
 )
 def alerts_build(spark, folder):
     return raised(spark, folder).select(
@@ -153,7 +164,9 @@ def alerts_build(spark, folder):
         "venue",
         F.coalesce("price_sol", F.lit(-1.0)).alias("price_sol"),
         F.coalesce("mcap_sol", F.lit(-1.0)).alias("mcap_sol"),
-        F.coalesce("token_symbol", F.lit("-")).alias("token_symbol"),
+        *[F.coalesce(c, F.lit("-")).alias(c) for c in ("token_symbol", "token_name", "token_image")],
+        "token_supply",
+        "enrichment_degraded",
     )
 
 
@@ -184,13 +197,17 @@ def alerts_render(spark, folder):
 @query(
     "alert_payload",
     f"""with recursive {RAISED} select mint, win_end, coalesce('$' || token_symbol, mint[1:8] || '...') as title, alert_level as risk,
-    floor(total_score * 100)::int as score_pct, cluster_summary as clusters, buyers from raised""",
+    floor(total_score * 100)::int as score_pct, cluster_summary as clusters, buyers,
+    coalesce(case when token_name <> coalesce(token_symbol, '') then token_name end, '-') as name, coalesce(token_image, '-') as thumbnail,
+    coalesce(case when enrichment_degraded then '{DEGRADED_TEXT}' end, '-') as warning, win_end as "timestamp", mint as footer,
+    {_RULE_TEXT_SQL} as pattern from raised""",
 )
 def alert_payload(spark, folder):
     """Fields read back out of the structured alert payload."""
     p = F.from_json(
         "payload",
-        "title string, risk string, score_pct int, clusters string, buyers array<string>",
+        "title string, risk string, score_pct int, clusters string, buyers array<string>, name string,"
+        " thumbnail string, warning string, timestamp long, footer string, pattern string",
     )
     out = A.rendered(raised(spark, folder)).select("mint", "win_end", p.alias("p"))
     return out.select(
@@ -201,6 +218,10 @@ def alert_payload(spark, folder):
         "p.score_pct",
         "p.clusters",
         F.array_join("p.buyers", " ; ").alias("buyers"),
+        *[F.coalesce(f"p.{c}", F.lit("-")).alias(c) for c in ("name", "thumbnail", "warning")],
+        "p.timestamp",
+        "p.footer",
+        "p.pattern",
     )
 
 

@@ -126,6 +126,9 @@ def test_alert_text(spark):
             "alert_id": F.lit(1),
             "win_end": F.lit(300),
             "token_symbol": F.lit("TST"),
+            "token_name": F.lit("Test token"),
+            "token_image": F.lit("img"),
+            "enrichment_degraded": F.lit(True),
             "trigger_name": F.lit("concentrated_accumulation"),
             "trigger_reason": F.lit("Trigger: x | unique_buyers_5m=5.00 (<= 5.0)"),
             "venue": F.lit("pump"),
@@ -144,7 +147,8 @@ def test_alert_text(spark):
     row = A.rendered(scored(base)).first()
     assert row.plain == "[ALERT] TST | concentrated_accumulation | Vol: 10.0 SOL | Buyers: 5 | CTO: 54%"
     for part in ('"title":"$TST"', "pump.fun", "10.0 buys per wallet", "Only 5 wallets moved 10.0 SOL",
-                 "wallet...long - 2.50 SOL @ $2K", "25% of volume", "$1.0M", "solscan.io/token/m"):
+                 "wallet...long - 2.50 SOL @ $2K", "25% of volume", "$1.0M", "solscan.io/token/m",
+                 '"name":"Test token"', '"thumbnail":"img"', '"warning":"Enrichment degraded'):
         assert part in row.payload, part
     assert "MEDIUM RISK - $TST" in row.chat and "Few wallets accumulating" in row.chat
 
