@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm import decontaminate, language, mixing
-from flowlens.llm.common import aside, crc_mod, stored, table
+from flowlens.llm.common import aside, crc_mod, drop_tables, stored, stored_at, table, tables_so_far
 from flowlens.llm.neardup import BROADCAST_IDS, near_duplicates
 from flowlens.llm.tokens import token_index, write_tokens
 
@@ -32,10 +32,14 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the least document id of each group of near-duplicates (5 words, similarity 0.8)."""
+    mark = tables_so_far()
     groups = near_duplicates(docs, width=5, num=80, den=100)
     # A document that stands in several rows is told by its id: rows of an id that goes, go.
-    gone = stored(groups.filter(~F.col("kept")).select("doc_id").distinct())
-    repeated = stored(groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    gone, gone_at = stored_at(groups.filter(~F.col("kept")).select("doc_id").distinct())
+    repeated, repeated_at = stored_at(
+        groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    )
+    drop_tables(spark, mark, [gone_at, repeated_at])
     plain, back = aside(docs, ("doc_id", "text"))
     few = gone.count() <= BROADCAST_IDS
     left = plain.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")

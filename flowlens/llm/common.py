@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import ctypes
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from flowlens.session import shared_dir
+from flowlens.session import drop_path, shared_dir
 
 # Characters of text that one chunk, or one slice of a batch, holds at most (a longer document
 # makes a chunk of its own).
@@ -36,11 +36,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
+_TABLES: list[str] = []
+
+
+def stored_at(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Write once to the shared folder and read back: lineage ends, lost executors cost no rows."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    return stored_at(df, codec)[0]
+
+
+def tables_so_far() -> int:
+    return len(_TABLES)
+
+
+def drop_tables(spark: SparkSession, since: int, keep: Sequence[str] = ()) -> None:
+    """Remove the tables stored after ``since``, which nothing reads any more, but for ``keep``."""
+    for path in [p for p in _TABLES[since:] if p not in keep]:
+        drop_path(spark, path)
+        _TABLES.remove(path)
 
 
 def crc_mod(key: str | Column, divisor: int) -> Column:

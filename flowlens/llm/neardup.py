@@ -37,7 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import coded, mix, slices, stored, task, word_hashes, words_of
+from flowlens.llm.common import (
+    coded,
+    drop_tables,
+    mix,
+    slices,
+    stored,
+    stored_at,
+    tables_so_far,
+    task,
+    word_hashes,
+    words_of,
+)
 from flowlens.operators.graph import components
 
 K = 64
@@ -252,6 +263,7 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFram
         .groupBy("digest", "check", "n_shingles")
         .agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"))
     )
+    mark = tables_so_far()
     lists = stored(_lists(sets, overlap_floor(K, num, den), num, den))
     pivots = lists.groupBy("value").agg(
         F.max_by("rep", F.struct("score", -F.col("rep"))).alias("pivot"), F.count("*").alias("n")
@@ -308,7 +320,7 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFram
         )
     )
     if blocks.isEmpty():
-        all_links = links
+        all_links, kept_path = stored_at(links)
     else:
         members = stored(
             members.join(blocks, ["pivot", "joined", "level"]).withColumn("part", F.pmod(F.xxhash64("member"), "parts"))
@@ -336,7 +348,9 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFram
             )
 
         more = side("left", "a").join(side("right", "b"), "job").select("a", "b").mapInArrow(task(_links(num, den)), "a long, b long")
-        all_links = stored(links.unionByName(more.distinct()))
+        all_links, kept_path = stored_at(links.unionByName(more.distinct()))
+    # The links say it all from here on.
+    drop_tables(spark, mark, [kept_path])
 
     # Documents with one id are one node: join their classes too.
     same = signed.filter("n_shingles > 0 and doc_id is not null").join(
