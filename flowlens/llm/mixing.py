@@ -90,22 +90,23 @@ def curriculum(docs: DataFrame, size: Column) -> DataFrame:
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.withColumn("mix_size", size).withColumn("mix_key", key)
     rows = rows.withColumn("mix_slice", F.substring("mix_key", 1, SLICES))
+    # A key without nulls, so that the window and the join below share one exchange of the rows.
+    own = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    rows = rows.withColumn("mix_own", own)
     sizes = rows.groupBy("source", "mix_slice").agg(F.sum("mix_size").alias("size"))
     upto = Window.partitionBy("source").orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(sizes)
     slices = sizes.withColumn("base", F.coalesce(F.sum("size").over(upto), F.lit(0)))
     places = slices.join(targets, slices.source.eqNullSafe(targets.source)).select(
-        slices.source.alias("mix_source"), F.col("mix_slice").alias("mix_part"), F.col("base").alias("mix_base"),
+        F.coalesce(F.concat(F.lit("="), slices.source), F.lit("")).alias("mix_own"), "mix_slice", F.col("base").alias("mix_base"),
         F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("tilt").alias("mix_tilt"),
     )
     within = (
-        Window.partitionBy("source", "mix_slice").orderBy("mix_key", "mix_size")
+        Window.partitionBy("mix_own", "mix_slice").orderBy("mix_key", "mix_size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     inner = rows.withColumn("mix_before", F.coalesce(F.sum("mix_size").over(within), F.lit(0)))
-    joined = inner.join(
-        places, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_slice") == F.col("mix_part"))
-    )
+    joined = inner.join(places, ["mix_own", "mix_slice"])
     start, target = F.col("mix_base") + F.col("mix_before"), F.col("mix_target")
 
     def middle(turn: int) -> Column:
