@@ -7,12 +7,17 @@ placeholders, are aligned there. The slots of all windows on one alignment must
 the item always meets one value of the document and the other way round (the question with other
 numbers and names). Alignments that contradict themselves don't count.
 
+Windows are also joined by the hash of their words as they stand, slots included, however few of them are
+literal. An item that has no window with ``LITERAL`` literal words is searched as one template, from its first
+word to its last.
+
 The windows are joined by hash within the tasks over documents, against one block of benchmark items at a
 time; a block holds about ``BLOCK_WORDS`` words at most, so what travels to the tasks is bounded however
 many items there are, and the documents are neither shuffled nor cut.
 
 **Edge cases.** Null and blank texts match nothing. Items of fewer than ``SHORTEST`` template words are not
-searched, for they would meet clean documents; items shorter than a window are searched as a whole. Null item
+searched, for they would meet clean documents; items shorter than a window are searched as a whole. Items
+without ``LEAST`` literal words are searched verbatim only, for their templates are bare lists of numbers. Null item
 ids are left out; repeated items count once; repeated documents are judged each; an empty benchmark
 leaves every document clean, an empty corpus gives no rows.
 """
@@ -32,6 +37,7 @@ from flowlens.llm.common import appended, coded, mix, starts_of, word_hashes, wo
 WINDOW = 8
 LITERAL = 5
 SHORTEST = 5
+LEAST = 2
 BLOCK_WORDS = 1_000_000
 _SIEVE_BITS = 22
 
@@ -47,6 +53,8 @@ NUMBERS = (
 ).split()
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¿¡"
 _NUM, _UNIT, _NAME = np.uint64(11), np.uint64(12), np.uint64(13)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 class Templates:
@@ -85,18 +93,26 @@ class Templates:
         self.form = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, self.value | np.uint64(16))))
         self.slot = number | unit | name
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of the windows of ``size`` words with enough literal ones."""
+    def windows(self, size: int, verbatim: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the windows of ``size`` words with ``least`` literal ones, by template or by words."""
         n = len(self.form) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h = np.full(n, size, np.uint64)
-        for j in range(size):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + self.form[j : n + j]
-        total = np.concatenate([[0], np.cumsum(~self.slot)])
-        literal = total[size:] - total[:-size]
-        at = np.flatnonzero(starts_of(self.offsets, size)[:n] & (literal >= min(LITERAL, size)))
-        return at, mix(h[at])
+        fits = starts_of(self.offsets, size)[:n]
+        if least:
+            total = np.concatenate([[0], np.cumsum(~self.slot)])
+            fits = fits & (total[size:] - total[:-size] >= least)
+        at = np.flatnonzero(fits)
+        source = self.value if verbatim else self.form
+        if size <= WINDOW:
+            h = np.full(n, size, np.uint64)
+            for j in range(size):
+                h = h * _STEP + source[j : n + j]
+            return at, mix(h[at])
+        # Long windows from running sums: as many steps for any size.
+        powers = np.cumprod(np.full(len(source), _STEP))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(source * np.cumprod(np.full(len(source), _BACK)))])
+        return at, mix((sums[at + size] - sums[at]) * powers[at + size - 1] + powers[size - 1 : size] * np.uint64(size))
 
 
 class Items:
@@ -107,26 +123,38 @@ class Items:
         lengths = np.diff(self.templates.offsets)
         self.ids, self.lengths = ids, lengths
         item_of = np.repeat(np.arange(len(ids)), lengths)
-        self.tables: dict[int, tuple] = {}
-        sizes = {min(WINDOW, int(n)) for n in lengths if n >= SHORTEST}
-        for size in sorted(sizes):
-            at, hashes = self.templates.windows(size)
-            own = lengths[item_of[at]]
-            take = own >= WINDOW if size == WINDOW else own == size
+        self.tables: dict[tuple[int, bool, int], tuple] = {}
+        covered = np.zeros(len(ids), bool)
+
+        def add(size: int, verbatim: bool, least: int, wanted: np.ndarray) -> None:
+            at, hashes = self.templates.windows(size, verbatim, least)
+            take = wanted[item_of[at]]
             at, hashes = at[take], hashes[take]
+            if not len(at):
+                return
+            if not verbatim:
+                covered[item_of[at]] = True
             order = np.argsort(hashes, kind="stable")
-            sieve = np.zeros(1 << _SIEVE_BITS, bool)
-            sieve[(hashes & np.uint64((1 << _SIEVE_BITS) - 1)).astype(np.int64)] = True
-            self.tables[size] = (hashes[order], at[order], item_of[at[order]], sieve)
+            sieve = np.zeros(1 << min(_SIEVE_BITS, len(at).bit_length() + 6), bool)
+            sieve[(hashes & np.uint64(len(sieve) - 1)).astype(np.int64)] = True
+            self.tables[size, verbatim, least] = (hashes[order], at[order], item_of[at[order]], sieve)
+
+        for size in sorted({min(WINDOW, int(n)) for n in lengths if n >= SHORTEST}):
+            wanted = lengths >= WINDOW if size == WINDOW else lengths == size
+            add(size, False, min(LITERAL, size), wanted)
+            add(size, True, 0, wanted)
+        whole = ~covered & (lengths >= SHORTEST)
+        for size in sorted({int(n) for n in lengths[whole]}):
+            add(size, False, LEAST, whole & (lengths == size))
 
     def matches(self, texts: pa.Array) -> list[dict[int, int]]:
         """Per text: matched words by item id."""
         found = Templates(texts)
         hits: dict[tuple[int, int, int], list[tuple[int, int, int]]] = defaultdict(list)
         doc_of = np.repeat(np.arange(len(texts)), np.diff(found.offsets))
-        for size, (keys, places, items, sieve) in self.tables.items():
-            at, hashes = found.windows(size)
-            maybe = sieve[(hashes & np.uint64((1 << _SIEVE_BITS) - 1)).astype(np.int64)]
+        for (size, verbatim, least), (keys, places, items, sieve) in self.tables.items():
+            at, hashes = found.windows(size, verbatim, least)
+            maybe = sieve[(hashes & np.uint64(len(sieve) - 1)).astype(np.int64)]
             at, hashes = at[maybe], hashes[maybe]
             low, high = np.searchsorted(keys, hashes), np.searchsorted(keys, hashes, side="right")
             for k in np.flatnonzero(high > low).tolist():

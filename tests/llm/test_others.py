@@ -4,6 +4,7 @@ import random
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from helpers import corpus, frame, words
 from pyspark.sql import functions as F
@@ -122,6 +123,31 @@ def test_leaks(spark):
     assert leaks(spark, values) == [[1], [1], [], [1], [1], [2], [], [], [], [], [], [], [1]]
 
 
+def test_leaks_of_items_rich_in_slots(spark):
+    items = [
+        "What is 15 plus 27 minus 3?", "Is 91 a prime number?", "Who wrote War and Peace?",
+        "Add 12, 15, 18 and 21, then divide by 3.", "Convert 3 km 40 m and 5 km 20 m into cm.",
+        "7 8 9 and 10 11 12 13 14 15 16", "Add 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 up now",
+    ]
+    values = [
+        *["Noise before. " + t + " Noise after." for t in items], "What is 4 plus 5 minus 1?", "is 7 a prime number",
+        "Convert 1 mi 2 ft and 8 mi 9 ft into cm!", "We add 2, 3, 4 and 5 then divide by 6", "What is 4 plus 5 times 1?",
+        "1 2 3 and 4 5 6 7 8 9 10", "7 8 9 and 10 11 12 13", items[6].replace("13", "99"), items[6].replace(" 13", ""),
+    ]
+    want = [[0], [1], [2], [3], [4], [5], [6], [0], [1], [4], [3], [], [], [5], [6], [6]]
+    assert leaks(spark, values, list(enumerate(items))) == want
+
+
+def test_long_windows_hash_as_short_ones(monkeypatch):
+    with np.errstate(over="ignore"):
+        texts = decontaminate.Templates(pa.array(["a 1 b Cde 2 " * 8, "x y", "b 3 c " * 9]))
+        monkeypatch.setattr(decontaminate, "WINDOW", 12)
+        want = texts.windows(11, False, 2)
+        monkeypatch.setattr(decontaminate, "WINDOW", 8)
+        got = texts.windows(11, False, 2)
+    assert len(want[0]) and all((a == b).all() for a, b in zip(want, got, strict=True))
+
+
 def test_blocks_of_items_and_empty(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
     assert leaks(spark, [ITEM, "alpha beta gamma delta epsilon zeta", "no"]) == [[1], [2], []]
