@@ -3,9 +3,10 @@
 Texts become templates: every word is trimmed of punctuation and lower-cased, numbers become ``<num>``,
 units after a number ``<unit>``, and capitalised words within a sentence ``<name>``. A document and a
 benchmark item that share a window of ``WINDOW`` template words, of which ``LITERAL`` or more are not
-placeholders, are aligned there. The slots of all windows on one alignment must be consistent: one value of
-the item always meets one value of the document and the other way round (the question with other
-numbers and names). Alignments that contradict themselves don't count.
+placeholders, are aligned there. The names and units of all windows on one alignment must be consistent: one
+value of the item always meets one value of the document and the other way round (the question with other
+numbers and names). Numbers map freely, for two of them may be equal by chance. Of alignments that contradict
+themselves only the windows that agree verbatim count, if they hold ``VERBATIM`` words or more.
 
 Windows are also joined by the hash of their words as they stand, slots included, however few of them are
 literal. An item that has no window with ``LITERAL`` literal words is searched as one template, from its first
@@ -38,6 +39,7 @@ WINDOW = 8
 LITERAL = 5
 SHORTEST = 5
 LEAST = 2
+VERBATIM = 20
 BLOCK_WORDS = 1_000_000
 _SIEVE_BITS = 22
 
@@ -164,22 +166,31 @@ class Items:
         out: list[dict[int, int]] = [{} for _ in range(len(texts))]
         for (doc, item, _), windows in hits.items():
             words = {(a + i, b + i) for a, b, size in windows for i in range(size)}
-            if self._consistent(found, words):
-                score = out[doc]
-                score[self.ids[item]] = max(score.get(self.ids[item], 0), len(words))
+            if not self._consistent(found, words):
+                words = self._verbatim(found, windows)
+                if len(words) < VERBATIM:
+                    continue
+            score = out[doc]
+            score[self.ids[item]] = max(score.get(self.ids[item], 0), len(words))
         return out
 
     def _consistent(self, found: Templates, words: set[tuple[int, int]]) -> bool:
-        """Does each slot value of one side always meet the same value of the other?"""
+        """Does each name or unit of one side always meet the same one of the other?"""
         there: dict[tuple[int, int], int] = {}
         back: dict[tuple[int, int], int] = {}
         for a, b in words:
-            if found.slot[a]:
+            if found.slot[a] and found.form[a] != _NUM:
                 kind, x, y = int(found.form[a]), int(found.value[a]), int(self.templates.value[b])
                 if there.setdefault((kind, y), x) != x or back.setdefault((kind, x), y) != y:
                     return False
         return True
 
+    def _verbatim(self, found: Templates, windows: list[tuple[int, int, int]]) -> set[tuple[int, int]]:
+        """Words of the windows that agree in every word, slots included."""
+        own = self.templates.value
+        same = [w for w in windows if (found.value[w[0] : w[0] + w[2]] == own[w[1] : w[1] + w[2]]).all()]
+        return {(a + i, b + i) for a, b, size in same for i in range(size)}
+
 
 def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     """Items in blocks of bounded size, one collected at a time."""

@@ -138,6 +138,17 @@ def test_leaks_of_items_rich_in_slots(spark):
     assert leaks(spark, values, list(enumerate(items))) == want
 
 
+def test_one_clash_leaves_the_rest(spark):
+    end = " Then it waits there until the people from the town have come on board with all their bags and goes on to Paris again."
+    long = ITEM + end
+    fruit = "A box holds 3 apples and 3 pears, so how many of them are left when 3 and 5 are sold?"
+    values = [
+        long.replace("from Paris", "from Rome"), long.replace("to Paris", "to Rome"), fruit.replace("3 pears", "4 pears"),
+        fruit.replace("3 apples and 3", "5 apples and 7"), fruit.replace("3 and 5", "4 and 4"),
+    ]
+    assert leaks(spark, values, [(1, long), (2, fruit)]) == [[1], [1], [2], [2], [2]]
+
+
 def test_long_windows_hash_as_short_ones(monkeypatch):
     with np.errstate(over="ignore"):
         texts = decontaminate.Templates(pa.array(["a 1 b Cde 2 " * 8, "x y", "b 3 c " * 9]))
