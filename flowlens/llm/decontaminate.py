@@ -12,6 +12,9 @@ Windows are also joined by the hash of their words as they stand, slots included
 literal. An item that has no window with ``LITERAL`` literal words is searched as one template, from its first
 word to its last.
 
+An alignment counts if it has two windows or more, or covers half of the item's words. A lone window of a longer
+item counts only if it agrees verbatim and is not stock wording, which stands in more than ``STOCK`` texts of the block.
+
 The windows are joined by hash within the tasks over documents, against one block of benchmark items at a
 time; a block holds about ``BLOCK_WORDS`` words at most, so what travels to the tasks is bounded however
 many items there are, and the documents are neither shuffled nor cut.
@@ -40,6 +43,7 @@ LITERAL = 5
 SHORTEST = 5
 LEAST = 2
 VERBATIM = 20
+STOCK = 2
 BLOCK_WORDS = 1_000_000
 _SIEVE_BITS = 22
 
@@ -127,6 +131,8 @@ class Items:
         item_of = np.repeat(np.arange(len(ids)), lengths)
         self.tables: dict[tuple[int, bool, int], tuple] = {}
         covered = np.zeros(len(ids), bool)
+        text_of = np.unique(np.array(texts, object), return_inverse=True)[1] if texts else np.zeros(0, np.int64)
+        self.stock = np.zeros(len(item_of), bool)  # by the window's first word
 
         def add(size: int, verbatim: bool, least: int, wanted: np.ndarray) -> None:
             at, hashes = self.templates.windows(size, verbatim, least)
@@ -145,6 +151,12 @@ class Items:
             wanted = lengths >= WINDOW if size == WINDOW else lengths == size
             add(size, False, min(LITERAL, size), wanted)
             add(size, True, 0, wanted)
+        if (WINDOW, True, 0) in self.tables:
+            hashes, at, items, _ = self.tables[WINDOW, True, 0]
+            firsts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            group = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(hashes))))
+            pairs = np.unique(np.stack([group, text_of[items]]), axis=1)
+            self.stock[at] = (np.bincount(pairs[0], minlength=len(firsts)) > STOCK)[group]
         whole = ~covered & (lengths >= SHORTEST)
         for size in sorted({int(n) for n in lengths[whole]}):
             add(size, False, LEAST, whole & (lengths == size))
@@ -170,6 +182,8 @@ class Items:
                 words = self._verbatim(found, windows)
                 if len(words) < VERBATIM:
                     continue
+            if not self._enough(found, windows, len(words), item):
+                continue
             score = out[doc]
             score[self.ids[item]] = max(score.get(self.ids[item], 0), len(words))
         return out
@@ -185,6 +199,12 @@ class Items:
                     return False
         return True
 
+    def _enough(self, found: Templates, windows: list[tuple[int, int, int]], words: int, item: int) -> bool:
+        """Is an alignment more than a lone window of a longer item that may have met by chance?"""
+        if len({a for a, _, _ in windows}) > 1 or 2 * words >= self.lengths[item]:
+            return True
+        return bool(self._verbatim(found, windows)) and not self.stock[windows[0][1]]
+
     def _verbatim(self, found: Templates, windows: list[tuple[int, int, int]]) -> set[tuple[int, int]]:
         """Words of the windows that agree in every word, slots included."""
         own = self.templates.value

@@ -149,6 +149,25 @@ def test_one_clash_leaves_the_rest(spark):
     assert leaks(spark, values, [(1, long), (2, fruit)]) == [[1], [1], [2], [2], [2]]
 
 
+def test_lone_windows(spark):
+    stock = "Which of the following is an example of "
+    items = [
+        "In 1990 the Senate of Rome was the place where all of the laws were read out by an old man each year.",
+        stock + "a gas that warms the air of big towns in summer more than rain does in spring?",
+        stock + "words that rhyme when they are read out loud by somebody who comes from far away?",
+        stock + "plants whose leaves stay on them in winter although snow covers all of their roots?",
+        "In 1990 the Senate of Rome was the place of laws.",
+    ]
+    values = [
+        "We saw that in 1850 the Duke of York was the only guest.", "Tell us which of the following is an example of good style.",
+        "He told me that plants whose leaves stay on them in winter.", "It was said that in 1850 the Duke of York was the place where none met.",
+        items[0], items[1],
+    ]
+    assert leaks(spark, values, list(enumerate(items[:4]))) == [[], [], [3], [0], [0], [1]]
+    assert leaks(spark, values[:1], [(4, items[4])]) == [[4]]
+    assert leaks(spark, values[1:2], [(k, items[1]) for k in range(4)]) == [[0, 1, 2, 3]]  # one text only
+
+
 def test_long_windows_hash_as_short_ones(monkeypatch):
     with np.errstate(over="ignore"):
         texts = decontaminate.Templates(pa.array(["a 1 b Cde 2 " * 8, "x y", "b 3 c " * 9]))
