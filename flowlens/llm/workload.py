@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, language, licences, mixing, topk, toxicity
+from flowlens.llm import align, chat, decontaminate, language, licences, mixing, spelling, topk, toxicity
 from flowlens.llm.common import crc_mod, table
 from flowlens.llm.lm import scored
 from flowlens.llm.neardup import near_duplicates
@@ -118,6 +118,25 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_chat", chat.SQL)
+def op11_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations folded from their event log, rendered, and read back from the rendered text."""
+    return chat.formatted(table(spark, folder, "conversations"))
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and groups of two tokenizers' tokens over every document."""
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align.aligned(table(spark, folder, "documents"), *paths)
+
+
+@query("op13_spelling")
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequent words of all documents, their near words, forms and roots."""
+    return spelling.spelling_groups(table(spark, folder, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
