@@ -1,7 +1,8 @@
 """Time-bucketed counters and rolling statistics per token.
 
 Everything is built from one aggregate per (mint, pane, wallet). Spark combines it on the map side,
-so a hot mint reaches the exchange as wallets, not as trades, and longer windows are made of panes.
+so a hot mint reaches the exchange as wallets, not as trades. Longer windows are made of panes by
+``sliding``, without a copy of a pane per window.
 """
 
 from __future__ import annotations
@@ -13,10 +14,9 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.columns import bucket_start, ratio_or, sol, wide
 from flowlens.operators.lookups import lookup_join, top_per_key
+from flowlens.operators.sliding import sliding_peaks, sliding_top_wallets, sliding_totals
 from flowlens.session import materialize
 
-_SUMS = ("buys", "sells", "buy_lamports", "sell_lamports")
-
 
 def wallet_panes(swaps: DataFrame, pane: int, volume: str = "quote_amount") -> DataFrame:
     """Trades per (mint, pane of ``pane`` seconds, wallet)."""
@@ -46,20 +46,6 @@ def pane_table(swaps: DataFrame, pane: int, volume: str = "quote_amount") -> Dat
     return materialize(wallet_panes(swaps, pane, volume))[0]
 
 
-def wallet_windows(panes: DataFrame, pane: int, length: int) -> DataFrame:
-    """Panes regrouped into windows of ``length`` that end at every pane end with ``win_end``."""
-    if length == pane:
-        return panes.withColumn("win_end", F.col("pane") + pane).drop("pane")
-    if length % pane:
-        raise ValueError("window length must be a whole number of panes")
-    ends = F.sequence(F.col("pane") + pane, F.col("pane") + length, F.lit(pane).cast("bigint"))
-    return (
-        panes.withColumn("win_end", F.explode(ends))
-        .groupBy("mint", "win_end", "user_wallet")
-        .agg(*[F.sum(c).alias(c) for c in _SUMS], F.min("first_time").alias("first_time"))
-    )
-
-
 def _volume(basis: str) -> Column:
     if basis == "both":
         return F.col("buy_lamports") + F.col("sell_lamports")
@@ -152,24 +138,10 @@ def rolling_stats(
     """
     panes = wallet_panes(swaps, pane, volume)
     if unique_mode == "union":
-        totals = window_totals(wallet_windows(panes, pane, length), ["mint", "win_end"], basis)
-        return with_ratios(totals).drop("first_time")
+        return with_ratios(sliding_totals(panes, pane, length, _volume(basis)))
     if unique_mode != "max_bucket":
         raise ValueError("unique_mode must be 'union' or 'max_bucket'")
-    ends = F.sequence(F.col("pane") + pane, F.col("pane") + length, F.lit(pane).cast("bigint"))
-    totals = (
-        window_totals(panes, ["mint", "pane"], basis)
-        .withColumn("win_end", F.explode(ends))
-        .groupBy("mint", "win_end")
-        .agg(
-            F.sum("buy_count").alias("buy_count"),
-            F.sum("sell_count").alias("sell_count"),
-            F.max("unique_buyers").alias("unique_buyers"),
-            F.max("unique_sellers").alias("unique_sellers"),
-            F.sum("volume_lamports").alias("volume_lamports"),
-        )
-    )
-    return with_ratios(totals)
+    return with_ratios(sliding_peaks(window_totals(panes, ["mint", "pane"], basis), pane, length))
 
 
 def wallet_first_seen(swaps: DataFrame) -> DataFrame:
@@ -182,11 +154,10 @@ def first_seen_of_panes(panes: DataFrame) -> DataFrame:
     return panes.groupBy("user_wallet").agg(F.min("first_time").alias("first_seen"))
 
 
-def top_wallets(windows: DataFrame, n: int, basis: str = "both") -> DataFrame:
-    """The ``n`` wallets of largest volume per (mint, window); ties by wallet."""
-    ranked = windows.withColumn("volume_lamports", _volume(basis))
-    order = [F.desc("volume_lamports"), F.asc("user_wallet")]
-    return top_per_key(ranked, ["mint", "win_end"], order, n)
+def top_wallets(panes: DataFrame, pane: int, length: int, n: int, basis: str = "both") -> DataFrame:
+    """The ``n`` wallets of largest volume per (mint, win_end); ties by wallet."""
+    found = sliding_top_wallets(panes, pane, length, n, _volume(basis))
+    return found.withColumn("volume_lamports", F.col("lamports").cast("bigint")).drop("lamports")
 
 
 def token_stats(
@@ -219,31 +190,32 @@ def stats_of_panes(
     top_new: int | None = None,
 ) -> DataFrame:
     """``token_stats`` from ready panes (computed or read from a stored pane table)."""
-    windows = wallet_windows(panes, pane, length)
-    totals = with_ratios(window_totals(windows, ["mint", "win_end"], basis))
     seen = first_seen_of_panes(panes) if first_seen is None else first_seen
-    biggest = top_wallets(windows, top_share, basis).groupBy("mint", "win_end").agg(
-        F.sum(wide(F.col("volume_lamports"))).alias("top_lamports")
-    )
-    judged = windows if top_new is None else top_wallets(windows, top_new, basis)
-    new = F.col("first_seen") >= F.col("win_end") - length
-    newcomers = (
-        lookup_join(judged.select("mint", "win_end", "user_wallet"), seen, ["user_wallet"], salts=1)
-        .groupBy("mint", "win_end")
-        .agg(F.count_if(new).alias("new_wallet_count"))
-    )
-    tops = biggest.join(newcomers, ["mint", "win_end"], "full").withColumn(
-        "new_wallet_count", F.coalesce("new_wallet_count", F.lit(0))
+    totals = with_ratios(sliding_totals(panes, pane, length, _volume(basis), seen if top_new is None else None))
+    biggest = sliding_top_wallets(panes, pane, length, top_share, _volume(basis)).groupBy("mint", "win_end").agg(
+        F.sum("lamports").alias("top_lamports")
     )
+    if top_new is None:
+        tops = biggest
+    else:
+        judged = sliding_top_wallets(panes, pane, length, top_new, _volume(basis))
+        new = F.col("first_seen") >= F.col("win_end") - length
+        newcomers = (
+            lookup_join(judged.select("mint", "win_end", "user_wallet"), seen, ["user_wallet"], salts=1)
+            .groupBy("mint", "win_end")
+            .agg(F.count_if(new).alias("new_wallet_count"))
+        )
+        tops = biggest.join(newcomers, ["mint", "win_end"], "full")
     return (
         totals.join(tops, ["mint", "win_end"], "left")
+        .withColumn("new_wallet_count", F.coalesce("new_wallet_count", F.lit(0)))
         .withColumn(
             "top_3_volume_share", ratio_or(F.col("top_lamports"), F.col("volume_lamports"), 0.0)
         )
         .withColumn(
             "new_wallet_pct", ratio_or(F.col("new_wallet_count"), F.col("unique_buyers"), 0.0)
         )
-        .drop("top_lamports", "first_time")
+        .drop("top_lamports")
     )
 
 

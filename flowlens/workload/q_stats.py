@@ -166,6 +166,9 @@ def rolling_stats_max_bucket(spark, folder):
     )
 
 
+_TOP = ("mint", "win_end", "user_wallet", "volume_lamports", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(
     "top_wallets_by_volume",
     f"""with {V.SWAPS}, {PANES} select mint, win_end, user_wallet, lamports::bigint as volume_lamports,
@@ -174,10 +177,20 @@ def rolling_stats_max_bucket(spark, folder):
 )
 def top_wallets_by_volume(spark, folder):
     panes = S.wallet_panes(V.swaps(spark, folder), DAY)
-    top = S.top_wallets(S.wallet_windows(panes, DAY, DAY), 5)
-    return top.select(
-        "mint", "win_end", "user_wallet", "volume_lamports", F.col("rank").cast("bigint").alias("rank")
-    )
+    return S.top_wallets(panes, DAY, DAY, 5).select(*_TOP)
+
+
+@query(
+    "top_wallets_sliding",
+    f"""with {V.SWAPS}, {PANES}, {windows_sql('week', 7)}
+    select mint, win_end, user_wallet, lamports::bigint as volume_lamports,
+    row_number() over (partition by mint, win_end order by lamports desc, user_wallet) as "rank"
+    from week qualify "rank" <= 5""",
+)
+def top_wallets_sliding(spark, folder):
+    """Largest wallets of every window of seven days: candidates by pane, verified by exact sums."""
+    panes = S.pane_table(V.swaps(spark, folder), DAY)
+    return S.top_wallets(panes, DAY, 7 * DAY, 5).select(*_TOP)
 
 
 @query("top3_share", f"with {STATS} select mint, win_end, top_3_volume_share from stats")
