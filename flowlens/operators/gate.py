@@ -13,10 +13,12 @@ segment holds at most as many rows as it has seconds, however hot its key is. Nu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,8 @@ from flowlens.session import materialize
 
 SEGMENT_ROWS = 1_000_000
 SEGMENT_TTLS = 64
+# A threshold before all times.
+NEVER = -(1 << 62)
 
 
 def segment_seconds(ttl: int) -> int:
@@ -33,30 +37,75 @@ def segment_seconds(ttl: int) -> int:
     return ttl * max(1, min(SEGMENT_TTLS, SEGMENT_ROWS // ttl))
 
 
-def _exits(times: np.ndarray, start: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted seconds of one segment: entry thresholds and the last pass they lead to."""
-    own = np.arange(len(times))
-    following = np.searchsorted(times, times + ttl)
-    step = np.where(following < len(times), following, own)
-    while not np.array_equal(further := step[step], step):  # twice as far each time
-        step = further
-    last = times[step]
-    # An entry lies in the first TTL of the segment or is the first event after it.
-    n = min(len(times), int(np.searchsorted(times, start + ttl)) + 1)
-    upto, leave = times[:n], last[:n]
-    keep = np.append(leave[1:] != leave[:-1], True)
-    return upto[keep], leave[keep]
-
-
-def _passes(times: np.ndarray, threshold: int, ttl: int) -> np.ndarray:
-    out = np.zeros(len(times), dtype=bool)
-    i = int(np.searchsorted(times, threshold))
-    while i < len(times):
-        out[i] = True
-        i = int(np.searchsorted(times, times[i] + ttl))
+# --- whole groups of a sorted partition, all at once --------------------------------------------
+
+
+def _breaks(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """Rows at which one of the columns differs from the row before; the first row counts. Nulls are equal."""
+    n = table.num_rows
+    out = np.zeros(n, dtype=bool)
+    out[:1] = True
+    for name in names:
+        column = table.column(name).combine_chunks()
+        a, b = column.slice(0, n - 1), column.slice(1)
+        differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        empty = pc.is_null(column).to_numpy(zero_copy_only=False)
+        out[1:] |= differ | (empty[1:] != empty[:-1])
     return out
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[pa.Table]:
+    """Tables that end with a group; the rows of an open group wait for the next batch."""
+    held: list[pa.RecordBatch] = []
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        cut = int(np.flatnonzero(_breaks(table, names))[-1])
+        held, rest = [], table.slice(cut)
+        if cut:
+            yield table.slice(0, cut)
+    if rest is not None:
+        yield rest
+
+
+class _Segments:
+    """Seconds of many (key, segment) groups side by side: row ``i`` lies at ``line[i]``, and groups lie so far apart
+    that a TTL never reaches the next one."""
+
+    def __init__(self, starts: np.ndarray, seg: np.ndarray, times: np.ndarray, ttl: int) -> None:
+        n = len(times)
+        self.group = np.cumsum(starts) - 1
+        self.first = np.flatnonzero(starts)
+        self.end = np.append(self.first[1:], n)[self.group]
+        self.base = self.group * (segment_seconds(ttl) + ttl + 1)
+        self.line = self.base + (times - seg)
+        # The first event that may pass after this one has, if the segment has it.
+        self.following = np.searchsorted(self.line, self.line + ttl)
+
+    def last_pass(self) -> np.ndarray:
+        """Row of the segment's last pass, if this row passes."""
+        own = np.arange(len(self.line))
+        step = np.where(self.following < self.end, self.following, own)
+        while not np.array_equal(further := step[step], step):  # twice as far each time
+            step = further
+        return step
+
+    def passes(self, entry: np.ndarray) -> np.ndarray:
+        """Mask of passing rows; ``entry`` is the first passing row of each group (its end: none)."""
+        out = np.zeros(len(self.line), dtype=bool)
+        now = entry[entry < self.end[self.first]] if len(entry) else entry
+        while len(now):
+            out[now] = True
+            ahead = self.following[now]
+            now = ahead[ahead < self.end[now]]
+        return out
+
+
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join in which null keys are equal; keeps the left side's keys."""
     other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
@@ -130,51 +179,80 @@ def first_sight(
 
 
 def _chained(slim: DataFrame, keys: Sequence[str], ttl: int) -> DataFrame:
-    """Passing seconds (``keys``, ``_t``) of runs longer than the TTL, from (keys, ``_seg``, ``_t``)."""
+    """Passing seconds (``keys``, ``_t``) of runs longer than the TTL, from (keys, ``_seg``, ``_t``).
+
+    Python sees sorted partitions and works out all their groups at once; no call is made per key or run.
+    """
     key_fields = [f for f in slim.schema if f.name in keys]
-    key_names = [f.name for f in key_fields]
-
-    def entry_map(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_t"].to_numpy())
-        upto, leave = _exits(times, int(pdf["_seg"].iloc[0]), ttl)
-        out = pd.DataFrame({"_seg": pdf["_seg"].iloc[0], "_upto": upto, "_leave": leave})
-        for name in key_names:
-            out[name] = pdf[name].iloc[0]
-        return out[[*key_names, "_seg", "_upto", "_leave"]]
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_seg", "_upto"])
-        segs = pdf["_seg"].to_numpy()
-        upto = pdf["_upto"].to_numpy()
-        leave = pdf["_leave"].to_numpy()
-        starts = np.flatnonzero(np.append(True, segs[1:] != segs[:-1]))
-        ends = np.append(starts[1:], len(segs))
-        rows = []
-        threshold = np.iinfo(np.int64).min
-        for a, b in zip(starts, ends, strict=True):
-            rows.append((segs[a], threshold))
-            hit = a + int(np.searchsorted(upto[a:b], threshold))
-            if hit < b:
-                threshold = int(leave[hit]) + ttl
-        out = pd.DataFrame(rows, columns=["_seg", "_threshold"])
-        for name in key_names:
-            out[name] = pdf[name].iloc[0]
-        return out[[*key_names, "_seg", "_threshold"]]
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t")
-        passed = _passes(pdf["_t"].to_numpy(), int(pdf["_threshold"].iloc[0]), ttl)
-        return pdf.loc[passed, [*key_names, "_t"]]
+    names = [f.name for f in key_fields]
+    groups = [*names, "_seg"]
+
+    def longs(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).to_numpy().astype(np.int64)
+
+    def rows_at(table: pa.Table, rows: np.ndarray, columns: Sequence[str], **new: np.ndarray) -> pa.RecordBatch:
+        taken = table.select(columns).take(pa.array(rows))
+        arrays = [taken.column(c).combine_chunks() for c in columns] + [pa.array(v, pa.int64()) for v in new.values()]
+        return pa.RecordBatch.from_arrays(arrays, names=[*columns, *new])
+
+    def entry_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per segment: entry thresholds and the last pass they lead to."""
+        for table in _whole_groups(batches, groups):
+            seg, times = longs(table, "_seg"), longs(table, "_t")
+            held = _Segments(_breaks(table, groups), seg, times, ttl)
+            leave = times[held.last_pass()]
+            # An entry lies in the first TTL of the segment or is the first event after it.
+            early = times < seg + ttl
+            after = np.append(False, early[:-1])
+            after[held.first] = True
+            at = np.flatnonzero(early | after)
+            last = np.append((held.group[at][1:] != held.group[at][:-1]) | (leave[at][1:] != leave[at][:-1]), True)
+            at = at[last] if len(at) else at
+            yield rows_at(table, at, groups, _upto=times[at], _leave=leave[at])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """True threshold of each segment: a step per segment, not per event."""
+        now, last = NEVER, None
+        for table in _whole_groups(batches, groups):
+            # A key may go on in the next table: its first row says whether it is a new key.
+            fresh = _breaks(table, names)
+            at = np.flatnonzero(_breaks(table, groups))
+            ends = np.append(at[1:], table.num_rows).tolist()
+            upto, leave, new = longs(table, "_upto").tolist(), longs(table, "_leave").tolist(), fresh[at].tolist()
+            key = [table.column(n)[0].as_py() for n in names]
+            new[0] = key != last
+            thresholds = []
+            for a, b, first in zip(at.tolist(), ends, new, strict=True):
+                now = NEVER if first else now
+                thresholds.append(now)
+                hit = bisect_left(upto, now, a, b)
+                if hit < b:
+                    now = leave[hit] + ttl
+            last = [table.column(n)[table.num_rows - 1].as_py() for n in names]
+            yield rows_at(table, at, groups, _t=np.array(thresholds, np.int64))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first row of each group is its threshold, the others its events."""
+        for table in _whole_groups(batches, groups):
+            starts, seg, times = _breaks(table, groups), longs(table, "_seg"), longs(table, "_t")
+            event = ~starts
+            threshold = np.maximum(times[starts], seg[starts])
+            group = (np.cumsum(starts) - 1)[event]
+            if not len(group):
+                continue
+            first = np.append(True, group[1:] != group[:-1])
+            held = _Segments(first, seg[event], times[event], ttl)
+            wanted = held.base[held.first] + np.minimum(threshold[group[first]] - seg[event][first], segment_seconds(ttl))
+            passed = held.passes(np.searchsorted(held.line, wanted))
+            yield rows_at(table, np.flatnonzero(event)[passed], [*names, "_t"])
 
     def schema(*extra: str) -> T.StructType:
         return T.StructType(key_fields + [T.StructField(n, T.LongType()) for n in extra])
 
-    maps = slim.groupBy(*key_names, "_seg").applyInPandas(
-        entry_map, schema("_seg", "_upto", "_leave")
-    )
-    entries = maps.groupBy(*key_names).applyInPandas(chain, schema("_seg", "_threshold"))
-    return (
-        _join(slim, entries, [*key_names, "_seg"])
-        .groupBy(*key_names, "_seg")
-        .applyInPandas(mark, schema("_t"))
-    )
+    dealt = slim.select(*groups, "_t").repartition(*groups).sortWithinPartitions(*groups, "_t")
+    maps = dealt.mapInArrow(entry_map, schema("_seg", "_upto", "_leave"))
+    ordered = maps.repartition(*names).sortWithinPartitions(*groups, "_upto")
+    entries = ordered.mapInArrow(chain, schema("_seg", "_t"))
+    both = entries.withColumn("_kind", F.lit(0)).unionByName(slim.select(*groups, "_t").withColumn("_kind", F.lit(1)))
+    beside = both.repartition(*groups).sortWithinPartitions(*groups, "_kind", "_t").drop("_kind")
+    return beside.mapInArrow(mark, schema("_t"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.columns import fixed, sol, wide
@@ -134,18 +134,27 @@ def clusters_as_of(
     """Clusters of the wallets listed per ``keys``, with the volume of their members until then.
 
     ``lists``: (keys, node). ``activity``: (node, pane_end, lamports), one row per wallet and pane; only panes
-    that close by the column ``end`` (one of ``keys``) count. Starts from the listed clusters, so
-    only their members' activity is summed.
+    that close by the column ``end`` (one of ``keys``) count. Activity is summed once per (component, pane) of
+    the listed components; their running volume meets the cases in one ordered pass, so a component that
+    every case lists costs its panes and its cases, not their product.
     """
     keys = list(keys)
-    found = lookup_join(lists.select(*keys, "node"), members, ["node"], "inner").select(*keys, "component").distinct()
-    all_members = members.withColumnRenamed("node", "member")
-    held = found.join(all_members, "component").join(
-        activity, (F.col("member") == F.col("node")) & (F.col("pane_end") <= F.col(end)), "left"
+    found, _ = materialize(
+        lookup_join(lists.select(*keys, "node"), members, ["node"], "inner").select(*keys, "component").distinct()
     )
-    return held.groupBy(*keys, "component").agg(
-        F.count_distinct("member").alias("size"),
-        F.coalesce(F.sum(wide(F.col("lamports"))), F.lit(0)).alias("volume_lamports"),
+    inside = lookup_join(members, found.select("component").distinct(), ["component"], "left_semi")
+    sizes = inside.groupBy("component").agg(F.count_distinct("node").alias("size"))
+    volumes = (
+        lookup_join(activity, inside.select("node", "component").distinct(), ["node"], "inner")
+        .groupBy("component", F.col("pane_end").cast("bigint").alias("_at"))
+        .agg(F.sum(wide(F.col("lamports"))).alias("lamports"))
+    )
+    asked = found.withColumn("_at", F.col(end).cast("bigint")).withColumn("_asked", F.lit(1))
+    both = volumes.withColumn("_asked", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    until = Window.partitionBy("component").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = both.withColumn("volume_lamports", F.coalesce(F.sum("lamports").over(until), F.lit(0)))
+    return lookup_join(summed.filter("_asked = 1").select(*keys, "component", "volume_lamports"), sizes, ["component"]).select(
+        *keys, "component", "size", "volume_lamports"
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.columns import bucket_start, ratio_or, wide
 from flowlens.operators.lookups import top_per_key
+from flowlens.operators.running import lists_as_of, next_case, running_totals
 
 
 def top_buyers(swaps: DataFrame, limit: int = 10, since: int | None = None) -> DataFrame:
@@ -74,25 +75,20 @@ def vwap_recent(
 
 # --- as of a time --------------------------------------------------------------------------
 #
-# Lists for many (mint, win_end): trades are first reduced to panes (whose ends the cases share), and only
-# panes that close by ``win_end`` are joined, so nothing after a case can change it.
+# Lists for many (mint, win_end): trades are first reduced to panes, whose ends the cases share, and only
+# panes that close by ``win_end`` count, so nothing after a case can change it. ``running`` says how.
 
 
 def pane_end(pane: int) -> Column:
     return bucket_start(F.col("block_time"), pane) + pane
 
 
-def _before(panes: DataFrame, cases: DataFrame) -> DataFrame:
-    ends = cases.select(F.col("mint").alias("base_mint"), "win_end").distinct()
-    return panes.join(ends, "base_mint").filter(F.col("pane_end") <= F.col("win_end"))
-
-
 def top_buyers_as_of(swaps: DataFrame, cases: DataFrame, pane: int, limit: int = 10) -> DataFrame:
     """``top_buyers`` per (mint, win_end) of ``cases``, from the trades before ``win_end``."""
     mcap = F.col("mcap_at_swap") if "mcap_at_swap" in swaps.columns else F.lit(None).cast("double")
     panes = (
         swaps.filter(F.col("side") == "buy")
-        .groupBy("base_mint", pane_end(pane).alias("pane_end"), "user_wallet")
+        .groupBy(F.col("base_mint").alias("mint"), pane_end(pane).alias("pane_end"), "user_wallet")
         .agg(
             F.count("*").alias("buys"),
             F.sum(wide(F.col("quote_amount"))).alias("quote"),
@@ -101,28 +97,30 @@ def top_buyers_as_of(swaps: DataFrame, cases: DataFrame, pane: int, limit: int =
             F.count(mcap).alias("capped"),
         )
     )
-    per_wallet = _before(panes, cases).groupBy(F.col("base_mint").alias("mint"), "win_end", "user_wallet").agg(
-        F.sum("buys").alias("buy_count"),
-        F.sum("quote").cast("decimal(38,0)").alias("total_quote"),
-        F.sum("base").cast("decimal(38,0)").alias("total_base"),
-        F.try_divide(F.sum("caps").cast("double") / F.lit(1e6), F.sum("capped").cast("double")).alias("avg_entry_mcap"),
+    totals = running_totals(next_case(panes, cases), ["user_wallet"], ["buys", "quote", "base", "caps", "capped"])
+    per_wallet = totals.select(
+        "mint",
+        "win_end",
+        "user_wallet",
+        F.col("buys").alias("buy_count"),
+        F.col("quote").cast("decimal(38,0)").alias("total_quote"),
+        F.col("base").cast("decimal(38,0)").alias("total_base"),
+        F.try_divide(F.col("caps").cast("double") / F.lit(1e6), F.col("capped").cast("double")).alias("avg_entry_mcap"),
     )
     order = [F.desc("total_quote"), F.asc("user_wallet")]
-    return top_per_key(per_wallet, ["mint", "win_end"], order, limit)
+    return lists_as_of(per_wallet, cases, ["user_wallet"], order, limit)
 
 
 def dominant_venue_as_of(swaps: DataFrame, cases: DataFrame, pane: int, unknown: str = "unknown") -> DataFrame:
     """``dominant_venue`` per (mint, win_end) of ``cases``."""
     panes = (
         swaps.filter(F.col("venue").isNotNull() & (F.col("venue") != unknown))
-        .groupBy("base_mint", pane_end(pane).alias("pane_end"), "venue")
-        .agg(F.count("*").alias("n"))
-    )
-    counts = _before(panes, cases).groupBy(F.col("base_mint").alias("mint"), "win_end", "venue").agg(
-        F.sum("n").alias("swap_count")
+        .groupBy(F.col("base_mint").alias("mint"), pane_end(pane).alias("pane_end"), "venue")
+        .agg(F.count("*").alias("swap_count"))
     )
+    totals = running_totals(next_case(panes, cases), ["venue"], ["swap_count"])
     order = [F.desc("swap_count"), F.asc("venue")]
-    return top_per_key(counts, ["mint", "win_end"], order, 1).drop("rank")
+    return lists_as_of(totals, cases, ["venue"], order, 1).drop("rank")
 
 
 def vwap_as_of(
@@ -131,13 +129,13 @@ def vwap_as_of(
 ) -> DataFrame:
     """``vwap_recent`` per (mint, win_end) of ``cases``: of each pane only its last trades can matter."""
     newest_first = [F.desc(c) for c in order]
-    slim = swaps.select("base_mint", *order, "side", "quote_mint", "quote_amount", "base_amount")
+    slim = swaps.select(F.col("base_mint").alias("mint"), *order, "side", "quote_mint", "quote_amount", "base_amount")
     panes = top_per_key(
-        slim.withColumn("pane_end", pane_end(pane)), ["base_mint", "pane_end"], newest_first, last
+        slim.withColumn("pane_end", pane_end(pane)), ["mint", "pane_end"], newest_first, last
     ).drop("rank")
-    newest = top_per_key(_before(panes, cases), ["base_mint", "win_end"], newest_first, last)
+    newest = lists_as_of(next_case(panes, cases).drop("pane_end"), cases, [], newest_first, last)
     used = newest.filter((F.col("side") == "buy") & (F.col("quote_mint") == quote))
-    sums = used.groupBy(F.col("base_mint").alias("mint"), "win_end").agg(
+    sums = used.groupBy("mint", "win_end").agg(
         F.sum(wide(F.col("quote_amount"))).alias("total_quote"),
         F.sum(wide(F.col("base_amount"))).alias("total_base"),
     )

@@ -291,3 +291,33 @@ def test_later_trades_do_not_change_an_alert(spark):
     quotes = spark.createDataFrame(quotes, "mint string, block_time long, slot long, mcap_sol double")
     passed = gated_hits(hits, quotes, 500.0, max_age=300)
     assert sorted((r.mint, r.mcap_sol) for r in passed.collect()) == [("m1", None), ("m2", None)]
+
+
+def test_gate_many_keys_and_segments(spark, monkeypatch):
+    """Keys of two columns with nulls, runs over many short segments, small batches; no call per key."""
+    import random
+
+    from flowlens.operators import gate
+
+    monkeypatch.setattr(gate, "SEGMENT_TTLS", 2)
+    rng, ttl = random.Random(4), 10
+    rows = set()
+    for a in (None, "x", "y"):
+        for b in (None, 1, 2):
+            t = rng.randrange(-50, 50)
+            for _ in range(rng.choice([1, 40, 300])):
+                rows.add((a, b, t))
+                t += rng.choice([0, 1, 1, 2, 3, 5, 9, 10, 11, 40] if rng.random() < 0.2 else [1, 2, 3])
+    want, last = set(), {}
+    for a, b, t in sorted(rows, key=lambda r: r[2]):
+        if (a, b) not in last or t - last[a, b] >= ttl:
+            last[a, b] = t
+            want.add((a, b, t))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        frame = spark.createDataFrame(sorted(rows, key=str), "a string, b long, t long")
+        out = gate.first_sight(frame, ["a", "b"], "t", ttl)
+        assert {tuple(r) for r in out.collect()} == want
+        assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
