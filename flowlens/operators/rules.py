@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.constants import MIN_MCAP_SOL
-from flowlens.functions.columns import fixed
+from flowlens.functions.columns import bind, fixed
 from flowlens.sources.rules import FIELDS, Condition, Rule
 
 _COMPARE = {
@@ -65,7 +65,8 @@ def first_match(stats: DataFrame, rules: Sequence[Rule], with_reason: bool = Tru
     """The first rule that fires per row; rows where none fires are dropped."""
     ordered = in_order(rules)
     name = F.coalesce(*[F.when(fires(r), F.lit(r.name)) for r in ordered])
-    hit = stats.withColumn("trigger_name", name).filter(F.col("trigger_name").isNotNull())
+    # Computed once per row: the reason below names it for every rule.
+    hit = bind(stats, {"trigger_name": name}).filter(F.col("trigger_name").isNotNull())
     if with_reason:
         text = F.coalesce(
             *[F.when(F.col("trigger_name") == r.name, reason(r)) for r in ordered]

@@ -78,7 +78,7 @@ def sliding_totals(
         end = F.least(until("_any"), last)
         new = F.coalesce(end > start, F.lit(False))
         events += [F.when(new, _event(start, fresh=1)), F.when(new, _event(end, fresh=-1))]
-    changes = rows.select("mint", F.explode(F.array_compact(F.array(*events))).alias("e")).select("mint", "e.*")
+    changes = rows.select("mint", F.explode(F.array(*events)).alias("e")).filter("e is not null").select("mint", "e.*")
     changes = changes.groupBy("mint", "at").agg(*[F.sum(c).alias(c) for c in _EVENT])
     order = Window.partitionBy("mint").orderBy("at")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

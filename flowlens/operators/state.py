@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators.gate import first_sight
+from flowlens.session import materialize
 
 
 def cooled_down(hits: DataFrame, cooldown: int, key: str = "mint", time: str = "win_end") -> DataFrame:
-    """Hits that raise an alert: none for the same key within ``cooldown`` seconds of the last."""
+    """Hits that raise an alert: none for the same key within ``cooldown`` seconds of the last.
+
+    The hits are used twice, so they are worked out once and written.
+    """
+    hits, _ = materialize(hits)
     return hits.join(first_sight(hits.select(key, time), [key], time, cooldown), [key, time], "left_semi")
 
 

@@ -63,6 +63,7 @@ def gated_hits(
     ``quotes``: (mint, mcap_sol, ``order``). A hit is judged by the last quote before its window's end
     that is at most ``max_age`` seconds old; later quotes can't change it.
     """
+    matched, _ = materialize(matched)
     asked = matched.withColumn("asked_at", F.col("win_end") - 1)
     known = latest_before(asked, quotes, "mint", "mcap_sol", max_age, ("asked_at",), order)
     passed = mcap_gate(known.drop("asked_at", "mcap_sol_time"), minimum=minimum)
