@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import kept, ranges, slices, stored, task
+from flowlens.llm.common import Ragged, kept, ranges, slices, stored, task
 from flowlens.llm.tokens import cuts_of
 
 CHUNK = 4 << 20
@@ -47,36 +47,6 @@ STRING_BYTES = 4096
 SPACE = "▁"
 
 
-# --- ragged arrays -----------------------------------------------------------------------------
-
-
-def gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Positions first[i], first[i] + 1, ... of all runs, one run after the other."""
-    after = np.cumsum(size)
-    return np.repeat(first - (after - size), size) + np.arange(int(after[-1]) if len(after) else 0)
-
-
-class Ragged:
-    """Growing list of integer arrays."""
-
-    def __init__(self) -> None:
-        self.parts: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.flat, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
-
-    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.flat = np.concatenate([self.flat, flat.astype(np.int64)])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-
-    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = self.first[rows + 1] - self.first[rows]
-        return self.flat[gather(self.first[rows], size)], size
-
-    def keep(self, rows: np.ndarray) -> None:
-        flat, size = self.take(rows)
-        self.flat, self.first = flat, np.concatenate([[0], np.cumsum(size)])
-
-
 # --- lockstep ----------------------------------------------------------------------------------
 
 

@@ -139,6 +139,32 @@ def starts_of(offsets: np.ndarray, length: int) -> np.ndarray:
     return np.arange(n) + length <= ends
 
 
+def gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions first[i], first[i] + 1, ... of all runs, one run after the other."""
+    after = np.cumsum(size)
+    return np.repeat(first - (after - size), size) + np.arange(int(after[-1]) if len(after) else 0)
+
+
+class Ragged:
+    """Growing list of integer arrays."""
+
+    def __init__(self, dtype: type = np.int64) -> None:
+        self.flat, self.first = np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of the arrays ``rows``, one after the other; their sizes)."""
+        size = self.first[rows + 1] - self.first[rows]
+        return self.flat[gather(self.first[rows], size)], size
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.flat, size = self.take(rows)
+        self.first = np.concatenate([[0], np.cumsum(size)])
+
+
 # --- worker memory -----------------------------------------------------------------------------
 
 _KEPT: dict[tuple[str, str], object] = {}
@@ -325,7 +351,9 @@ def with_replies(chunks: DataFrame, replies: DataFrame, fields: list[str]) -> Da
 # --- scalar models -----------------------------------------------------------------------------
 
 
-def appended(docs: DataFrame, fields: list[tuple[str, str]], fn: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+def appended(
+    docs: DataFrame, fields: list[tuple[str, str]], fn: Callable[[pa.Array], list[pa.Array]], limit: int = SLICE_CHARS
+) -> DataFrame:
     """``docs`` with new columns made from whole texts; columns of the same names are replaced.
 
     ``fn`` gets slices of bounded text size. All other columns pass through untouched.

@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import SLICE_CHARS, kept, slices, stored, task
+from flowlens.llm.common import SLICE_CHARS, Ragged, kept, ranges, slices, stored, task
 
 BLOCK_IDS = 1 << 16
 END_ID = 2
-# Distinct pieces whose ids a Python worker remembers; beyond it the memory starts anew.
+# Distinct pieces whose ids a Python worker remembers; beyond it only those met again stay.
 CACHE_PIECES = 300_000
+# Bytes of unseen pieces that go to the tokenizer as one string.
+STRING_BYTES = 4096
 
 BLOCK_SCHEMA = (
     "shard int, block int, bits int, n_ids long,"
@@ -102,28 +105,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # In the byte-level alphabet a character stands for a byte.
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}  # piece -> its number
-        self.pool = np.zeros(0, np.uint32)  # ids of all known pieces, one after the other
-        self.first = np.zeros(1, np.int64)  # where each piece's ids start
+        self.ids = Ragged(np.uint32)  # ids of each piece
+        self.seen = np.zeros(0, bool)  # asked for in more than one slice
+
+    def _shrink(self) -> None:
+        """Keep the pieces that several slices had; forget the others."""
+        rows = np.flatnonzero(self.seen)
+        if len(rows) > CACHE_PIECES // 2:
+            self._forget()
+            return
+        place = np.full(len(self.seen), -1)
+        place[rows] = np.arange(len(rows))
+        self.known = {p: k for p, n in self.known.items() if (k := int(place[n])) >= 0}
+        self.ids.keep(rows)
+        self.seen = np.zeros(len(rows), bool)
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number per piece): unseen pieces, joined to longer strings where they may follow each other."""
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        free = np.zeros(len(raw) + 1, bool)
+        free[cuts_of(raw)] = True
+        stop = ~free[ends] | (np.diff(ends // STRING_BYTES, append=-1) != 0)
+        stop[-1] = True
+        last = np.flatnonzero(stop)
+        strings = np.split(raw, ends[last[:-1]])
+        found = self.tokenizer.encode_batch_fast([bytes(x).decode() for x in strings], add_special_tokens=False)
+        ids = [e.ids for e in found]
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+        upto = np.cumsum(self.width[flat])
+        place = np.searchsorted(upto, ends)
+        if len(upto) and upto[-1] == len(raw) and np.array_equal(upto[place], ends):
+            return flat, np.diff(place + 1, prepend=0)
+        # A tokenizer that changes bytes: each piece by itself.
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids))), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def _pieces(self, pieces: list[bytes]) -> np.ndarray:
-        """Number of each piece; pieces not known yet are encoded."""
+        """Number of each (distinct) piece; pieces not known yet are encoded."""
         if len(self.known) > CACHE_PIECES:
-            self._forget()
-        new = [p for p in pieces if p not in self.known]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
-            ids = [e.ids for e in found]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-            self.known.update((p, len(self.first) - 1 + k) for k, p in enumerate(part))
-            self.pool = np.concatenate([self.pool, flat])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
+            self._shrink()
+        known = self.known
+        numbers = np.fromiter((known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        unseen = np.flatnonzero(numbers < 0)
+        self.seen[numbers[numbers >= 0]] = True
+        if len(unseen):
+            # Pieces that start with a space follow each other; they come first.
+            new = sorted((pieces[i] for i in unseen.tolist()), key=lambda p: p[0])
+            base = len(known)
+            self.ids.add(*self._encoded(new))
+            known.update(zip(new, range(base, base + len(new))))
+            self.seen = np.concatenate([self.seen, np.zeros(len(new), bool)])
+            numbers[unseen] = [known[pieces[i]] for i in unseen.tolist()]
+        return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids per text), without the end id."""
@@ -150,10 +192,8 @@ class Encoder:
         ).dictionary_encode()
         codes = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         number = self._pieces(pieces.dictionary.to_pylist())[codes]
-        first = self.first[number]
-        each = self.first[number + 1] - first
+        flat, each = self.ids.take(number)
         after = np.cumsum(each)
-        flat = self.pool[np.repeat(first - (after - each), each) + np.arange(after[-1])]
         seen = np.concatenate([[0], after])[np.searchsorted(marks, ends)]
         return flat, np.diff(seen)
 
@@ -176,30 +216,32 @@ def _writer(path: str, end_id: int, block_ids: int):
             ]
         )
 
-        def block(docs: list[dict], parts: list[np.ndarray]) -> pa.RecordBatch:
-            flat = np.concatenate(parts)
-            row = {"shard": shard, "block": made, "bits": bits, "n_ids": len(flat), "docs": docs, "payload": pack(flat, bits)}
-            return pa.RecordBatch.from_pylist([row], schema=schema)
+        doc = [schema.field("docs").type.value_type.field(i) for i in range(3)]
+
+        def block(ids: pa.Array, sizes: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+            columns = [ids, pa.array(np.cumsum(sizes) - sizes, pa.int64()), pa.array(sizes, pa.int64())]
+            docs = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.StructArray.from_arrays(columns, fields=doc))
+            rest = [pa.array([x], t) for x, t in zip((shard, made, bits, len(flat)), schema.types, strict=False)]
+            return pa.RecordBatch.from_arrays([*rest, docs, pa.array([pack(flat, bits)], pa.binary())], schema=schema)
 
-        docs: list[dict] = []
-        parts: list[np.ndarray] = []
-        total = 0
-        end = np.array([end_id], np.uint32)
+        # Documents of the block that is being filled: ids, sizes, token ids.
+        held = pa.array([], pa.int64()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, texts in slices(batch.column("text"), SLICE_CHARS):
                 flat, counts = coder.encode(texts)
-                at = 0
-                for i, n in enumerate(counts.tolist()):
-                    if docs and total + n + 1 > block_ids:
-                        yield block(docs, parts)
-                        docs, parts, total, made = [], [], 0, made + 1
-                    docs.append({"doc_id": ids[lo + i].as_py(), "offset": total, "n": n + 1})
-                    parts += [flat[at : at + n], end]
-                    at += n
-                    total += n + 1
-        if docs:
-            yield block(docs, parts)
+                ended = np.full(len(flat) + len(counts), end_id, np.uint32)
+                ended[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat
+                docs = pa.concat_arrays([held[0], ids.slice(lo, len(texts))])
+                sizes, tokens = np.concatenate([held[1], counts + 1]), np.concatenate([held[2], ended])
+                upto = np.concatenate([[0], np.cumsum(sizes)])
+                *full, (a, b) = ranges(sizes, block_ids)
+                for first, last in full:
+                    yield block(docs.slice(first, last - first), sizes[first:last], tokens[upto[first] : upto[last]])
+                    made += 1
+                held = docs.slice(a, b - a), sizes[a:b], tokens[upto[a] :]
+        if len(held[0]):
+            yield block(*held)
 
     return write
 
