@@ -32,6 +32,8 @@ SLOTS = 1 << 13
 SIZES = (1, 2, 3)
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
+# Characters of text that are worked on at once; what that takes is some fifty times as many bytes.
+SLICE = 512 << 10
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
@@ -63,19 +65,17 @@ def word_sums(words: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.nda
     """Per distinct word: summed weights of its n-grams, and their number."""
     sums, counts = np.zeros((len(words), weights.shape[1])), np.zeros(len(words))
     for word, slot in letters_grams(words, SIZES, SLOTS):
-        rows = weights[slot]
-        for k in range(weights.shape[1]):
-            sums[:, k] += np.bincount(word, rows[:, k], minlength=len(words))
+        for k in range(weights.shape[1]):  # one bit at a time: a number per n-gram, not one per bit of it
+            sums[:, k] += np.bincount(word, weights[slot, k], minlength=len(words))
         counts += np.bincount(word, minlength=len(words))
     return sums, counts
 
 
-def _features(texts: list[str]) -> np.ndarray:
-    """N-gram frequencies per text."""
+def _features(texts: list[str], out: np.ndarray) -> None:
+    """N-gram frequencies per text, into the zeros of ``out``."""
     offsets, words = words_of(pa.array(texts, pa.string()))
     codes, distinct = coded(words)
     doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    out = np.zeros((len(texts), SLOTS), np.float32)
     grams = [(w, s) for w, s in letters_grams(distinct.to_pylist(), SIZES, SLOTS)]
     pair, times = np.unique(doc * max(1, len(distinct)) + codes, return_counts=True)
     by_doc, by_word = np.divmod(pair, max(1, len(distinct)))
@@ -86,7 +86,7 @@ def _features(texts: list[str]) -> np.ndarray:
         rows = np.repeat(by_doc, size)
         at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         np.add.at(out, (rows, slot[at]), np.repeat(times, size))
-    return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
+    out /= np.maximum(out.sum(axis=1, keepdims=True), 1)
 
 
 def _losses(margins: np.ndarray, codes: np.ndarray, trust: np.ndarray) -> np.ndarray:
@@ -104,9 +104,12 @@ def train(texts: list[str], languages: list[str], rounds: int = 80) -> LanguageM
     own = np.array([names.index(x) for x in languages])
     # Short pieces beside whole texts, so that short texts are judged as surely.
     pieces = [" ".join(t.split()[3 : 3 + 8]) or t for t in texts]
-    x = np.concatenate([_features(texts), _features(pieces)])
+    x = np.zeros((2 * len(texts), SLOTS), np.float32)
+    _features(texts, x[: len(texts)])
+    _features(pieces, x[len(texts) :])
     y, own = codes[np.concatenate([own, own])], np.concatenate([own, own])
-    scale = (1 / (x.std(axis=0) + 1e-4)).astype(np.float32)
+    spread = np.concatenate([x[:, lo : lo + 512].std(axis=0) for lo in range(0, SLOTS, 512)])
+    scale = (1 / (spread + 1e-4)).astype(np.float32)
     x *= scale
     balance = 1 / np.bincount(own)[own]
     balance = (balance / balance.sum()).astype(np.float32)
@@ -166,4 +169,4 @@ def _decide(model: LanguageModel):
 def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_ambiguous, read from ``text`` alone."""
     fields = [("lang_pred", "string"), ("lang_score", "double"), ("lang_ambiguous", "boolean")]
-    return appended(docs, fields, _decide(model))
+    return appended(docs, fields, _decide(model), SLICE)
