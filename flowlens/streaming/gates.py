@@ -8,10 +8,11 @@ bounded by its distinct seconds within the lateness, however busy it is.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -28,6 +29,22 @@ def with_clock(rows: DataFrame, at: DataFrame, time: str) -> DataFrame:
     return rows.withColumn(CLOCK, F.lit(False)).unionByName(tick, allowMissingColumns=True)
 
 
+SECOND = T.StructField("second", T.LongType())
+
+
+def _text(name: str) -> T.StructField:
+    return T.StructField(name, T.StringType())
+
+
+def _packed(columns: Sequence[str]) -> Column:
+    """The columns as one text, so that nulls and long integers wait and come back as they were."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}) if columns else F.lit("{}")
+
+
+def _unpacked(text: str, schema: T.StructType) -> list[Column]:
+    return [F.from_json(text, schema)[f.name].alias(f.name) for f in schema.fields]
+
+
 class _Waiting(StatefulProcessor):
     """Rows (``second``, others) wait as columns of arrays beside the fields of ``kept``."""
 
@@ -108,9 +125,9 @@ class _Waiting(StatefulProcessor):
 class _Gate(_Waiting):
     """Passing seconds of a key; ``last`` is the one that closed it."""
 
-    def __init__(self, ttl: int, keys: Sequence[str], fields: Sequence[T.StructField], out: Sequence[str]) -> None:
-        super().__init__(fields, [T.StructField("last", T.LongType())])
-        self.ttl, self.keys, self.out = ttl, list(keys), list(out)
+    def __init__(self, ttl: int, keys: Sequence[str]) -> None:
+        super().__init__([SECOND, _text("carried")], [T.StructField("last", T.LongType())])
+        self.ttl, self.keys = ttl, list(keys)
 
     def start(self) -> tuple:
         return (None,)
@@ -119,8 +136,14 @@ class _Gate(_Waiting):
         return None if kept[0] is None else int(kept[0]) + self.ttl
 
     def arrived(self, rows: pd.DataFrame) -> pd.DataFrame:
-        order = [f.name for f in self.fields]
-        return rows.sort_values(order, kind="stable").drop_duplicates("second")
+        def place(carried: str) -> tuple:  # nulls first
+            return tuple((v is not None, v) for v in json.loads(carried).values())
+
+        best: dict[int, str] = {}
+        for t, carried in zip(rows["second"].tolist(), rows["carried"].tolist(), strict=True):
+            if t not in best or place(carried) < place(best[t]):
+                best[t] = carried
+        return pd.DataFrame({"second": list(best), "carried": list(best.values())})
 
     def take(self, key: tuple, kept: tuple, due: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         last, passed = kept[0], []
@@ -131,7 +154,7 @@ class _Gate(_Waiting):
                 last = int(t)
         found = due.iloc[passed]
         table = {k: [v] * len(found) for k, v in zip(self.keys, key, strict=True)}
-        return (last,), pd.DataFrame(table | {c: found[f.name].tolist() for c, f in zip(self.out, self.fields, strict=True)})
+        return (last,), pd.DataFrame(table | {c: found[c].tolist() for c in ("second", "carried")})
 
 
 def first_sight(
@@ -143,14 +166,13 @@ def first_sight(
     watermark has passed it; one that is later than ``late`` is dropped.
     """
     keys, carry = list(keys), list(carry)
-    clock = [c for c in (CLOCK,) if c in events.columns]
-    slim = events.select(*keys, *carry, *clock, F.col(time).cast("bigint").alias("second"))
+    clock = F.col(CLOCK) if CLOCK in events.columns else F.lit(False)
+    slim = events.select(*keys, F.col(time).cast("bigint").alias("second"), _packed(carry).alias("carried"), clock.alias(CLOCK))
     timed = event_time(slim, "second", late)
-    fields = [T.StructField("second", T.LongType()), *[slim.schema[c] for c in carry]]
-    schema = T.StructType([*[slim.schema[k] for k in keys], T.StructField(time, T.LongType()), *[slim.schema[c] for c in carry]])
-    return timed.groupBy(*keys).transformWithStateInPandas(
-        _Gate(ttl, keys, fields, [time, *carry]), schema, "Append", "EventTime"
-    )
+    schema = T.StructType([*[slim.schema[k] for k in keys], SECOND, _text("carried")])
+    passed = timed.groupBy(*keys).transformWithStateInPandas(_Gate(ttl, keys), schema, "Append", "EventTime")
+    carried = T.StructType([events.schema[c] for c in carry])
+    return passed.select(*keys, F.col("second").alias(time), *_unpacked("carried", carried))
 
 
 # --- as-of lookup ------------------------------------------------------------------------------
@@ -159,10 +181,10 @@ def first_sight(
 class _Latest(_Waiting):
     """Facts with the key's last value; values and facts wait together, values first at equal times."""
 
-    def __init__(self, key: T.StructField, facts: Sequence[T.StructField], value: T.StructField, max_age: int) -> None:
-        fields = [T.StructField("second", T.LongType()), T.StructField("value_tie", T.LongType()), T.StructField("value_new", value.dataType), *facts]
-        super().__init__(fields, [T.StructField("at", T.LongType()), T.StructField("value", value.dataType)])
-        self.key, self.facts, self.value, self.max_age = key.name, [f.name for f in facts], value.name, max_age
+    def __init__(self, key: str, max_age: int) -> None:
+        fields = [SECOND, T.StructField("tie", T.LongType()), T.StructField("fact_row", T.BooleanType()), _text("packed")]
+        super().__init__(fields, [T.StructField("at", T.LongType()), _text("value")])
+        self.key, self.max_age = key, max_age
 
     def start(self) -> tuple:
         return (None, None)
@@ -172,18 +194,16 @@ class _Latest(_Waiting):
 
     def take(self, key: tuple, kept: tuple, due: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         at, value = kept
-        due = due.assign(is_fact=due["value_new"].isna()).sort_values(["second", "is_fact", "value_tie"], kind="stable")
-        out: dict[str, list] = {c: [] for c in (self.key, *self.facts, self.value, f"{self.value}_time")}
-        for row in due.to_dict("records"):
-            if not row["is_fact"]:
-                at, value = int(row["second"]), row["value_new"]
+        out: dict[str, list] = {c: [] for c in (self.key, "fact", "value")}
+        due = due.sort_values(["second", "fact_row", "tie"], kind="stable")
+        for t, is_fact, packed in zip(due["second"], due["fact_row"], due["packed"], strict=True):
+            if not is_fact:
+                at, value = int(t), packed
                 continue
-            fresh = at is not None and row["second"] - at <= self.max_age
+            fresh = at is not None and t - at <= self.max_age
             out[self.key].append(key[0])
-            for c in self.facts:
-                out[c].append(row[c])
-            out[self.value].append(value if fresh else None)
-            out[f"{self.value}_time"].append(at if fresh else None)
+            out["fact"].append(packed)
+            out["value"].append(value if fresh else None)
         return (at, value), pd.DataFrame(out)
 
 
@@ -194,24 +214,27 @@ def latest_before(
     """``operators.asof.latest_before`` of two streams: for each fact the key's last ``value`` at or before it and at
     most ``max_age`` seconds old. At equal times the value comes first, and of values the one with the larger ``tie``.
 
-    ``facts``: key, ``time`` and other columns, none null in ``values``: key, ``time``, ``tie``, ``value``.
+    ``facts``: key, ``time`` and other columns; ``values``: key, ``time``, ``tie``, ``value``.
     """
-    rest = [f for f in facts.schema.fields if f.name not in (key, CLOCK)]
-    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in rest}
-    kind = values.schema[value].dataType
+    rest = [f.name for f in facts.schema.fields if f.name not in (key, CLOCK)]
     clock = F.col(CLOCK) if CLOCK in facts.columns else F.lit(False)
-    asked = facts.select(
-        key, F.col(time).cast("bigint").alias("second"), F.lit(0).cast("bigint").alias("value_tie"), F.lit(None).cast(kind).alias("value_new"),
-        *[f.name for f in rest], clock.alias(CLOCK),
-    )
-    known = values.filter(F.col(value).isNotNull()).select(
-        key, F.col(time).cast("bigint").alias("second"), F.col(tie).cast("bigint").alias("value_tie"), F.col(value).alias("value_new"),
-        *none.values(), F.lit(False).alias(CLOCK),
-    )
-    timed = event_time(asked.unionByName(known), "second", late)
-    schema = T.StructType(
-        [facts.schema[key], *rest, T.StructField(value, kind), T.StructField(f"{value}_time", T.LongType())]
-    )
-    return timed.groupBy(key).transformWithStateInPandas(
-        _Latest(facts.schema[key], rest, values.schema[value], max_age), schema, "Append", "EventTime"
+
+    def waiting(rows: DataFrame, tie_order: Column, is_fact: bool, packed: Column, ticks: Column) -> DataFrame:
+        second = F.col(time).cast("bigint")
+        return rows.select(
+            key, second.alias("second"), tie_order.cast("bigint").alias("tie"), F.lit(is_fact).alias("fact_row"),
+            packed.alias("packed"), ticks.alias(CLOCK),
+        )
+
+    kept = F.struct(F.col(value).alias("value"), F.col(time).cast("bigint").alias("at"))
+    known = values.filter(F.col(value).isNotNull())
+    both = waiting(facts, F.lit(0), True, _packed(rest), clock).unionByName(
+        waiting(known, F.col(tie), False, F.to_json(kept), F.lit(False))
     )
+    schema = T.StructType([facts.schema[key], _text("fact"), _text("value")])
+    found = event_time(both, "second", late).groupBy(key).transformWithStateInPandas(_Latest(key, max_age), schema, "Append", "EventTime")
+    told = F.from_json("value", T.StructType([T.StructField("value", values.schema[value].dataType), T.StructField("at", T.LongType())]))
+    return found.select(
+        key, *_unpacked("fact", T.StructType([facts.schema[c] for c in rest])),
+        told["value"].alias(value), told["at"].alias(f"{value}_time"),
+    )

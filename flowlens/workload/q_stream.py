@@ -9,10 +9,11 @@ from flowlens.operators import trades as T
 from flowlens.plans.detection import stats_pair
 from flowlens.session import materialize, shared_dir
 from flowlens.sources.rules import read_rules, write_rules
+from flowlens.streaming import gates as GT
 from flowlens.streaming import jobs as J
 from flowlens.workload import views as V
 from flowlens.workload.q_rules import RULE_SQL, RULES, STATES
-from flowlens.workload.q_stats import PAIR
+from flowlens.workload.q_stats import PAIR, mcap_quotes
 from flowlens.workload.q_tx import (
     BACKFILL,
     BACKFILLED,
@@ -25,7 +26,7 @@ from flowlens.workload.q_tx import (
     hot_parts,
     part_supply,
 )
-from flowlens.workload.registry import query
+from flowlens.workload.registry import ORACLE, query
 
 DAY = V.DAY
 
@@ -205,3 +206,39 @@ def stream_token_state(spark, folder):
     out = shared_dir(spark)
     J.run_available(J.token_state(stream, 3 * DAY), J.write_versions(out), mode="append")
     return spark.read.parquet(out).select("mint", "changed_at", "state")
+
+
+# --- keys that recur -----------------------------------------------------------------------
+
+
+def run_to_the_end(spark, rows, time, make):
+    """``make`` of ``rows`` as a stream of micro-batches in time order, with a tick that lets everything settle."""
+    end = rows.agg((F.max(time) + 100 * DAY).alias(time)).filter(F.col(time).isNotNull())
+    rows, _ = materialize(GT.with_clock(rows, end, time))
+    stream = J.file_stream(spark, staged(rows, time), rows.schema, max_files=1)
+    out = shared_dir(spark)
+    J.run_available(make(stream), J.write_versions(out), mode="append")
+    return spark.read.parquet(out).drop("batch")
+
+
+@query("stream_dedup_ttl", ORACLE["dedup_ttl"])
+def stream_dedup_ttl(spark, folder):
+    """``dedup_ttl`` by a stateful stream: keys recur, each is closed for 600 s by every pass."""
+    trades = V.swaps(spark, folder).select("venue", "block_time", "slot")
+    return run_to_the_end(
+        spark, trades, "block_time", lambda rows: GT.first_sight(rows, ["venue"], "block_time", 600, carry=["slot"])
+    )
+
+
+@query("stream_mcap_asof", ORACLE["mcap_asof"])
+def stream_mcap_asof(spark, folder):
+    """``mcap_asof`` by a stateful stream: the last value of each mint is kept for six hours."""
+    trades = V.swaps(spark, folder)
+    rows = trades.select("base_mint", "block_time", "slot", "side", "quote_mint", "quote_amount", "base_amount")
+
+    def make(stream):
+        sells = stream.filter(f"side = 'sell' or {GT.CLOCK}").select("base_mint", "block_time", "slot", GT.CLOCK)
+        return GT.latest_before(sells, mcap_quotes(stream), "base_mint", "mcap", 21_600)
+
+    found = run_to_the_end(spark, rows, "block_time", make)
+    return found.select("slot", "base_mint", "mcap", F.coalesce("mcap_time", F.lit(0)).alias("mcap_time"))
