@@ -149,6 +149,18 @@ def wallet_first_seen(swaps: DataFrame) -> DataFrame:
     return swaps.groupBy("user_wallet").agg(F.min("block_time").alias("first_seen"))
 
 
+def wallet_first_seen_refreshed(swaps: DataFrame, ttl: int, stamped: bool = False) -> DataFrame:
+    """First trade of each wallet since it was last unseen for ``ttl`` seconds: every trade renews the record.
+
+    One row per wallet and session. Works on streams that carry event time ``ts`` (``stamped``); Spark merges
+    sessions within each task before the exchange, so a busy wallet is a few rows there.
+    """
+    rows = swaps if stamped else swaps.withColumn("ts", F.timestamp_seconds("block_time"))
+    session = F.session_window("ts", f"{ttl} seconds").alias("session")
+    found = rows.groupBy("user_wallet", session).agg(F.min("block_time").alias("first_seen"))
+    return found.select("user_wallet", "first_seen")
+
+
 def first_seen_of_panes(panes: DataFrame) -> DataFrame:
     """First trade of each wallet out of panes."""
     return panes.groupBy("user_wallet").agg(F.min("first_time").alias("first_seen"))

@@ -64,6 +64,11 @@ def materialize(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a table that a later one has replaced."""
     jvm = spark.sparkContext._jvm

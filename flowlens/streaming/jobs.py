@@ -15,7 +15,7 @@ from flowlens.operators.lookups import top_per_key
 from flowlens.operators.merge import first_per_key
 from flowlens.operators.rules import first_match
 from flowlens.operators.trades import backfill_missing
-from flowlens.session import shared_dir
+from flowlens.session import path_exists, shared_dir
 from flowlens.sources.rules import Rule
 
 
@@ -97,14 +97,14 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
 
 
 def insert_once(
-    path: str, keys: Sequence[str], order: Sequence[str], epoch: str | None = None, reach: int = 7
+    path: str, keys: Sequence[str], order: Sequence[str], epoch: str | None = None, reach: int = 7, period: int = 86_400
 ) -> Callable[[DataFrame, int], None]:
     """Sink that keeps the first row per key for good.
 
     A replayed batch overwrites its own folder and is compared with earlier batches only, so a
     restart neither loses nor repeats rows. With ``epoch`` (a column of epoch seconds) rows are stored by
-    day, and a batch is compared with the days it touches and ``reach`` days around them only: what one
-    batch reads then depends on the batch and not on the life of the stream. Keys must not come back later
+    ``period`` (a day), and a batch is compared with the periods it touches and ``reach`` periods around them only:
+    what one batch reads then depends on the batch and not on the life of the stream. Keys must not come back later
     than that.
     """
 
@@ -115,18 +115,18 @@ def insert_once(
         low, high = batch.agg(F.min(epoch), F.max(epoch)).first()
         if low is None:
             return earlier.limit(0)
-        return earlier.filter(F.col("day").between(low // 86_400 - reach, high // 86_400 + reach))
+        return earlier.filter(F.col("day").between(low // period - reach, high // period + reach))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read twice below; the stateful steps before it must run once
         try:
             new = first_per_key(batch, keys, [F.asc(c) for c in order])
-            if batch_id > 0 and _exists(batch.sparkSession, path):
+            if batch_id > 0 and path_exists(batch.sparkSession, path):
                 new = new.join(stored_before(batch, batch_id).select(*keys), list(keys), "left_anti")
             if epoch is None:
                 new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
             else:
-                days = new.withColumn("day", F.floor(F.col(epoch) / 86_400))
+                days = new.withColumn("day", F.floor(F.col(epoch) / period))
                 days.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch_id}")
         finally:
             batch.unpersist()
@@ -134,11 +134,6 @@ def insert_once(
     return write
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def match_rules(
     path: str, rules: Callable[[], Sequence[Rule]]
 ) -> Callable[[DataFrame, int], None]:
@@ -152,11 +147,11 @@ def match_rules(
 
 
 def backfill_hot(
-    path: str, deltas: Callable[[], DataFrame], supply: DataFrame
+    path: str, deltas: Callable[[], DataFrame], supply: DataFrame, period: int = 86_400
 ) -> Callable[[DataFrame, int], None]:
     """Sink for a stream of newly hot mints (``mint``): their trades in the stored balance changes
     that ``deltas`` reads, with market cap, stored once."""
-    store = insert_once(path, ["signature", "base_mint"], ["slot"])
+    store = insert_once(path, ["signature", "base_mint"], ["slot"], epoch="block_time", period=period)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         store(backfill_missing(deltas(), batch.select("mint").distinct(), supply), batch_id)

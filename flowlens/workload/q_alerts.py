@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.constants import RULE_TEXT
 from flowlens.functions.text import (
@@ -17,12 +18,13 @@ from flowlens.functions.text import (
 from flowlens.operators import alerts as A
 from flowlens.operators.alerts import DEGRADED_TEXT
 from flowlens.operators import merge as M
+from flowlens.operators.keyed import KeyedTable
 from flowlens.operators.lookups import first_known, first_source
 from flowlens.operators.rules import first_match
 from flowlens.operators.state import cooled_down
 from flowlens.operators.toplists import top_buyers
 from flowlens.plans.detection import alert_rows, gated_hits, stats_pair
-from flowlens.session import materialize
+from flowlens.session import materialize, shared_dir
 from flowlens.sources.tables import read_table
 from flowlens.workload import views as V
 from flowlens.workload.q_graph import (
@@ -381,6 +383,37 @@ def wallet_profile_upsert(spark, folder):
     )
 
 
+_SPAN = "least(3, (extract(year from o_orderdate)::int - 1992) // 2)"
+
+
+@query(
+    "profile_batches",
+    f"""with dated as (select o_custkey as wallet, {_SPAN} as b, o_totalprice from orders),
+      batches as (select wallet, b, 'W' || wallet || '-' || b as label,
+        case when (wallet + b) % 2 = 0 then max(o_totalprice) end as funded, count(*) as trades from dated group by wallet, b)
+    select wallet, arg_min(label, b) as label, coalesce(arg_max(funded, b) filter (funded is not null), -1.0) as funded,
+      arg_max(trades, b) as trades from batches group by wallet""",
+)
+def profile_batches(spark, folder):
+    """Wallet profiles in a keyed table: four batches, each rewriting only the parts that hold its wallets."""
+    orders = read_table(spark, folder, "orders")
+    span = F.least(F.lit(3), F.floor((F.year("o_orderdate") - 1992) / 2).cast("int"))
+    rows, _ = materialize(
+        orders.groupBy(F.col("o_custkey").alias("wallet"), span.alias("b")).agg(
+            F.max("o_totalprice").alias("funded"), F.count("*").alias("trades")
+        )
+    )
+    changes = rows.select(
+        "wallet", "b", F.concat(F.lit("W"), F.col("wallet").cast("string"), F.lit("-"), F.col("b").cast("string")).alias("label"),
+        F.when((F.col("wallet") + F.col("b")) % 2 == 0, F.col("funded")).alias("funded"), "trades",
+    )
+    fields = T.StructType([changes.schema[c] for c in ("wallet", "label", "funded", "trades")])
+    table = KeyedTable(spark, shared_dir(spark), "wallet", fields, parts=8)
+    for batch in range(4):
+        table.upsert(changes.filter(F.col("b") == batch).drop("b"), batch, ["trades"], ["funded"], ["label"])
+    return table.read().withColumn("funded", F.coalesce("funded", F.lit(-1.0)))
+
+
 @query(
     "profile_update_by_key",
     f"""with recursive {CUSTOMER_MEMBERS}, sized as (select node, component,

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import scores as SC
 from flowlens.operators import graph as G
+from flowlens.operators.clusters import ClusterStore
 from flowlens.operators.lookups import lookup_join
 from flowlens.operators.scoring import factors, linked_buyers, scored
 from flowlens.operators.stats import token_stats
 from flowlens.operators.toplists import pane_end, top_buyers_as_of
 from flowlens.plans.detection import enrich_hot
-from flowlens.session import materialize
+from flowlens.session import materialize, shared_dir
 from flowlens.sources.tables import read_table
 from flowlens.workload import views as V
 from flowlens.workload.q_stats import HOT, STATS, hot_mints
@@ -47,6 +48,18 @@ def wallet_clusters(spark, folder):
     return customer_members(spark, folder)
 
 
+@query("clusters_after_batches", f"with recursive {CUSTOMER_MEMBERS} select node, component from members")
+def clusters_after_batches(spark, folder):
+    """Clusters kept up to date by three batches of links, the second one delivered twice."""
+    nodes = read_table(spark, folder, "customer").select(F.col("c_custkey").alias("node"))
+    links, _ = materialize(V.customer_edges(spark, folder))
+    store = ClusterStore(spark, shared_dir(spark), nodes.schema["node"].dataType, parts=8)
+    batch = F.pmod(F.xxhash64("wallet", "funder"), F.lit(3))
+    for version, k in enumerate((0, 1, 1, 2)):
+        store.add(links.filter(batch == k), k, nodes if version == 0 else None)
+    return store.read()
+
+
 @query(
     "wallets_connected",
     f"""with recursive {CUSTOMER_MEMBERS} select l_orderkey as pair_id, l_linenumber as n, o_custkey as x,
@@ -91,13 +104,13 @@ def cluster_overview(spark, folder):
     "clusters_for_wallets",
     f"""with recursive {CUSTOMER_STATS} select distinct n_nationkey::bigint as nation, component, size, buy_count
     from customer join nation on n_nationkey = c_nationkey join members on node = c_custkey
-    join clusters using (component) where c_mktsegment = 'BUILDING'""",
+    join clusters using (component)""",
 )
 def clusters_for_wallets(spark, folder):
     """Distinct clusters of one wallet list per nation."""
     members, _ = materialize(customer_members(spark, folder))
     stats = customer_stats(spark, folder, members)
-    lists = read_table(spark, folder, "customer").filter("c_mktsegment = 'BUILDING'")
+    lists = read_table(spark, folder, "customer")
     listed = lists.select(
         F.col("c_nationkey").cast("bigint").alias("nation"), F.col("c_custkey").alias("node")
     )
@@ -113,8 +126,7 @@ _TWO = "(round((volume_lamports::double / 1e9)::decimal(38, 9), 2)::decimal(38,
     "cluster_summary",
     f"""with recursive {CUSTOMER_STATS}, found as (
       select distinct c_nationkey::bigint as nation, clusters.* from customer
-      join members on node = c_custkey join clusters using (component)
-      where c_mktsegment in ('BUILDING', 'MACHINERY')),
+      join members on node = c_custkey join clusters using (component)),
     ranked as (select *, row_number() over (partition by nation order by volume_lamports desc, component) as r from found),
     totals as (select nation, sum(size)::bigint as wallets, count(*) as clusters from found group by all)
     select nation, wallets, clusters, wallets || ' wallets in ' || clusters || ' cluster'
@@ -127,7 +139,7 @@ _TWO = "(round((volume_lamports::double / 1e9)::decimal(38, 9), 2)::decimal(38,
 def cluster_summary(spark, folder):
     members, _ = materialize(customer_members(spark, folder))
     stats = customer_stats(spark, folder, members)
-    lists = read_table(spark, folder, "customer").filter("c_mktsegment in ('BUILDING', 'MACHINERY')")
+    lists = read_table(spark, folder, "customer")
     listed = lists.select(
         F.col("c_nationkey").cast("bigint").alias("nation"), F.col("c_custkey").alias("node")
     )

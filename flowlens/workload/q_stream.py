@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.operators import rules as RU
+from flowlens.operators import stats as S
 from flowlens.operators import trades as T
 from flowlens.plans.detection import stats_pair
 from flowlens.session import materialize, shared_dir
@@ -70,7 +71,9 @@ def tx_source(spark, folder):
     unique = J.deduplicated(J.event_time(stream, late="1 day"), ["signature"]).drop("ts")
     trades = T.infer_trades(T.delta_records(T.normalized(unique)))
     out = shared_dir(spark)
-    J.run_available(trades, J.insert_once(out, ["signature", "base_mint"], ["slot"]), mode="append")
+    # Six years of orders stand for the source: stored by 90 days, a batch spans about a year of them.
+    store = J.insert_once(out, ["signature", "base_mint"], ["slot"], epoch="block_time", period=90 * DAY, reach=1)
+    J.run_available(trades, store, mode="append")
     return spark.read.parquet(out).select(
         "signature",
         "slot",
@@ -92,7 +95,7 @@ def stream_backfill(spark, folder):
     stream = J.file_stream(spark, staged(hot.unionByName(hot), "mint", 3), hot.schema, max_files=1)
     out = shared_dir(spark)
     changes, _ = materialize(deltas(spark, folder, mixed=True))
-    J.run_available(stream, J.backfill_hot(out, lambda: changes, part_supply(spark, folder)), mode="append")
+    J.run_available(stream, J.backfill_hot(out, lambda: changes, part_supply(spark, folder), period=90 * DAY), mode="append")
     return backfill_columns(spark.read.parquet(out))
 
 
@@ -145,7 +148,7 @@ def stream_restart(spark, folder):
     def run(checkpoint=None):
         stream = J.file_stream(spark, source, trades.schema, max_files=1)
         return J.run_available(
-            stream, J.insert_once(out, ["signature", "base_mint"], ["slot"]), checkpoint, "append"
+            stream, J.insert_once(out, ["signature", "base_mint"], ["slot"], epoch="block_time"), checkpoint, "append"
         )
 
     checkpoint = run()
@@ -242,3 +245,29 @@ def stream_mcap_asof(spark, folder):
 
     found = run_to_the_end(spark, rows, "block_time", make)
     return found.select("slot", "base_mint", "mcap", F.coalesce("mcap_time", F.lit(0)).alias("mcap_time"))
+
+
+# --- first seen, refreshed by each trade -----------------------------------------------------
+
+_REFRESHED = f"""with {V.SWAPS}, gaps as (select user_wallet, block_time,
+      block_time - lag(block_time) over (partition by user_wallet order by block_time) as gap from swaps)
+    select distinct user_wallet, block_time as first_seen from gaps where gap is null or gap >= {7 * DAY}"""
+
+
+@query("wallet_first_seen_refreshed", _REFRESHED)
+def wallet_first_seen_refreshed(spark, folder):
+    """First sight of each wallet, forgotten when it has not traded for seven days."""
+    return S.wallet_first_seen_refreshed(V.swaps(spark, folder), 7 * DAY)
+
+
+@query("stream_first_seen_refreshed", _REFRESHED)
+def stream_first_seen_refreshed(spark, folder):
+    """The same as sessions of a stream, told when they have ended."""
+    trades = V.swaps(spark, folder).select("user_wallet", "block_time")
+
+    found = run_to_the_end(
+        spark, trades, "block_time",
+        lambda rows: S.wallet_first_seen_refreshed(J.event_time(rows), 7 * DAY, stamped=True),
+    )
+    # Not in the stream: the filter would be pushed below the watermark, and the tick would be lost.
+    return found.filter("user_wallet is not null")

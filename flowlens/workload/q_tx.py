@@ -175,10 +175,12 @@ def retention_drop(spark, folder):
       and epoch_us(o_orderdate) // 1000000 between {V.NOW_ORDERS - 1500 * DAY} and {V.NOW_ORDERS}""",
 )
 def delta_read_for_mint(spark, folder):
-    path = shared_dir(spark)
+    """One mint's records of a time, from the log files that the mint index names."""
+    path, index = shared_dir(spark), shared_dir(spark)
     TB.append_delta_log(deltas(spark, folder), path, QUARTER)
-    return TB.read_recent_deltas(
-        spark, path, V.NOW_ORDERS, 1500 * DAY, "p42", QUARTER
+    TB.index_delta_log(spark, path, index)
+    return TB.read_indexed_deltas(
+        spark, path, index, "p42", V.NOW_ORDERS, 1500 * DAY, QUARTER
     ).select("signature", "slot")
 
 
