@@ -76,3 +76,26 @@ VENUE_TEXT = {
     "meteora": "Meteora",
     "unknown": "DEX",
 }
+# Colour (RGB) and sign of each risk level, sign of each venue.
+RISK_COLOUR = {
+    "CRITICAL": 0xFF0000,
+    "HIGH": 0xFF4400,
+    "MEDIUM": 0xFFAA00,
+    "LOW": 0xFFDD00,
+    "MINIMAL": 0x00AA00,
+}
+RISK_SIGN = {
+    "CRITICAL": "\U0001f6a8",
+    "HIGH": "\U0001f534",
+    "MEDIUM": "\U0001f7e0",
+    "LOW": "\U0001f7e1",
+    "MINIMAL": "\U0001f7e2",
+}
+VENUE_SIGN = {
+    "pump": "\U0001f4a7",
+    "jupiter": "\U0001f4ab",
+    "raydium": "\u2728",
+    "orca": "\U0001f433",
+    "meteora": "\u2604",
+    "unknown": "\u2753",
+}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.constants import RULE_TEXT, VENUE_TEXT
+from flowlens.constants import RISK_COLOUR, RISK_SIGN, RULE_TEXT, VENUE_SIGN, VENUE_TEXT
 from flowlens.functions.columns import fixed, percent, ratio_or, sol
 from flowlens.functions.scores import level
 from flowlens.functions.text import mcap_text, ratio_text
@@ -29,6 +29,11 @@ def venue_text(venue: Column) -> Column:
     return F.coalesce(_text_map(VENUE_TEXT, F.coalesce(venue, F.lit("unknown"))), F.lit("DEX"))
 
 
+def venue_sign(venue: Column) -> Column:
+    known = _text_map(VENUE_SIGN, F.coalesce(venue, F.lit("unknown")))
+    return F.coalesce(known, F.lit(VENUE_SIGN["unknown"]))
+
+
 def venue_or_suffix(venue: Column, mint: Column) -> Column:
     """The dominant venue; without one, ``pump`` for mints that end in it."""
     return F.coalesce(venue, F.when(mint.endswith("pump"), F.lit("pump")))
@@ -223,13 +228,17 @@ def rendered(alerts: DataFrame, sol_usd: float = 200.0) -> DataFrame:
         ),
     )
     mint = F.col("mint")
+    risk = level(F.col("total_score"), "alert")
+    sign = F.coalesce(_text_map(RISK_SIGN, risk), F.lit(RISK_SIGN["MEDIUM"]))
+    colours = F.create_map(*[F.lit(x) for pair in RISK_COLOUR.items() for x in pair])
     payload = F.struct(
         F.concat(F.lit("https://dexscreener.com/solana/"), mint).alias("url"),
-        ticker.alias("title"),
+        F.concat_ws(" ", sign, ticker).alias("title"),
+        F.coalesce(F.element_at(colours, risk), F.lit(RISK_COLOUR["MEDIUM"])).alias("color"),
         F.when(F.col("token_name") != F.coalesce("token_symbol", F.lit("")), F.col("token_name")).alias("name"),
         F.col("token_image").alias("thumbnail"),
-        level(F.col("total_score"), "alert").alias("risk"),
-        venue_text(F.col("venue")).alias("venue"),
+        risk.alias("risk"),
+        F.concat_ws(" ", venue_sign(F.col("venue")), venue_text(F.col("venue"))).alias("venue"),
         F.when(F.col("mcap_sol").isNotNull(), mcap_text(F.col("mcap_sol"), sol_usd)).alias("mcap"),
         rule_text(F.col("trigger_name"), F.col("trigger_reason")).alias("pattern"),
         F.struct(
@@ -257,7 +266,7 @@ def rendered(alerts: DataFrame, sol_usd: float = 200.0) -> DataFrame:
     )
     chat = F.concat_ws(
         "\n",
-        F.concat(level(F.col("total_score"), "alert"), F.lit(" RISK - "), ticker),
+        F.concat(sign, F.lit(" "), risk, F.lit(" RISK - "), ticker),
         F.initcap(F.replace("trigger_name", F.lit("_"), F.lit(" "))),
         rule_text(F.col("trigger_name"), F.col("trigger_reason")),
         F.concat(

@@ -67,6 +67,12 @@ def rate(part: Column, whole: Column, scale: float = 1.0) -> Column:
     )
 
 
+def fire_rate(evaluated: DataFrame, fired: DataFrame) -> DataFrame:
+    """One row: evaluations, those at which a rule fired, and their share in percent (0 without evaluations)."""
+    counts = evaluated.agg(F.count("*").alias("evaluations")).crossJoin(fired.agg(F.count("*").alias("triggers_fired")))
+    return counts.withColumn("fire_rate_pct", rate(F.col("triggers_fired"), F.col("evaluations"), 100.0))
+
+
 def mode(
     lag: Column,
     backlog: Column,

@@ -12,6 +12,7 @@ from flowlens.functions.columns import wide
 from flowlens.operators import alerts as A
 from flowlens.operators import graph as G
 from flowlens.operators.asof import latest_before
+from flowlens.operators.keyed import KeyedTable
 from flowlens.operators.lookups import first_known, lookup_join
 from flowlens.operators.rules import first_match, mcap_gate
 from flowlens.operators.scoring import factors, linked_buyers, scored
@@ -183,3 +184,13 @@ def enrich_hot(
     }
 
 
+def write_funding(profiles: KeyedTable, funding: DataFrame, version: int) -> None:
+    """Write the funders that an enrichment traced into the profiles (``wallet``, ``funded_by``, ``funding_hop``, others).
+
+    ``funding``: (wallet, ultimate_funder, hops). Wallets without a profile, and profiles without a traced funder, stay as
+    they are; only the parts of the table that hold a traced wallet are read and rewritten.
+    """
+    traced = funding.filter(F.col("ultimate_funder").isNotNull()).select(
+        F.col("wallet").alias(profiles.key), F.col("ultimate_funder").alias("funded_by"), F.col("hops").alias("funding_hop")
+    )
+    profiles.update(traced, version, ["funded_by", "funding_hop"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.columns import day_text, wide
 from flowlens.functions.text import short_signature, short_wallet
 from flowlens.operators.lookups import top_per_key
+from flowlens.operators.metrics import mode
 
 
 def alerts_by_date(alerts: DataFrame) -> DataFrame:
@@ -168,21 +169,47 @@ def live_counts(swaps: DataFrame, alerts: DataFrame, swaps_now: int, alerts_sinc
     )
 
 
+def live_snapshot(
+    swaps: DataFrame, alerts: DataFrame, states: DataFrame, worker: DataFrame, waiting: DataFrame,
+    swaps_now: int, alerts_since: int,
+) -> DataFrame:
+    """``live_counts`` with what the running streams report: backlog, lag, mode and hot tokens.
+
+    ``worker``: the row of ``worker_state``. ``waiting``: source records (``block_time``) that no batch has read.
+    ``states``: (mint, state) now. The number of trades is the larger of the last hour's in the table and the
+    worker's own; the lag is the age of the newest record that a batch has read.
+    """
+    counts = live_counts(swaps, alerts, swaps_now, alerts_since).drop("processing_lag")
+    backlog = waiting.agg(F.count("*").alias("backlog"))
+    hot = states.agg(F.count_if(F.col("state") == "hot").alias("hot_tokens"))
+    lag = F.coalesce(F.lit(swaps_now) - F.col("newest_event"), F.lit(0))
+    # Four tables of one row each.
+    joined = counts.crossJoin(worker).crossJoin(backlog).crossJoin(hot)
+    return joined.withColumn("processing_lag", lag).select(
+        F.greatest("swaps_last_hour", "worker_rows").alias("swaps_detected"), "swaps_last_hour", "tx_per_second", "hot_tokens",
+        "alerts_today", "backlog", "processing_lag", mode(F.col("processing_lag"), F.col("backlog")).alias("mode"),
+    )
+
+
 def live_view(
-    swaps: DataFrame, alerts: DataFrame, changes: DataFrame, now: int, alerts_now: int, newest: int = 20
+    swaps: DataFrame, alerts: DataFrame, changes: DataFrame, now: int, alerts_now: int, newest: int = 20, span: int = 300
 ) -> DataFrame:
-    """One list for a live page: newest trades, alerts of the last hour, and hot tokens.
+    """One list for a live page: trades of the last ``span`` seconds, alerts of the last hour, and hot tokens.
 
-    Columns: kind (swap, alert, hot), place, id, mint, seen_at. ``changes`` are state changes (mint,
-    changed_at, state). Every part is a top-k, cut before it is gathered.
+    Columns: kind (swap, alert, hot), place, id, mint, seen_at, mcap_sol (where known and not zero, infinite or
+    not a number). ``changes`` are state changes (mint, changed_at, state). Every part is a top-k, cut before
+    it is gathered.
     """
 
-    def part(rows: DataFrame, kind: str, key: str, mint: str, at: str) -> DataFrame:
-        named = rows.select(F.col(key).cast("string").alias("id"), F.col(mint).alias("mint"), F.col(at).alias("seen_at"))
+    def part(rows: DataFrame, kind: str, key: str, mint: str, at: str, mcap: str | None = None) -> DataFrame:
+        cap = F.col(mcap).cast("double") if mcap in rows.columns else F.lit(None).cast("double")
+        known = F.when((F.abs(cap) < float("inf")) & (cap != 0), cap).alias("mcap_sol")
+        named = rows.select(F.col(key).cast("string").alias("id"), F.col(mint).alias("mint"), F.col(at).alias("seen_at"), known)
         top = named.orderBy(F.desc("seen_at"), F.desc("id")).limit(newest)
         place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("seen_at"), F.desc("id")))
-        return top.select(F.lit(kind).alias("kind"), place.alias("place"), "id", "mint", "seen_at")
+        return top.select(F.lit(kind).alias("kind"), place.alias("place"), "id", "mint", "seen_at", "mcap_sol")
 
+    fresh = swaps.filter((F.col("block_time") >= now - span) & (F.col("block_time") <= now))
     recent = alerts.filter((F.col("created_at") > alerts_now - 3600) & (F.col("created_at") <= alerts_now))
     last = (
         changes.filter(F.col("changed_at") <= now)
@@ -192,7 +219,7 @@ def live_view(
         .select("mint", F.col("s.changed_at").alias("at"))
     )
     return (
-        part(swaps.filter(F.col("block_time") <= now), "swap", "signature", "base_mint", "block_time")
-        .unionByName(part(recent, "alert", "alert_id", "mint", "created_at"))
+        part(fresh, "swap", "signature", "base_mint", "block_time", "mcap_at_swap")
+        .unionByName(part(recent, "alert", "alert_id", "mint", "created_at", "mcap_sol"))
         .unionByName(part(last, "hot", "mint", "mint", "at"))
     )

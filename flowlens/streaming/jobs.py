@@ -17,6 +17,7 @@ from flowlens.operators.rules import first_match
 from flowlens.operators.trades import backfill_missing
 from flowlens.session import path_exists, shared_dir
 from flowlens.sources.rules import Rule
+from flowlens.streaming.progress import ProgressLog
 
 
 def file_stream(
@@ -165,10 +166,13 @@ def run_available(
     checkpoint: str | None = None,
     mode: str = "update",
     counts: dict[str, int] | None = None,
+    name: str | None = None,
+    log: ProgressLog | None = None,
 ) -> str:
     """Process what is there, then stop; returns the checkpoint for a restart.
 
-    ``counts`` gets the number of micro-batches and of rows that came too late for the watermark.
+    ``counts`` gets the number of micro-batches and of rows that came too late for the watermark. ``log``, a
+    listener of the session, gets every report of the run, under ``name``, and is flushed.
     """
     spark = stream.sparkSession
     checkpoint = checkpoint or shared_dir(spark)
@@ -177,8 +181,9 @@ def run_available(
     before = spark.conf.get(provider)
     spark.conf.set(provider, ROCKSDB)
     try:
+        writer = stream.writeStream.queryName(name) if name else stream.writeStream
         query = (
-            stream.writeStream.outputMode(mode)
+            writer.outputMode(mode)
             .foreachBatch(sink)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
@@ -187,6 +192,9 @@ def run_available(
         query.awaitTermination()
     finally:
         spark.conf.set(provider, before)
+    if log is not None:
+        log.wait(str(query.runId))
+        log.flush()
     if counts is not None:
         progress = list({p["batchId"]: p for p in query.recentProgress}.values())
         counts["batches"] = counts.get("batches", 0) + len(progress)

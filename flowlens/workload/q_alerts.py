@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.constants import RULE_TEXT
+from flowlens.constants import RISK_COLOUR, RISK_SIGN, RULE_TEXT, VENUE_SIGN, VENUE_TEXT
 from flowlens.functions.text import (
     duration_text,
     gain_text,
@@ -181,12 +181,20 @@ _RULE_TEXT_SQL = "case trigger_name " + " ".join(f"when '{r.name}' then '{RULE_T
 _TITLE_SQL = "case trigger_name " + " ".join(f"when '{r.name}' then '{r.name.replace('_', ' ').title()}'" for r in RULES) + " end"
 
 
+_SIGN_SQL = "case alert_level " + " ".join(f"when '{k}' then '{v}'" for k, v in RISK_SIGN.items()) + " end"
+_COLOUR_SQL = "case alert_level " + " ".join(f"when '{k}' then {v}" for k, v in RISK_COLOUR.items()) + " end::int"
+_VENUE_SQL = (
+    "case venue " + " ".join(f"when '{k}' then '{v} {VENUE_TEXT[k]}'" for k, v in VENUE_SIGN.items())
+    + f" else '{VENUE_SIGN['unknown']} {VENUE_TEXT['unknown']}' end"
+)
+
+
 @query(
     "alerts_render",
     f"""with recursive {RAISED} select mint, win_end,
     '[ALERT] ' || coalesce(token_symbol, mint[1:8]) || ' | ' || trigger_name || ' | Vol: ' || {fixed_sql('volume_sol', 1)}
       || ' SOL | Buyers: ' || unique_buyers || ' | CTO: ' || {percent_sql('total_score')} as plain,
-    alert_level || ' RISK - ' || coalesce('$' || token_symbol, mint[1:8] || '...') || chr(10) || {_TITLE_SQL} || chr(10)
+    {_SIGN_SQL} || ' ' || alert_level || ' RISK - ' || coalesce('$' || token_symbol, mint[1:8] || '...') || chr(10) || {_TITLE_SQL} || chr(10)
       || {_RULE_TEXT_SQL} || chr(10) || {fixed_sql('volume_sol', 1)} || ' SOL from ' || unique_buyers || ' wallets' || chr(10)
       || buy_count || ' buys | ' || {_RATIO_TEXT} || ' ratio' || chr(10) || 'CTO Score: ' || {percent_sql('total_score')} || chr(10)
       || array_to_string(evidence[1:2], chr(10)) || chr(10) || first_three || chr(10) || mint as chat
@@ -198,7 +206,8 @@ def alerts_render(spark, folder):
 
 @query(
     "alert_payload",
-    f"""with recursive {RAISED} select mint, win_end, coalesce('$' || token_symbol, mint[1:8] || '...') as title, alert_level as risk,
+    f"""with recursive {RAISED} select mint, win_end, {_SIGN_SQL} || ' ' || coalesce('$' || token_symbol, mint[1:8] || '...') as title, alert_level as risk,
+    {_COLOUR_SQL} as color, {_VENUE_SQL} as venue,
     floor(total_score * 100)::int as score_pct, cluster_summary as clusters, buyers,
     coalesce(case when token_name <> coalesce(token_symbol, '') then token_name end, '-') as name, coalesce(token_image, '-') as thumbnail,
     coalesce(case when enrichment_degraded then '{DEGRADED_TEXT}' end, '-') as warning, win_end as "timestamp", mint as footer,
@@ -208,7 +217,7 @@ def alert_payload(spark, folder):
     """Fields read back out of the structured alert payload."""
     p = F.from_json(
         "payload",
-        "title string, risk string, score_pct int, clusters string, buyers array<string>, name string,"
+        "title string, color int, venue string, risk string, score_pct int, clusters string, buyers array<string>, name string,"
         " thumbnail string, warning string, timestamp long, footer string, pattern string",
     )
     out = A.rendered(raised(spark, folder)).select("mint", "win_end", p.alias("p"))
@@ -216,6 +225,8 @@ def alert_payload(spark, folder):
         "mint",
         "win_end",
         "p.title",
+        "p.color",
+        "p.venue",
         "p.risk",
         "p.score_pct",
         "p.clusters",

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from flowlens.functions import scores as SC
 from flowlens.operators import graph as G
 from flowlens.operators.clusters import ClusterStore
+from flowlens.operators.keyed import KeyedTable
 from flowlens.operators.lookups import lookup_join
 from flowlens.operators.scoring import factors, linked_buyers, scored
 from flowlens.operators.stats import token_stats
 from flowlens.operators.toplists import pane_end, top_buyers_as_of
-from flowlens.plans.detection import enrich_hot
+from flowlens.plans.detection import enrich_hot, write_funding
 from flowlens.session import materialize, shared_dir
 from flowlens.sources.tables import read_table
 from flowlens.workload import views as V
@@ -404,3 +405,25 @@ def score_top_factors(spark, folder):
     return rows.select("mint", "win_end", F.array_join("top_factors", ", ").alias("factors"))
 
 
+@query(
+    "enrich_profiles",
+    f"""with {V.SWAPS}, {HOT}, buyers as (select base_mint, user_wallet, sum(quote_amount) as q from swaps
+      where side = 'buy' and base_mint in (select mint from hot) group by base_mint, user_wallet
+      qualify row_number() over (partition by base_mint order by q desc, user_wallet) <= 10),
+    wallets as (select distinct user_wallet as node from buyers), {USER_FIRST},
+    traced as (select a.wallet, coalesce(b.funder, a.funder) as funder, case when b.funder is null then 1 else 2 end as hops
+      from first_hops a left join first_hops b on b.wallet = a.funder where a.wallet in (select node from wallets))
+    select p.wallet, coalesce(funder, 'none') as funded_by, coalesce(hops, 0)::int as funding_hop, trades
+    from (select user_wallet as wallet, count(*) as trades from swaps group by all) p left join traced using (wallet)""",
+)
+def enrich_profiles(spark, folder):
+    """Wallet profiles after the enrichment of hot tokens has written the funders that it traced."""
+    trades = V.swaps(spark, folder)
+    start = trades.groupBy(F.col("user_wallet").alias("wallet")).agg(
+        F.lit("none").alias("funded_by"), F.lit(0).alias("funding_hop"), F.count("*").alias("trades")
+    )
+    table = KeyedTable(spark, shared_dir(spark), "wallet", start.schema, parts=8)
+    table.upsert(start, 0, ["funding_hop", "trades"], ["funded_by"])
+    out = enrich_hot(hot_mints(trades), trades, V.user_transfers(trades), ["block_time", "slot"], 10, 2)
+    write_funding(table, out["funding"], 1)
+    return table.read()

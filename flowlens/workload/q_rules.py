@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 import flowlens
 from flowlens.functions.text import finite_ratio
 from flowlens.operators import rules as RU
+from flowlens.operators.metrics import fire_rate as fired_share
 from flowlens.operators.state import cooled_down, state_at, state_changes
 from flowlens.plans import reports as R
 from flowlens.plans.detection import gated_hits, stats_pair
 from flowlens.sources.rules import FIELDS, load_rules, parsed_condition, rule_errors
+from flowlens.session import materialize, shared_dir
 from flowlens.sources.tables import read_table
+from flowlens.streaming import jobs as J
+from flowlens.streaming.progress import ProgressLog, read_progress, worker_state
 from flowlens.workload import views as V
 from flowlens.workload.q_stats import MCAPS, PAIR, mcap_quotes
 from flowlens.workload.registry import query
@@ -265,14 +269,68 @@ _ALERTS_NOW = V.NOW_ORDERS - 1000 * DAY
     f"""with recursive {STATES}, {V.ALERTS}, last as (select mint, changed_at, state from changes where changed_at <= {_VIEW_NOW}
       qualify row_number() over (partition by mint order by changed_at desc,
         case state when 'hot' then 1 else 0 end desc, state desc) = 1),
-    entries as (select 'swap' as kind, signature as id, base_mint as mint, block_time as seen_at from swaps where block_time <= {_VIEW_NOW}
-      union all select 'alert', alert_id::varchar, mint, created_at from alerts
+    entries as (select 'swap' as kind, signature as id, base_mint as mint, block_time as seen_at,
+        case when quote_mint = 'WSOL' and quote_amount > 0 then (quote_amount::double / 1e9) / base_amount::double * 1000000.0::double end as cap
+        from swaps where block_time between {_VIEW_NOW - 300} and {_VIEW_NOW}
+      union all select 'alert', alert_id::varchar, mint, created_at, case when mcap_sol <> 0 then mcap_sol end from alerts
         where created_at > {_ALERTS_NOW - 3600} and created_at <= {_ALERTS_NOW}
-      union all select 'hot', mint, mint, changed_at from last where state = 'hot')
-    select kind, row_number() over (partition by kind order by seen_at desc, id desc)::int as place, id, mint, seen_at
+      union all select 'hot', mint, mint, changed_at, null from last where state = 'hot')
+    select kind, row_number() over (partition by kind order by seen_at desc, id desc)::int as place, id, mint, seen_at,
+      coalesce(cap, -1.0::double) as mcap_sol
     from entries qualify place <= 20""",
 )
 def live_view(spark, folder):
-    """Newest trades, alerts of the last hour and hot tokens at one time."""
+    """Trades of the last five minutes, alerts of the last hour and hot tokens at one time."""
     trades, alerts = V.swaps(spark, folder), V.alerts(spark, folder)
-    return R.live_view(trades, alerts, changes(spark, folder), _VIEW_NOW, _ALERTS_NOW)
+    price = (F.col("quote_amount").cast("double") / 1e9) / F.col("base_amount").cast("double")
+    capped = trades.withColumn("mcap_at_swap", F.when(F.col("quote_mint") == "WSOL", price * F.lit(1000000.0)))
+    found = R.live_view(capped, alerts, changes(spark, folder), _VIEW_NOW, _ALERTS_NOW)
+    return found.withColumn("mcap_sol", F.coalesce("mcap_sol", F.lit(-1.0)))
+
+
+@query(
+    "fire_rate",
+    f"""with {HITS} select (select count(*) from pair) as evaluations, count(*) as triggers_fired,
+    coalesce(count(*)::double / nullif((select count(*) from pair), 0)::double * 100, 0.0::double) as fire_rate_pct from hits""",
+)
+def fire_rate(spark, folder):
+    """Share of evaluated tokens and windows at which a rule fired."""
+    stats, _ = materialize(pair(spark, folder))
+    return fired_share(stats, RU.first_match(stats, RULES, with_reason=False))
+
+
+_SNAP = V.NOW_EVENTS - DAY
+
+
+@query(
+    "live_snapshot",
+    f"""with recursive {STATES}, {V.ALERTS}, last as (select mint, state from changes where changed_at <= {_SNAP}
+      qualify row_number() over (partition by mint
+        order by changed_at desc, case state when 'hot' then 2 when 'warm' then 1 else 0 end desc) = 1),
+    done as (select * from swaps where block_time <= {_SNAP}), newest as (select * from done where block_time > {_SNAP} - 3600),
+    figures as (select greatest((select count(*) from newest), (select count(*) from done)) as swaps_detected,
+      (select count(*) from newest) as swaps_last_hour, (select count(*) from newest) / 3600e0 as tx_per_second,
+      (select count(*) from last where state = 'hot') as hot_tokens,
+      (select count(*) from alerts where created_at >= {V.NOW_ORDERS - 30 * DAY}) as alerts_today,
+      (select count(*) from swaps where block_time > {_SNAP}) as backlog,
+      coalesce({_SNAP} - (select max(block_time) from done), 0) as processing_lag)
+    select *, case when processing_lag > 30 or backlog > 80000 then 'critical'
+      when processing_lag > 5 or backlog > 50000 then 'degraded' else 'normal' end as mode from figures""",
+)
+def live_snapshot(spark, folder):
+    """What a live page shows while a stream over the trades is a day behind its source."""
+    trades, path, out = V.swaps(spark, folder), shared_dir(spark), shared_dir(spark)
+    source = shared_dir(spark)
+    trades.filter(F.col("block_time") <= _SNAP).write.parquet(source)
+    log = ProgressLog(spark, path)
+    spark.streams.addListener(log)
+    try:
+        stream = J.event_time(J.file_stream(spark, source, trades.schema, max_files=4))
+        J.run_available(stream, J.write_versions(out), mode="append", name="trades", log=log)
+    finally:
+        spark.streams.removeListener(log)
+    # The rest of the source arrives; no batch has read it.
+    waiting = trades.filter(F.col("block_time") > _SNAP)
+    states = state_at(changes(spark, folder), _SNAP)
+    worker = worker_state(read_progress(spark, path))
+    return R.live_snapshot(trades, V.alerts(spark, folder), states, worker, waiting, _SNAP, V.NOW_ORDERS - 30 * DAY)
