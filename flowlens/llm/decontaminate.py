@@ -19,11 +19,13 @@ The windows are joined by hash within the tasks over documents, against one bloc
 time; a block holds about ``BLOCK_WORDS`` words at most, so what travels to the tasks is bounded however
 many items there are, and the documents are neither shuffled nor cut.
 
-**Edge cases.** Null and blank texts match nothing. Items of fewer than ``SHORTEST`` template words are not
-searched, for they would meet clean documents; items shorter than a window are searched as a whole. Items
+**Edge cases.** Null and blank texts match nothing. Items of two to ``SHORTEST`` - 1 template words would meet clean
+documents, so they are only found verbatim as a document's whole text (``short_items=False`` leaves them out), items of
+one word never; longer items shorter than a window are searched as a whole. Items
 without ``LEAST`` literal words are searched verbatim only, for their templates are bare lists of numbers. Null item
 ids are left out; repeated items count once; repeated documents are judged each; an empty benchmark
-leaves every document clean, an empty corpus gives no rows.
+leaves every document clean, an empty corpus gives no rows. Very long texts are searched whole. Columns of any names pass
+through; one named ``leaks`` is replaced.
 """
 
 from __future__ import annotations
@@ -36,13 +38,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import appended, coded, mix, starts_of, word_hashes, words_of
+from flowlens.llm.common import appended, aside, coded, mix, starts_of, word_hashes, words_of
 
 WINDOW = 8
 LITERAL = 5
 SHORTEST = 5
 LEAST = 2
-VERBATIM = 20
 STOCK = 2
 BLOCK_WORDS = 1_000_000
 _SIEVE_BITS = 22
@@ -124,7 +125,7 @@ class Templates:
 class Items:
     """Benchmark items of one block, ready to be looked up."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
+    def __init__(self, ids: list[int], texts: list[str], short_items: bool = True) -> None:
         self.templates = Templates(pa.array(texts, pa.string()))
         lengths = np.diff(self.templates.offsets)
         self.ids, self.lengths = ids, lengths
@@ -157,6 +158,8 @@ class Items:
             group = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(hashes))))
             pairs = np.unique(np.stack([group, text_of[items]]), axis=1)
             self.stock[at] = (np.bincount(pairs[0], minlength=len(firsts)) > STOCK)[group]
+        for size in range(2, SHORTEST) if short_items else ():
+            add(size, True, 0, lengths == size)
         whole = ~covered & (lengths >= SHORTEST)
         for size in sorted({int(n) for n in lengths[whole]}):
             add(size, False, LEAST, whole & (lengths == size))
@@ -168,6 +171,9 @@ class Items:
         doc_of = np.repeat(np.arange(len(texts)), np.diff(found.offsets))
         for (size, verbatim, least), (keys, places, items, sieve) in self.tables.items():
             at, hashes = found.windows(size, verbatim, least)
+            if size < SHORTEST:  # short items only as whole texts
+                alone = np.diff(found.offsets)[doc_of[at]] == size
+                at, hashes = at[alone], hashes[alone]
             maybe = sieve[(hashes & np.uint64(len(sieve) - 1)).astype(np.int64)]
             at, hashes = at[maybe], hashes[maybe]
             low, high = np.searchsorted(keys, hashes), np.searchsorted(keys, hashes, side="right")
@@ -180,7 +186,7 @@ class Items:
             words = {(a + i, b + i) for a, b, size in windows for i in range(size)}
             if not self._consistent(found, words):
                 words = self._verbatim(found, windows)
-                if len(words) < VERBATIM:
+                if not words:
                     continue
             if not self._enough(found, windows, len(words), item):
                 continue
@@ -222,20 +228,20 @@ def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
         yield sorted((r[0], r[1]) for r in rows)
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def with_leaks(docs: DataFrame, benchmark: DataFrame, short_items: bool = True) -> DataFrame:
     """``docs`` with ``leaks``: array of (item_id, words), the items that a text holds passages of."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int64())]))
     names = []
+    plain, back = aside(docs.drop("leaks"), ("text",))
     for k, rows in enumerate(_blocks(benchmark)):
-        items = Items([r[0] for r in rows], [r[1] for r in rows])
+        items = Items([r[0] for r in rows], [r[1] for r in rows], short_items)
 
         def look(texts: pa.Array, items: Items = items) -> list[pa.Array]:
             found = [[{"item_id": i, "words": n} for i, n in sorted(m.items())] for m in items.matches(texts)]
             return [pa.array(found, kind)]
 
         names.append(f"leaks_{k}")
-        docs = appended(docs, [(names[-1], "array<struct<item_id:bigint,words:bigint>>")], look)
+        plain = appended(plain, [(names[-1], "array<struct<item_id:bigint,words:bigint>>")], look)
     if not names:
-        empty = F.array().cast("array<struct<item_id:bigint,words:bigint>>")
-        return docs.withColumn("leaks", empty)
-    return docs.withColumn("leaks", F.concat(*names)).drop(*names)
+        return plain.select(*back, F.array().cast("array<struct<item_id:bigint,words:bigint>>").alias("leaks"))
+    return plain.select(*back, F.concat(*names).alias("leaks"))

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -120,7 +121,109 @@ def test_leaks(spark):
         "He said alpha, beta; GAMMA delta epsilon zeta!", "alpha beta gamma delta", "1 2 3 4 5 6 7 8 9 10 11 12", None, "",
         "too short", "x " * 30, ITEM + "\n" + other,
     ]
-    assert leaks(spark, values) == [[1], [1], [], [1], [1], [2], [], [], [], [], [], [], [1]]
+    assert leaks(spark, values) == [[1], [1], [1], [1], [1], [2], [], [], [], [], [3], [], [1]]
+
+
+def test_leaks_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, ITEM, "a", "b")], "doc_id long, text string, leaks_0 string, leaks string")
+    row = decontaminate.with_leaks(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).first()
+    assert row.leaks_0 == "a" and [x.item_id for x in row.leaks] == [1]
+    off = decontaminate.with_leaks(spark.createDataFrame([(1, "too short")], "doc_id long, text string"),
+                                   spark.createDataFrame(ITEMS, "item_id long, text string"), short_items=False)
+    assert off.first().leaks == []
+
+
+def template(text):
+    """(form, value, is slot) of every word, one after the other."""
+    out, opens, number = [], True, False
+    for word in words(text):
+        bare = word.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¿¡")
+        ends = re.search(r"[.!?:][\"')\]”’»]*$", word) is not None
+        if bare:
+            low, was = bare.lower(), number
+            number = bool(re.match(r"^[0-9][0-9.,:/]*$", bare)) or low in decontaminate.NUMBERS
+            title = len(bare) > 1 and bare[0].isupper() and bare[1:].islower() and bare.isalpha()
+            name = title and not opens and not number
+            unit = low in decontaminate.UNITS and was and not number and not name
+            form = "<num>" if number else "<unit>" if unit else "<name>" if name else low
+            out.append((form, low, number or unit or name))
+            opens = False
+        opens = opens or ends
+    return out
+
+
+def plain_leaks(texts, items):
+    """Every window of every item against every place of every text, by the stated rules."""
+    full, literal = decontaminate.WINDOW, decontaminate.LITERAL
+    parsed = sorted({(i, t) for i, t in items if i is not None and t is not None})
+    forms = {i: template(t) for i, t in parsed}
+    texts_of = dict(parsed)
+
+    def enough_literal(ws, least):
+        return sum(not w[2] for w in ws) >= least
+
+    def stock(item, b):
+        window = [w[1] for w in forms[item][b : b + full]]
+        return len({texts_of[i] for i, f in forms.items() if len(f) >= full
+                    and any([w[1] for w in f[k : k + full]] == window for k in range(len(f) - full + 1))}) > decontaminate.STOCK
+
+    out = []
+    for text in texts:
+        doc, found = template(text), []
+        for i, item in forms.items():
+            n, hits = len(item), {}
+            size = min(full, n)
+            tests = []
+            if n >= decontaminate.SHORTEST:
+                at = range(n - size + 1)
+                if any(enough_literal(item[b : b + size], min(literal, size)) for b in at):
+                    tests.append((size, 0, min(literal, size)))
+                else:
+                    tests.append((n, 0, decontaminate.LEAST))
+                tests.append((size, 1, 0))
+            elif n >= 2 and len(doc) == n:
+                tests.append((n, 1, 0))
+            for size, column, least in tests:
+                for b in range(n - size + 1):
+                    want = [w[column] for w in item[b : b + size]]
+                    for a in range(len(doc) - size + 1):
+                        if [w[column] for w in doc[a : a + size]] == want and enough_literal(doc[a : a + size], least):
+                            hits.setdefault(a - b, set()).add((a, b, size))
+            best = 0
+            for windows in hits.values():
+                same = {w for w in windows if [x[1] for x in doc[w[0] : w[0] + w[2]]] == [x[1] for x in item[w[1] : w[1] + w[2]]]}
+                pairs = {(a + k, b + k) for a, b, size in windows for k in range(size)}
+                maps = {(doc[a][0], doc[a][1], item[b][1]) for a, b in pairs if doc[a][2] and doc[a][0] != "<num>"}
+                clash = len({(f, x) for f, x, _ in maps}) < len(maps) or len({(f, y) for f, _, y in maps}) < len(maps)
+                if clash:
+                    pairs = {(a + k, b + k) for a, b, size in same for k in range(size)}
+                lone = len({a for a, _, _ in windows}) == 1 and 2 * len(pairs) < n
+                if pairs and not (lone and (not same or stock(i, next(iter(windows))[1]))):
+                    best = max(best, len(pairs))
+            if best:
+                found.append((i, best))
+        out.append(sorted(found))
+    return out
+
+
+def test_leaks_as_plain_search(spark):
+    rng = random.Random(12)
+    pool = "the train leaves Paris at nine and runs 80 km per hour how far has it come 12 Rome when is Anna 3 apples of".split()
+    items = [(k, " ".join(rng.choice(pool) for _ in range(rng.choice([1, 2, 3, 5, 7, 9, 14, 25])))) for k in range(40)]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.choice([0, 3, 30]))) for _ in range(20)]
+    for k in range(60):  # passages with other numbers and names, some torn
+        item = rng.choice(items)[1].split(" ")
+        swap = {w: rng.choice([w, w, "Rome", "7", "Oslo"]) for w in ("Paris", "Anna", "80", "12")}
+        part = [swap.get(w, w) for w in item[rng.randrange(3) :]]
+        if k % 3 == 0 and part:
+            part[rng.randrange(len(part))] = rng.choice(pool)
+        texts.append(" ".join([*(rng.choice(pool) for _ in range(rng.choice([0, 0, 6]))), *part, "end."]))
+    texts += [t for _, t in items[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontaminate.with_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = [[(x.item_id, x.words) for x in r.leaks] for r in sorted(rows, key=lambda r: r.doc_id)]
+    want = plain_leaks(texts, items)
+    assert got == want and sum(map(bool, want)) > 20
 
 
 def test_leaks_of_items_rich_in_slots(spark):
