@@ -166,7 +166,8 @@ def rolling_stats_max_bucket(spark, folder):
     )
 
 
-_TOP = ("mint", "win_end", "user_wallet", "volume_lamports", F.col("rank").cast("bigint").alias("rank"))
+def _top(found):
+    return found.select("mint", "win_end", "user_wallet", "volume_lamports", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(
@@ -177,7 +178,7 @@ _TOP = ("mint", "win_end", "user_wallet", "volume_lamports", F.col("rank").cast(
 )
 def top_wallets_by_volume(spark, folder):
     panes = S.wallet_panes(V.swaps(spark, folder), DAY)
-    return S.top_wallets(panes, DAY, DAY, 5).select(*_TOP)
+    return _top(S.top_wallets(panes, DAY, DAY, 5))
 
 
 @query(
@@ -190,7 +191,7 @@ def top_wallets_by_volume(spark, folder):
 def top_wallets_sliding(spark, folder):
     """Largest wallets of every window of seven days: candidates by pane, verified by exact sums."""
     panes = S.pane_table(V.swaps(spark, folder), DAY)
-    return S.top_wallets(panes, DAY, 7 * DAY, 5).select(*_TOP)
+    return _top(S.top_wallets(panes, DAY, 7 * DAY, 5))
 
 
 @query("top3_share", f"with {STATS} select mint, win_end, top_3_volume_share from stats")

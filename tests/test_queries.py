@@ -19,7 +19,9 @@ wallet_clusters cluster_summary funding_trace_two_hops risk_evidence alert_deliv
 token_profile_upsert metadata_fallback format_units backtest_results backtest_summary alert_gaps
 alerts_page best_pair latency_histogram mode_timeline stream_rolling stream_restart
 stream_token_state new_wallets new_wallets_top_100 dedup_ttl_signature backtest_cli retention_drop
-safe_double pipeline_rates trigger_mcap_gate cluster_score rules_reload unique_wallets_sketch live_view""".split()
+safe_double pipeline_rates trigger_mcap_gate cluster_score rules_reload unique_wallets_sketch live_view
+top_wallets_sliding token_stats_two_windows wallet_first_seen_refreshed profile_batches clusters_after_batches fire_rate
+enrich_profiles stream_dedup_ttl stream_mcap_asof live_snapshot""".split()
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("FLOWLENS_ALL_QUERIES") else QUICK
 
 

@@ -165,3 +165,12 @@ def test_modes_and_histogram(spark):
     assert modes == ["critical", "degraded", "degraded", "critical", "normal"]
     out = {r.le: r.cumulative for r in ME.histogram(rows, "lag", (1.0, 10.0)).collect()}
     assert out == {"1.0": 3, "10.0": 4, "+Inf": 5}
+
+
+def test_venue_by_suffix_and_signs(spark):
+    from flowlens.operators import alerts as A
+
+    rows = spark.createDataFrame([("raydium", "xpump"), (None, "xpump"), (None, "x"), ("odd", "x")], "venue string, mint string")
+    venue = A.venue_or_suffix(F.col("venue"), F.col("mint"))
+    got = rows.select(venue.alias("v"), F.concat_ws(" ", A.venue_sign(venue), A.venue_text(venue)).alias("t")).collect()
+    assert [tuple(r) for r in got] == [("raydium", "\u2728 Raydium"), ("pump", "\U0001f4a7 pump.fun"), (None, "\u2753 DEX"), ("odd", "\u2753 DEX")]
