@@ -17,7 +17,6 @@ from flowlens.functions.text import (
 )
 from flowlens.operators import alerts as A
 from flowlens.operators.alerts import DEGRADED_TEXT
-from flowlens.operators import merge as M
 from flowlens.operators.keyed import KeyedTable
 from flowlens.operators.lookups import first_known, first_source
 from flowlens.operators.rules import first_match
@@ -356,7 +355,10 @@ def token_profile_upsert(spark, folder):
         alerts.filter(F.col("created_at") >= _CUT),
         F.when(F.count("*") % 2 == 0, F.max("trigger_name")),
     )
-    out = M.upsert(old, new, "mint", ["last_seen", "n"], ["reason", "symbol"], ["first_seen"])
+    table = KeyedTable(spark, shared_dir(spark), "mint", old.schema, parts=8)
+    for version, rows in enumerate((old, new)):
+        table.upsert(rows, version, ["last_seen", "n"], ["reason", "symbol"], ["first_seen"])
+    out = table.read()
     return out.withColumns({c: F.coalesce(c, F.lit("-")) for c in ("reason", "symbol")})
 
 
@@ -385,7 +387,10 @@ def wallet_profile_upsert(spark, folder):
         F.max("o_totalprice").alias("funded"),
         F.count("*").alias("trades"),
     )
-    out = M.upsert(old, new, "wallet", ["trades"], ["cluster_id", "funded"], ["label"])
+    table = KeyedTable(spark, shared_dir(spark), "wallet", old.schema, parts=8)
+    for version, rows in enumerate((old, new)):
+        table.upsert(rows, version, ["trades"], ["cluster_id", "funded"], ["label"])
+    out = table.read()
     return out.withColumns(
         {
             "cluster_id": F.coalesce("cluster_id", F.lit(-1)),
@@ -448,9 +453,10 @@ def profile_update_by_key(spark, folder):
         F.lit(0).cast("bigint").alias("cluster_size"),
         F.col("c_name").alias("label"),
     )
-    return M.update_by_key(
-        profiles, changes.unionByName(stray), "wallet", ["cluster_id", "cluster_size"]
-    )
+    table = KeyedTable(spark, shared_dir(spark), "wallet", profiles.schema, parts=8)
+    table.upsert(profiles, 0, ["cluster_id", "cluster_size"], keep=["label"])
+    table.update(changes.unionByName(stray), 1, ["cluster_id", "cluster_size"])
+    return table.read()
 
 
 @query(
