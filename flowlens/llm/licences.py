@@ -1,14 +1,18 @@
 """Licence scan by canonical digests, with DataFrame functions only.
 
-A text is made canonical: lower case; copyright lines ("copyright (c) 2020 ...", "(c) ...") are dropped;
+A text is made canonical: lower case; copyright lines ("copyright (c) 2020 ...", "(c) ...", also behind marks of a comment) are dropped;
 every run of other characters than letters and digits becomes one space; equivalent spellings become one
-(``SPELLINGS``). The SHA-256 of the whole canonical text is joined with the digests of the known licences,
-a fixed table of a few rows, so it is broadcast. The same canonical form finds notices: lines of a
-text that are a known licence notice as a whole.
+(``SPELLINGS``). The SHA-256 of the whole canonical text is joined with the digests of the known licences: a
+table (licence, text) made canonical by the same columns, ``known_texts`` by default. Notices are found by the same join: the
+lines of a text are made canonical, and those whose digest is known are gathered per distinct text.
+
+The table of digests is broadcast up to ``BROADCAST_LICENCES`` rows, beyond it the joins shuffle digests. What is gathered is one row
+per distinct text that holds a known line; it is keyed by the text's digest, so thousands of copies are one row.
 
 **Edge cases.** Null, blank and all-punctuation texts have a null digest and no licence; so has a text of
-copyright lines alone. Repeated rows are scanned each; other columns may have any names; an empty table gives
-no rows.
+copyright lines alone. Repeated rows are scanned each; a licence text without a word is ignored, and of licences with one
+canonical text the first by name stands for all. Very long texts are scanned whole. Other columns may have any names; ``licence_digest``,
+``licence`` and ``licence_notices`` are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,15 +23,22 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.common import aside, stored
+
+# Rows of the digest table, and of texts with notices, that are broadcast at most.
+BROADCAST_LICENCES = 100_000
+BROADCAST_NOTICES = 100_000
+
 # Pairs of words held to be the same, right to left.
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
     ("noninfringement", "non infringement"), ("whilst", "while"), ("favour", "favor"),
     ("organisation", "organization"), ("authorised", "authorized"), ("copyright owner", "copyright holder"),
     ("copyright owners", "copyright holders"), ("https", "http"),
 )
 COPYRIGHT = (
-    r"(^|\n)[ \t]*((portions )?copyright[ \t]*(\(c\)|©|:|<|\[|[0-9]{4})|\(c\)[ \t]|©|all rights reserved)[^\n]*"
+    r"(^|\n)[ \t*#/;-]*((portions )?copyright[ \t]*(\(c\)|©|:|<|\[|[0-9]{4})|\(c\)[ \t]|©|all rights reserved)[^\n]*"
 )
 
 # Texts of short licences.
@@ -84,16 +95,65 @@ TEXTS = (
     ("ISC", "ISC License\n" + _ISC + "\n" + _ISC_WARRANTY),
     ("Apache-2.0", _APACHE_HEADER),
 )
+_ZERO_BSD = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+hereby granted."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
+and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If
+you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as
+a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <http://unlicense.org/>"""
+_MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+_GNU_HEADER = """This {work} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {kind}
+Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later
+version.
+This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details.
+You should have received a copy of the GNU {kind} Public License along with this {work}. If not, see
+<https://www.gnu.org/licenses/>."""
+TEXTS += (
+    ("0BSD", _ZERO_BSD + "\n" + _ISC_WARRANTY),
+    ("0BSD", "BSD Zero Clause License\n" + _ZERO_BSD + "\n" + _ISC_WARRANTY),
+    ("Zlib", _ZLIB),
+    ("Zlib", "zlib License\n" + _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("MPL-2.0", _MPL_HEADER),
+    *(
+        (f"{short}-{version}.0-or-later", _GNU_HEADER.format(work=work, colon=":", kind=kind, version=version))
+        for short, kind, versions in (("GPL", "General", "23"), ("LGPL", "Lesser General", "3"), ("AGPL", "Affero General", "3"))
+        for version in versions
+        for work in ("program", "library", "file")
+    ),
+)
+# Identifiers of licences whose notice line is known.
+IDENTIFIERS = (
+    "MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "BSL-1.0", "Unlicense", "WTFPL",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "CDDL-1.0",
+    "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+)
 NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS),
 )
 
 
@@ -124,32 +184,40 @@ def canonical_column(lines: Column) -> Column:
     return F.trim(_spelled(F.regexp_replace(lines, r"[ \n]+", " ")))
 
 
-def known_digests(spark) -> DataFrame:
-    """license, digest: one row per known canonical text, a fixed table."""
-    rows = sorted({(hashlib.sha256(canonical(t).encode()).hexdigest(), name) for name, t in (*TEXTS, *NOTICES)})
-    structs = [F.struct(F.lit(name).alias("license"), F.lit(digest).alias("digest")) for digest, name in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+def known_texts(spark) -> DataFrame:
+    """The texts and notices above as a table: licence, text."""
+    return spark.createDataFrame([*TEXTS, *NOTICES], "licence string, text string")
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def known_digests(licences: DataFrame) -> DataFrame:
+    """known_digest, known_licence: one row per canonical text of ``licences`` (licence, text)."""
+    digest = F.sha2(F.nullif(canonical_column(lines_column(F.col("text"))), F.lit("")), 256)
+    rows = licences.select(digest.alias("known_digest"), F.col("licence").alias("known_licence")).filter("known_digest is not null")
+    return rows.groupBy("known_digest").agg(F.min("known_licence").alias("known_licence"))
+
+
+def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
     """``docs`` with licence_digest, licence (of the whole text, or null) and licence_notices (array)."""
-    names = {canonical(t): name for name, t in NOTICES}
-    table = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
-    base = docs.drop("licence_digest", "licence", "licence_notices").withColumn("_lines", lines_column(F.col("text")))
-    whole = F.nullif(canonical_column(F.col("_lines")), F.lit(""))
-    # A line can only be a notice if it names one of the few words that all notices hold.
-    notices = F.transform(
-        F.filter(F.split("_lines", "\n"), lambda x: x.rlike("licen[cs]e")),
-        lambda x: F.element_at(table, F.trim(_spelled(F.regexp_replace(x, " +", " ")))),
-    )
-    known = F.broadcast(
-        known_digests(docs.sparkSession).select(F.col("license").alias("licence"), F.col("digest").alias("licence_digest"))
-    )
-    found = base.withColumn("licence_digest", F.sha2(whole, 256)).withColumn(
-        "licence_notices", F.coalesce(F.array_sort(F.array_distinct(F.array_compact(notices))), F.array().cast("array<string>"))
+    known = stored(known_digests(known_texts(docs.sparkSession) if licences is None else licences))
+    if known.count() <= BROADCAST_LICENCES:
+        known = F.broadcast(known)
+    plain, back = aside(docs.drop("licence_digest", "licence", "licence_notices"), ("text",))
+    lined = plain.withColumn("lines", lines_column(F.col("text")))
+    # Notices: every line's digest meets the table; what is left is one row per distinct text with a known line.
+    lines = F.transform(F.split("lines", "\n"), lambda x: F.trim(_spelled(F.regexp_replace(x, " +", " "))))
+    digests = F.transform(F.array_distinct(F.filter(lines, lambda x: x != "")), lambda x: F.sha2(x, 256))
+    each = lined.select(F.sha2("text", 256).alias("text_digest"), F.explode(digests).alias("known_digest"))
+    found = each.join(known, "known_digest").groupBy("text_digest").agg(F.array_sort(F.collect_set("known_licence")).alias("notices"))
+    found = stored(found)
+    if found.count() <= BROADCAST_NOTICES:
+        found = F.broadcast(found)
+    whole = F.sha2(F.nullif(canonical_column(F.col("lines")), F.lit("")), 256)
+    told = lined.withColumn("licence_digest", whole).withColumn("text_digest", F.sha2("text", 256)).drop("lines")
+    joined = told.join(known, F.col("licence_digest") == F.col("known_digest"), "left").join(found, "text_digest", "left")
+    none = F.array().cast("array<string>")
+    return joined.select(
+        *back, "licence_digest", F.col("known_licence").alias("licence"), F.coalesce("notices", none).alias("licence_notices")
     )
-    columns = [c for c in base.columns if c != "_lines"]
-    return found.join(known, "licence_digest", "left").select(*columns, "licence_digest", "licence", "licence_notices")
 
 
 def _sql() -> str:
@@ -161,9 +229,12 @@ def _sql() -> str:
             column = f"replace({column}, ' {other} ', ' {one} ')"
         return column
 
-    digests = sorted({(hashlib.sha256(canonical(t).encode()).hexdigest(), name) for name, t in (*TEXTS, *NOTICES)})
+    first: dict[str, str] = {}
+    for name, t in sorted((*TEXTS, *NOTICES)):
+        first.setdefault(hashlib.sha256(canonical(t).encode()).hexdigest(), name)
+    digests = sorted(first.items())
     known = ", ".join(f"({text(name)}, {text(digest)})" for digest, name in digests)
-    notices = ", ".join(f"({text(canonical(t))}, {text(name)})" for name, t in NOTICES)
+    entries = ", ".join(f"({text(digest)}, {text(name)})" for digest, name in digests)
     return f"""
 with known(licence, digest) as (values {known}),
 lined as (select doc_id, ' ' || replace(regexp_replace(regexp_replace(lower(text), {text(COPYRIGHT)}, chr(10), 'g'),
@@ -173,7 +244,7 @@ lists as (select doc_id, canon, list_transform(coalesce(string_split(lines, chr(
     lambda x: trim({spelled("regexp_replace(x, ' +', ' ', 'g')")}, ' ')) as each from whole)
 select doc_id, sha256(canon) as digest, (select any_value(licence) from known where digest = sha256(canon)) as license,
   array_to_string(list_sort(list_distinct(list_filter(list_transform(each, lambda x:
-    map_from_entries([{notices}])[x]), lambda x: x is not null))), ',') as notices
+    map_from_entries([{entries}])[sha256(x)]), lambda x: x is not null))), ',') as notices
 from lists
 """
 

@@ -36,6 +36,28 @@ def test_notices(spark):
     assert [r.licence_notices for r in got.orderBy("doc_id").collect()] == [["MIT"], [], ["CC-BY-NC-4.0"]]
 
 
+def test_licences_of_a_given_table(spark):
+    own = "Given Licence 1.0\nYou may favour this work, whatever the licences of others say.\nCopyright (c) 2019 Somebody"
+    table = spark.createDataFrame([("Own-1.0", own), ("Own-note", "Under the Own Licence."), ("Z", "under the own license"), ("none", "..."), ("null", None)], "licence string, text string")
+    values = [
+        own.upper().replace("FAVOUR", "FAVOR").replace("LICENCE", "LICENSE"), own.replace("\n", " \r\n * ").replace("2019 Somebody", "2024 Other"),
+        own.replace("1.0", "1.1"), "x\nUnder the own license!\ny", "x\nUnder the own license!\ny", "MIT License", None, "...",
+    ]
+    docs = texts(spark, values).withColumn("licence", F.lit("old")).withColumn("lines", F.lit("kept")).withColumn("known_digest", F.lit(1))
+    got = licences.scan(docs, table).orderBy("doc_id").collect()
+    assert [r.licence for r in got] == ["Own-1.0", "Own-1.0", None, None, None, None, None, None]
+    assert [r.licence_notices for r in got] == [[], [], [], ["Own-note"], ["Own-note"], [], [], []]
+    assert all(r.lines == "kept" and r.known_digest == 1 for r in got) and got[0].licence_digest == got[1].licence_digest
+
+
+def test_every_known_text_is_found(spark):
+    rows = [*licences.TEXTS, *licences.NOTICES]
+    planted = ["(c) 2020 A\n" + re.sub(r"\bLICENSE\b", "LICENCE", t.upper()).replace(",", " ;") + "\n\nCopyright 2021 B" for _, t in rows]
+    got = licences.scan(texts(spark, planted)).orderBy("doc_id").collect()
+    assert [(r.licence, t) for r, (_, t) in zip(got, rows, strict=True) if r.licence is None] == []
+    assert [r.licence for r in got] == [name for name, _ in rows]
+
+
 def test_licences_as_sql(spark):
     rows = [(i, t) for i, t, *_ in corpus() if i is not None] + [(900, licences.TEXTS[3][1]), (901, licences.NOTICES[0][1])]
     documents = pd.DataFrame(rows, columns=["doc_id", "text"])
