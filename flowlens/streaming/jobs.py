@@ -83,15 +83,60 @@ def bucket_counters(swaps: DataFrame, size: str, slide: str | None = None) -> Da
 # --- sinks ---------------------------------------------------------------------------------
 
 
-def write_versions(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink for update mode: each micro-batch is a folder of its own, overwritten on replay."""
+def write_versions(
+    path: str, keys: Sequence[str] = (), every: int = 64
+) -> Callable[[DataFrame, int], None]:
+    """Sink for update mode: each micro-batch is a folder of its own, overwritten on replay.
+
+    With ``keys`` the folders before every ``every``-th batch are put together to one, so that what a reader ranks is
+    the table and a bounded number of batches, however long the stream has run.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if keys and batch_id and batch_id % every == 0:
+            compact_versions(batch.sparkSession, path, keys, batch_id - 1)
 
     return write
 
 
+def compact_versions(spark: SparkSession, path: str, keys: Sequence[str], upto: int) -> int:
+    """Keep the newest version of each key among the batches up to ``upto`` in one folder; the number of folders left.
+
+    Batches before the last one are never replayed, so they may go. The new folder is written whole before the
+    old ones are dropped, and a run that was cut short in between is finished by the next one.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def batches() -> list[int]:
+        names = [s.getPath().getName() for s in system.listStatus(root)]
+        return sorted(int(n[6:]) for n in names if n.startswith("batch="))
+
+    def target(name: str):
+        return jvm.org.apache.hadoop.fs.Path(root, name)
+
+    def settle(batch: int) -> None:
+        if system.exists(target(f"_compacted-{batch}/_SUCCESS")):
+            for old in [b for b in batches() if b <= batch]:
+                system.delete(target(f"batch={old}"), True)
+            system.rename(target(f"_compacted-{batch}"), target(f"batch={batch}"))
+        else:
+            system.delete(target(f"_compacted-{batch}"), True)
+
+    for name in [s.getPath().getName() for s in system.listStatus(root)]:
+        if name.startswith("_compacted-"):
+            settle(int(name[11:]))
+    old = [b for b in batches() if b <= upto]
+    if len(old) > 1:
+        rows = spark.read.option("basePath", path).parquet(*[f"{path}/batch={b}" for b in old])
+        latest = top_per_key(rows, keys, [F.desc("batch")], 1).drop("rank", "batch")
+        latest.write.mode("overwrite").parquet(f"{path}/_compacted-{old[-1]}")
+        settle(old[-1])
+    return len(batches())
+
+
 def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Newest version of each key among what ``write_versions`` wrote."""
     return top_per_key(spark.read.parquet(path), keys, [F.desc("batch")], 1).drop("rank", "batch")

@@ -110,7 +110,7 @@ def _counters_sql(size: int, slide: int) -> str:
 def counters(spark, folder, size, slide=None):
     stream = J.event_time(trade_stream(spark, folder))
     out = shared_dir(spark)
-    J.run_available(J.bucket_counters(stream, size, slide), J.write_versions(out))
+    J.run_available(J.bucket_counters(stream, size, slide), J.write_versions(out, ["mint", "win_start"], every=4))
     latest = J.read_latest(spark, out, ["mint", "win_start"])
     return latest.select(
         "mint",

@@ -84,3 +84,21 @@ def test_clock_row(spark):
     rows = spark.createDataFrame([("a", 5)], "k string, t long")
     both = gates.with_clock(rows, rows.agg((F.max("t") + 100).alias("t")), "t").collect()
     assert sorted((str(r.k), r.t, r.is_clock) for r in both) == [("None", 105, True), ("a", 5, False)]
+
+
+def test_versions_are_put_together(spark):
+    path, want = shared_dir(spark), {}
+    sink = J.write_versions(path, ["k"], every=3)
+    for batch in range(8):
+        rows = [(k, batch * 10 + k) for k in range(batch, batch + 3)]
+        want |= dict(rows)
+        sink(spark.createDataFrame(rows, "k long, v long"), batch)
+        got = J.read_latest(spark, path, ["k"]).collect()
+        assert len(got) == len(want) and {r.k: r.v for r in got} == want
+    names = {p.rsplit("/", 2)[1] for p in spark.read.parquet(path).inputFiles()}
+    assert names == {"batch=5", "batch=6", "batch=7"}
+    # A compaction that was cut short after its folder was written whole.
+    whole = spark.read.parquet(path + "/batch=5").union(spark.read.parquet(path + "/batch=6"))
+    whole.dropDuplicates(["k"]).limit(0).union(J.read_latest(spark, path, ["k"]).select("k", "v")).write.parquet(path + "/_compacted-6")
+    assert J.compact_versions(spark, path, ["k"], 6) == 2
+    assert {r.k: r.v for r in J.read_latest(spark, path, ["k"]).collect()} == want
