@@ -186,7 +186,11 @@ def hand_back() -> None:
 
 
 def task(fn: Callable, owner: str = "") -> Callable:
-    """``fn`` over batches, without what other operators kept, and leaving no free memory behind."""
+    """``fn`` over batches, without what other operators kept, and leaving no free memory behind.
+
+    What an operator keeps may have ``rest()``: it is called after each task, so that workers that wait idle beside
+    the next stage hold no cache.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key in [k for k in _KEPT if k[0] != owner]:
@@ -194,6 +198,9 @@ def task(fn: Callable, owner: str = "") -> Callable:
         try:
             yield from fn(batches)
         finally:
+            for kept_object in _KEPT.values():
+                if hasattr(kept_object, "rest"):
+                    kept_object.rest()
             hand_back()
 
     return run

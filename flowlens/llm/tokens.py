@@ -116,6 +116,10 @@ class Encoder:
         self.ids = Ragged(np.uint32)  # ids of each piece
         self.seen = np.zeros(0, bool)  # asked for in more than one slice
 
+    def rest(self) -> None:
+        """Between tasks only the tokenizer stays: unseen pieces are cheap, idle workers with caches are not."""
+        self._forget()
+
     def _shrink(self) -> None:
         """Keep the pieces that several slices had; forget the others."""
         rows = np.flatnonzero(self.seen)
