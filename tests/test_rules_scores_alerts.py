@@ -146,7 +146,7 @@ def test_alert_text(spark):
     )
     row = A.rendered(scored(base)).first()
     assert row.plain == "[ALERT] TST | concentrated_accumulation | Vol: 10.0 SOL | Buyers: 5 | CTO: 54%"
-    for part in ('"title":"$TST"', "pump.fun", "10.0 buys per wallet", "Only 5 wallets moved 10.0 SOL",
+    for part in ('"title":"\U0001f7e0 $TST","color":16755200', "pump.fun", "10.0 buys per wallet", "Only 5 wallets moved 10.0 SOL",
                  "wallet...long - 2.50 SOL @ $2K", "25% of volume", "$1.0M", "solscan.io/token/m",
                  '"name":"Test token"', '"thumbnail":"img"', '"warning":"Enrichment degraded'):
         assert part in row.payload, part
