@@ -122,6 +122,16 @@ def cluster_stats(members: DataFrame, wallets: DataFrame) -> DataFrame:
     )
 
 
+def whole_amounts(df: DataFrame, column: str) -> DataFrame:
+    """``column`` (whole numbers as decimals) as bigint where all of its values fit, else as it is.
+
+    A sum over a component grows with the table, so whether it fits is only known from the data.
+    """
+    df, _ = materialize(df)
+    fits = F.coalesce(F.bool_and(F.col(column).try_cast("bigint").isNotNull() | F.col(column).isNull()), F.lit(True))
+    return df.withColumn(column, F.col(column).cast("bigint")) if df.agg(fits).first()[0] else df
+
+
 def clusters_of(lists: DataFrame, members: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     """Distinct clusters of the wallets listed per ``key`` (columns ``key``, ``node``)."""
     found = lookup_join(lists.select(key, "node"), members, ["node"], "inner")

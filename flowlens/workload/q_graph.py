@@ -87,8 +87,8 @@ def wallets_connected(spark, folder):
 
 @query("cluster_stats", f"with recursive {CUSTOMER_STATS} select * from clusters")
 def cluster_stats(spark, folder):
-    out = customer_stats(spark, folder, customer_members(spark, folder))
-    return out.withColumn("volume_lamports", F.col("volume_lamports").cast("bigint"))
+    """Lamports are bigint as in SQL, unless a component's sum passes its range (SQL fails there): then all are decimals."""
+    return G.whole_amounts(customer_stats(spark, folder, customer_members(spark, folder)), "volume_lamports")
 
 
 @query(
@@ -215,8 +215,7 @@ def enrich(spark, folder):
     out = enrich_hot(
         hot_mints(trades), trades, V.user_transfers(trades), ["block_time", "slot"], 10, 2
     )
-    clusters = out["clusters"]
-    return clusters.withColumn("volume_lamports", F.col("volume_lamports").cast("bigint"))
+    return G.whole_amounts(out["clusters"], "volume_lamports")
 
 
 # --- scores --------------------------------------------------------------------------------
