@@ -155,7 +155,7 @@ def stream_restart(spark, folder):
     # The second half arrives together with a repeat of some records of the first.
     trades.filter(F.col("block_time") >= middle - DAY).write.mode("append").parquet(source)
     run(checkpoint)
-    return spark.read.parquet(out).select(
+    return J.read_stored(spark, out, trades.schema, "block_time").select(
         "signature", "slot", "base_mint", "user_wallet", "quote_amount"
     )
 

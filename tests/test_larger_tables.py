@@ -1,8 +1,10 @@
-"""What failed on larger tables: sums beyond bigint."""
+"""What failed on larger tables: sums beyond bigint, batches without rows."""
 
 import pandas as pd
 
 import __spark_entry__ as entry
+from flowlens.session import shared_dir
+from flowlens.streaming import jobs as J
 
 
 def test_cluster_volume_beyond_bigint(spark, tmp_path):
@@ -13,3 +15,15 @@ def test_cluster_volume_beyond_bigint(spark, tmp_path):
     spark.createDataFrame(orders).write.parquet(f"{tmp_path}/orders.parquet")
     found = {r.component: int(r.volume_lamports) for r in entry.queries()["cluster_stats"](spark, str(tmp_path)).collect()}
     assert found == {1: 13 * 10**18, 3: 12_340_000_000}
+
+
+def test_first_batch_without_rows(spark):
+    schema = "signature string, block_time long"
+    path, out = shared_dir(spark), shared_dir(spark)
+    for batch in ([], [("a", 100)], [("a", 100), ("b", 200)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+    rows = spark.createDataFrame([], schema).schema
+    sink = J.insert_once(out, ["signature"], ["block_time"], epoch="block_time")
+    J.run_available(J.file_stream(spark, path, rows, max_files=1), sink, mode="append")
+    stored = J.read_stored(spark, out, rows, "block_time")
+    assert sorted(r.signature for r in stored.collect()) == ["a", "b"]
