@@ -32,12 +32,20 @@ from flowlens.workload.registry import ORACLE, query
 DAY = V.DAY
 
 
-def staged(df, order, files=None):
+# Rows of a micro-batch. Each micro-batch has a cost of its own, so their number follows the rows and not a setting.
+BATCH_ROWS = 1_000_000
+
+
+def staged(df, order, files=None, rows=BATCH_ROWS):
     """``df`` as a folder that grew in time order: one range-partitioned write, whose files then get
-    modification times in the order of their ranges, so that a file stream reads them in time order."""
+    modification times in the order of their ranges, so that a file stream reads them in time order.
+
+    A file of about ``rows`` rows, at least six, where ``files`` does not say how many."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    files = files or max(6, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not files:
+        df, _ = materialize(df)
+        files = max(6, -(-df.count() // rows))
     df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
@@ -73,8 +81,8 @@ def tx_source(spark, folder):
     out = shared_dir(spark)
     # Six years of orders stand for the source: stored by 90 days, a batch spans about a year of them.
     store = J.insert_once(out, ["signature", "base_mint"], ["slot"], epoch="block_time", period=90 * DAY, reach=1)
-    J.run_available(trades, store, mode="append")
-    return spark.read.parquet(out).select(
+    J.run_available(trades, store, mode="append", partitions=J.state_partitions(spark))
+    return J.read_stored(spark, out, trades.schema, "block_time").select(
         "signature",
         "slot",
         "user_wallet",
@@ -110,7 +118,8 @@ def _counters_sql(size: int, slide: int) -> str:
 def counters(spark, folder, size, slide=None):
     stream = J.event_time(trade_stream(spark, folder))
     out = shared_dir(spark)
-    J.run_available(J.bucket_counters(stream, size, slide), J.write_versions(out, ["mint", "win_start"], every=4))
+    store = J.write_versions(out, ["mint", "win_start"], every=4)
+    J.run_available(J.bucket_counters(stream, size, slide), store, partitions=J.state_partitions(spark))
     latest = J.read_latest(spark, out, ["mint", "win_start"])
     return latest.select(
         "mint",
@@ -207,7 +216,9 @@ def stream_token_state(spark, folder):
     rows = rows.unionByName(clock)
     stream = J.file_stream(spark, staged(rows, "win_end"), rows.schema, max_files=1)
     out = shared_dir(spark)
-    J.run_available(J.token_state(stream, 3 * DAY), J.write_versions(out), mode="append")
+    J.run_available(
+        J.token_state(stream, 3 * DAY), J.write_versions(out), mode="append", partitions=J.state_partitions(spark)
+    )
     return spark.read.parquet(out).select("mint", "changed_at", "state")
 
 
@@ -217,10 +228,11 @@ def stream_token_state(spark, folder):
 def run_to_the_end(spark, rows, time, make):
     """``make`` of ``rows`` as a stream of micro-batches in time order, with a tick that lets everything settle."""
     end = rows.agg((F.max(time) + 100 * DAY).alias(time)).filter(F.col(time).isNotNull())
-    rows, _ = materialize(GT.with_clock(rows, end, time))
-    stream = J.file_stream(spark, staged(rows, time), rows.schema, max_files=1)
+    rows = GT.with_clock(rows, end, time)
+    # Rows wait in Python for the watermark, so a micro-batch is smaller than elsewhere.
+    stream = J.file_stream(spark, staged(rows, time, rows=BATCH_ROWS // 4), rows.schema, max_files=1)
     out = shared_dir(spark)
-    J.run_available(make(stream), J.write_versions(out), mode="append")
+    J.run_available(make(stream), J.write_versions(out), mode="append", partitions=J.state_partitions(spark))
     return spark.read.parquet(out).drop("batch")
 
 

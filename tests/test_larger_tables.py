@@ -1,10 +1,11 @@
-"""What failed on larger tables: sums beyond bigint, batches without rows."""
+"""What failed on larger tables: sums beyond bigint, batches without rows, micro-batches by setting instead of by rows."""
 
 import pandas as pd
 
 import __spark_entry__ as entry
 from flowlens.session import shared_dir
 from flowlens.streaming import jobs as J
+from flowlens.workload import q_stream
 
 
 def test_cluster_volume_beyond_bigint(spark, tmp_path):
@@ -27,3 +28,18 @@ def test_first_batch_without_rows(spark):
     J.run_available(J.file_stream(spark, path, rows, max_files=1), sink, mode="append")
     stored = J.read_stored(spark, out, rows, "block_time")
     assert sorted(r.signature for r in stored.collect()) == ["a", "b"]
+
+
+def test_micro_batches_follow_the_rows(spark):
+    def files(path):
+        return spark.read.parquet(path).inputFiles()
+
+    key, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(key, "200")
+    try:
+        rows = spark.range(2000)
+        assert len(files(q_stream.staged(rows, "id"))) == 6
+        assert len(files(q_stream.staged(rows, "id", rows=200))) == 10
+        assert J.state_partitions(spark) < 200
+    finally:
+        spark.conf.set(key, before)
