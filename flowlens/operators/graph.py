@@ -268,16 +268,19 @@ def trace_funding(firsts: DataFrame, wallets: DataFrame, max_hops: int = 2) -> D
     """Follow each wallet's first funder ``max_hops`` times.
 
     One row per traced wallet: ``funder_1`` .. ``funder_n``, the last one known, number of hops.
-    One funder may stand behind a large share of wallets, hence the salted lookup.
+    One funder may stand behind a large share of wallets, hence the lookup. What it joins is written first: transfers
+    are then reduced once and not for every hop, and the joins are chosen by real sizes.
     """
-    step = firsts.select("wallet", "funder")
+    step, _ = materialize(firsts.select("wallet", "funder"))
+    wallets, _ = materialize(wallets.select("wallet"))
     out = lookup_join(
-        wallets.select("wallet"), step.withColumnRenamed("funder", "funder_1"), ["wallet"], "inner"
+        wallets, step.withColumnRenamed("funder", "funder_1"), ["wallet"], "inner"
     )
     for hop in range(2, max_hops + 1):
         table = step.select(
             F.col("wallet").alias(f"funder_{hop - 1}"), F.col("funder").alias(f"funder_{hop}")
         )
+        out, _ = materialize(out)
         out = lookup_join(out, table, [f"funder_{hop - 1}"], "left")
     names = [f"funder_{h}" for h in range(1, max_hops + 1)]
     hops = sum((F.col(n).isNotNull().cast("int") for n in names[1:]), F.lit(1))

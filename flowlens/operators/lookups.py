@@ -11,6 +11,9 @@ from flowlens.session import materialize
 
 # A keyed table below this planned size may be sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
+# Planned sizes are those of compressed files. Rows in memory take ten times as much and more, so only a table planned
+# below this share of the limit is broadcast without being measured.
+PLANNED_SHARE = 16
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -41,9 +44,9 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``facts`` with ``table`` (one row per key).
 
-    A table planned small (an upper bound where its plan is an aggregate or a filter) is broadcast. One that is
-    planned large is written first and measured: if it turns out
-    small it is broadcast all the same, so a few hot keys never shuffle the facts. A larger one that is still
+    A table planned very small is broadcast. Any other is written first and measured: if it turns out
+    small it is broadcast all the same, so a few hot keys never shuffle the facts. A larger one is never broadcast,
+    also not by Spark's own choice, which goes by compressed files and does not see salted copies. One that is still
     small beside the facts is copied to ``salts`` salted partitions, over which the rows of a hot key are
     spread, so no task gets a whole hot key. Where the copies would outweigh the facts, or with
     ``salts=1``, it is a plain join and hot keys are left to the adaptive skew join, which splits the
@@ -51,18 +54,18 @@ def lookup_join(
     """
     keys = list(keys)
     size = planned_bytes(table)
-    if size <= broadcast_bytes:
+    if size <= broadcast_bytes // PLANNED_SHARE:
         return facts.join(F.broadcast(table), keys, how)
     if not facts.isStreaming and not table.isStreaming:
         table, size = measured(table)
         if size <= broadcast_bytes:
             return facts.join(F.broadcast(table), keys, how)
     if salts <= 1 or size * salts > planned_bytes(facts):
-        return facts.join(table, keys, how)
+        return facts.join(table.hint("merge"), keys, how)
     spread = [c for c in facts.columns if c not in keys] or keys
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def top_per_key(

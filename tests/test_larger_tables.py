@@ -43,3 +43,14 @@ def test_micro_batches_follow_the_rows(spark):
         assert J.state_partitions(spark) < 200
     finally:
         spark.conf.set(key, before)
+
+
+def test_table_beyond_the_limit_is_not_broadcast_by_its_files(spark):
+    from flowlens.operators.lookups import lookup_join
+
+    facts = spark.range(40_000).selectExpr("id % 20000 as k", "id")
+    table = spark.range(20_000).selectExpr("id as k", "id * 2 as v")
+    for salts in (1, 2):
+        joined = lookup_join(facts, table, ["k"], salts=salts, broadcast_bytes=10_000)
+        assert joined.count() == 40_000
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
