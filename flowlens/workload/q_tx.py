@@ -10,7 +10,7 @@ from flowlens.functions import swaps as SW
 from flowlens.operators import trades as T
 from flowlens.operators.merge import first_per_key, insert_ignore, retained
 from flowlens.operators.programs import occurrence_notice, program_labels, unknown_programs
-from flowlens.session import shared_dir
+from flowlens.session import materialize, shared_dir
 from flowlens.sources import tables as TB
 from flowlens.workload import views as V
 from flowlens.workload.registry import query
@@ -528,7 +528,7 @@ def backfill_columns(found):
 )
 def hot_backfill(spark, folder):
     """Trades of newly hot mints found again in stored balance changes, but for those stored already."""
-    changes = deltas(spark, folder, mixed=True)
+    changes, _ = materialize(deltas(spark, folder, mixed=True))  # read three times below
     stored = T.infer_trades(changes.filter(F.col("slot") % 3 == 0)).select("signature", "base_mint")
     return backfill_columns(T.backfill_missing(changes, hot_parts(spark, folder), part_supply(spark, folder), stored))
 
