@@ -19,8 +19,8 @@ DAY = V.DAY
 QUARTER = 90 * DAY
 
 
-def deltas(spark, folder, mixed=False, suppliers=False):
-    return T.delta_records(V.tx(spark, folder, mixed, suppliers))
+def deltas(spark, folder, mixed=False, suppliers=False, programs=True):
+    return T.delta_records(V.tx(spark, folder, mixed, suppliers, programs))
 
 
 # --- sources and logs ----------------------------------------------------------------------
@@ -233,7 +233,7 @@ def swap_insert_ignore(spark, folder):
     f"with {V.LINES}, {TOKEN_DELTAS} select signature, owner, mint, delta from deltas",
 )
 def token_deltas(spark, folder):
-    out = deltas(spark, folder).select("signature", F.explode("token_deltas").alias("d"))
+    out = deltas(spark, folder, programs=False).select("signature", F.explode("token_deltas").alias("d"))
     return out.select("signature", "d.owner", "d.mint", F.col("d.delta").cast("bigint").alias("delta"))
 
 
@@ -248,7 +248,7 @@ def token_deltas(spark, folder):
     where delta <> 0""",
 )
 def sol_deltas(spark, folder):
-    out = deltas(spark, folder, suppliers=True).select("signature", F.explode("sol_deltas").alias("d"))
+    out = deltas(spark, folder, suppliers=True, programs=False).select("signature", F.explode("sol_deltas").alias("d"))
     return out.select("signature", "d.account", F.col("d.delta").cast("bigint").alias("delta"))
 
 
@@ -264,7 +264,7 @@ MERGED = f"""raw_sol as (
 @query("wsol_merge", f"with {MIXED_DELTAS}, {MERGED} select * from merged")
 def wsol_merge(spark, folder):
     merged = B.merge_wsol(F.col("token_deltas"), F.col("sol_deltas"))
-    out = deltas(spark, folder, mixed=True).select("signature", F.explode(merged).alias("d"))
+    out = deltas(spark, folder, mixed=True, programs=False).select("signature", F.explode(merged).alias("d"))
     return out.select("signature", "d.account", F.col("d.delta").cast("bigint").alias("delta"))
 
 
@@ -275,7 +275,7 @@ def wsol_merge(spark, folder):
 )
 def candidate_users(spark, folder):
     users = B.candidate_users(F.col("token_deltas"), F.col("fee_payer"))
-    return deltas(spark, folder, mixed=True).select(
+    return deltas(spark, folder, mixed=True, programs=False).select(
         "signature", F.explode(users).alias("user_wallet")
     )
 
@@ -285,7 +285,7 @@ def candidate_users(spark, folder):
     f"with {MIXED_DELTAS} select distinct signature, mint from deltas where mint <> '{WSOL}'",
 )
 def mints_touched(spark, folder):
-    return deltas(spark, folder, mixed=True).select(
+    return deltas(spark, folder, mixed=True, programs=False).select(
         "signature", F.explode("mints_touched").alias("mint")
     )
 
@@ -311,7 +311,7 @@ def program_ids(spark, folder):
       left join raw_sol r on r.signature = 't' || o_orderkey""",
 )
 def delta_record(spark, folder):
-    return deltas(spark, folder, mixed=True).select(
+    return deltas(spark, folder, mixed=True, programs=False).select(
         "signature",
         "slot",
         "block_time",
@@ -376,7 +376,7 @@ def trade_columns(frame, prefix=""):
 )
 def swap_candidates(spark, folder):
     """Every trade each user may have made."""
-    out = T.trades_considered(deltas(spark, folder, mixed=True)).select(
+    out = T.trades_considered(deltas(spark, folder, mixed=True, programs=False)).select(
         "signature", F.explode("trades").alias("t")
     )
     return out.select("signature", *trade_columns(out, "t."))
@@ -387,7 +387,7 @@ def swap_candidates(spark, folder):
     f"""with {MIXED_TRADES} select side, tenths::bigint as tenths, count(*) as n from candidates group by all""",
 )
 def swap_confidence(spark, folder):
-    out = T.trades_considered(deltas(spark, folder, mixed=True)).select(F.explode("trades").alias("t"))
+    out = T.trades_considered(deltas(spark, folder, mixed=True, programs=False)).select(F.explode("trades").alias("t"))
     return (
         out.select("t.side", (-F.col("t.minus_tenths")).cast("bigint").alias("tenths"))
         .groupBy("side", "tenths")
@@ -405,7 +405,7 @@ SIMPLE_TRADES = f"{V.LINES}, {TOKEN_DELTAS}, {MERGED}, {CANDIDATES}, {BEST}"
 )
 def swap_inference(spark, folder):
     """The trade of each transaction, confidence at least 0.7."""
-    out = T.infer_trades(deltas(spark, folder))
+    out = T.infer_trades(deltas(spark, folder, programs=False))
     return out.select("signature", "slot", *trade_columns(out), "confidence")
 
 
@@ -417,7 +417,7 @@ def swap_inference(spark, folder):
 )
 def swap_inference_mixed(spark, folder):
     """As ``swap_inference`` with several owners, wrapped SOL and dollar legs."""
-    out = T.infer_trades(deltas(spark, folder, mixed=True))
+    out = T.infer_trades(deltas(spark, folder, mixed=True, programs=False))
     return out.select(
         "signature",
         "slot",
@@ -479,7 +479,7 @@ def mcap_at_swap(spark, folder):
             (F.col("p_size") % 10).alias("decimals"),
         )
     )
-    out = T.with_mcap(T.infer_trades(deltas(spark, folder)), supply)
+    out = T.with_mcap(T.infer_trades(deltas(spark, folder, programs=False)), supply)
     return out.select("signature", "base_mint", "mcap_at_swap", "price_sol")
 
 

@@ -82,11 +82,14 @@ MIXED_LINES = f"""lines as (
   from orders join lineitem on l_orderkey = o_orderkey)"""
 
 
-def tx(spark: SparkSession, folder: str, mixed: bool = False, suppliers: bool = False) -> DataFrame:
+def tx(
+    spark: SparkSession, folder: str, mixed: bool = False, suppliers: bool = False, programs: bool = True
+) -> DataFrame:
     """Each order with its lines as one transaction.
 
     ``mixed`` adds suppliers as owners and quote tokens as mints; ``suppliers`` adds the supplier
-    accounts, some of them new. Grouping is by order, whose lines are few by nature.
+    accounts, some of them new. Without ``programs`` no program is listed, for what looks at none: Spark does not
+    drop the lookup by itself. Grouping is by order, whose lines are few by nature.
     """
     orders = read_table(spark, folder, "orders")
     lines = read_table(spark, folder, "lineitem")
@@ -112,16 +115,13 @@ def tx(spark: SparkSession, folder: str, mixed: bool = False, suppliers: bool =
         F.when(returned, units).otherwise(zero).alias("pre"),
         F.when(returned, zero).otherwise(units).alias("post"),
     )
-    grouped = (
-        lookup_join(lines, parts, ["l_partkey"], "left")
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(
-            F.collect_list(balance).alias("b"),
-            F.sum(F.when(returned, cents).otherwise(-cents)).alias("sol"),
-            F.array_sort(F.collect_set("p_brand")).alias("programs"),
-            F.array_sort(F.collect_set("p_type")).alias("types"),
-            F.array_sort(F.collect_set("l_suppkey")).alias("supp"),
-        )
+    invoked = {"programs": "p_brand", "types": "p_type"} if programs else {}
+    lines = lookup_join(lines, parts, ["l_partkey"], "left") if programs else lines
+    grouped = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.collect_list(balance).alias("b"),
+        F.sum(F.when(returned, cents).otherwise(-cents)).alias("sol"),
+        *[F.array_sort(F.collect_set(c)).alias(name) for name, c in invoked.items()],
+        F.array_sort(F.collect_set("l_suppkey")).alias("supp"),
     )
     joined = orders.join(grouped, "o_orderkey", "left")
     payer = text("c", "o_custkey")
@@ -166,10 +166,10 @@ def tx(spark: SparkSession, folder: str, mixed: bool = False, suppliers: bool =
         pre.cast("array<bigint>").alias("pre_balances"),
         post.cast("array<bigint>").alias("post_balances"),
         F.lit(5000).cast("bigint").alias("fee"),
-        F.coalesce("programs", nothing).alias("programs_invoked"),
+        (F.coalesce("programs", nothing) if programs else nothing).alias("programs_invoked"),
         F.lit(False).alias("is_vote"),
         F.lit(False).alias("failed"),
-        F.coalesce("types", nothing).alias("inner_programs"),
+        (F.coalesce("types", nothing) if programs else nothing).alias("inner_programs"),
         "o_orderstatus",
     )
 

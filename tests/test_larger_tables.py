@@ -54,3 +54,8 @@ def test_table_beyond_the_limit_is_not_broadcast_by_its_files(spark):
         joined = lookup_join(facts, table, ["k"], salts=salts, broadcast_bytes=10_000)
         assert joined.count() == 40_000
         assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_changes_without_programs_join_no_parts(spark):
+    plan = entry.queries()["swap_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" not in plan and "l_partkey" in plan
