@@ -9,7 +9,7 @@ A text's n-gram frequencies are sums over its words, so each distinct word is sc
 the whole text is read, however long.
 
 Training uses at most ``SAMPLE`` labelled rows in all (and a quarter more), spread evenly over the
-languages: the documented bound of the classifier. It runs on the driver.
+languages: the documented bound of the classifier. It runs in one task; the driver gets the weights alone.
 
 **Edge cases.** A null text or one without any letter is ``und`` with score 0, and ambiguous; so is
 every text where no labelled row exists. With one language all other texts are that language. Ties go to
@@ -18,6 +18,8 @@ the first language by code point. Null languages and texts are not learned from.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import appended, coded, hash_sample, letters_grams, words_of
+from flowlens.llm.common import appended, coded, hash_sample, letters_grams, ranges, task, words_of
 
 SAMPLE = 1000
 SLOTS = 1 << 13
@@ -34,6 +36,8 @@ AMBIGUOUS = 0.6
 UNKNOWN = "und"
 # Characters of text that are worked on at once; what that takes is some fifty times as many bytes.
 SLICE = 512 << 10
+# The same for training, where each n-gram of each text is a number.
+TRAINING_SLICE = 64 << 10
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
@@ -73,6 +77,11 @@ def word_sums(words: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _features(texts: list[str], out: np.ndarray) -> None:
     """N-gram frequencies per text, into the zeros of ``out``."""
+    for lo, hi in ranges(np.array([len(t) for t in texts], np.int64), TRAINING_SLICE):
+        _slice_features(texts[lo:hi], out[lo:hi])
+
+
+def _slice_features(texts: list[str], out: np.ndarray) -> None:
     offsets, words = words_of(pa.array(texts, pa.string()))
     codes, distinct = coded(words)
     doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
@@ -134,8 +143,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     rows = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
     n = rows.select("lang").distinct().count()
     found = hash_sample(rows, "lang", max(1, sample // max(1, n))).select("sample_key", "doc_id", "lang", "text")
-    picked = sorted(map(tuple, found.collect()))
-    return train([r[3] for r in picked], [r[2] for r in picked])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picked = sorted(row for b in batches for row in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        model = pickle.dumps(train([r[3] for r in picked], [r[2] for r in picked]))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    made = found.coalesce(1).mapInArrow(task(run), "model binary").first()
+    return pickle.loads(bytes(made[0])) if made else train([], [])
 
 
 def _decide(model: LanguageModel):

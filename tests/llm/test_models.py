@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -146,3 +147,28 @@ def test_toxicity_edges(spark):
     assert toxicity.fit(docs, labels.filter("toxic = 1"), F.lit(True)) is None
     assert {r.toxic_score for r in toxicity.toxicity(docs, None).collect()} == {0.0}
     assert toxicity.toxicity(frame(spark, []), model).count() == 0
+
+
+def test_languages_are_learned_outside_the_driver(spark, monkeypatch):
+    rows = sentences(6, 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    at_hand, real = [], language.train
+    alone = real([t for _, t, _ in rows], [x for *_, x in rows])
+    monkeypatch.setattr(language, "train", lambda *a: at_hand.append(1) or real(*a))
+    model = language.fit(docs)
+    assert at_hand == [] and model.languages == alone.languages and model.weights.shape == alone.weights.shape
+    assert language.fit(docs.filter("false")).languages == []
+
+
+def test_training_counts_a_few_texts_at_once():
+    rng = random.Random(7)
+    texts = [prose(rng, 200, "abcdefghijklmnopqrstuvwxyz") for _ in range(600)]
+    apart = np.zeros((600, language.SLOTS), np.float32)
+    for k, text in enumerate(texts):
+        language._features([text], apart[k : k + 1])
+    together = np.zeros_like(apart)
+    tracemalloc.start()
+    language._features(texts, together)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (together == apart).all() and most < 15 << 20
