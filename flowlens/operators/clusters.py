@@ -16,7 +16,8 @@ class ClusterStore:
     """Two keyed tables of (node, component): ``labels`` by node, ``members`` by component (its least node).
 
     A batch of links is lifted to links between the labels of their ends; the components of that small graph
-    say which labels give way to which. Only the parts of the touched labels are read and written.
+    say which labels give way to which. Only the parts of the touched labels are read and written. Joins with stored
+    parts are by sort and merge: as compressed files they look small enough for Spark to broadcast them.
     """
 
     def __init__(self, spark: SparkSession, path: str, node: T.DataType, parts: int = 64) -> None:
@@ -41,7 +42,7 @@ class ClusterStore:
             ends = ends.unionByName(nodes.select(F.col("node").cast(kind).alias("node")))
         ends, _ = materialize(ends.filter("node is not null").distinct())
         known = self.labels.read(self.labels.parts_of(ends), version)
-        found = ends.join(known, "node", "left")
+        found = ends.join(known.hint("merge"), "node", "left")
         labelled, _ = materialize(
             found.select("node", F.coalesce("component", "node").alias("label"), F.col("component").isNull().alias("new"))
         )
@@ -58,6 +59,6 @@ class ClusterStore:
         changes, _ = materialize(relabelled.unionByName(fresh))
         self.labels.upsert(changes, version, overwrite=["component"])
         touched = self.members.parts_of(old) | self.members.parts_of(changes)
-        stay = self.members.read(touched, version).join(changes.select("node"), "node", "left_anti")
+        stay = self.members.read(touched, version).join(changes.select("node").hint("merge"), "node", "left_anti")
         self.members.replace(stay.select("node", "component").unionByName(changes), touched, version)
         return changes

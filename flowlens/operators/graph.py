@@ -20,7 +20,8 @@ def _relink(edges: DataFrame, on: str, minima: DataFrame, total: int) -> DataFra
     """Edges with the minimum of their ``on`` end as ``low``.
 
     Hot nodes are joined by broadcast: more than ``total / HOT_SHARE`` edges each makes them at
-    most ``2 * HOT_SHARE`` in number. All others are joined by shuffle, with no hot key left.
+    most ``2 * HOT_SHARE`` in number. All others are joined by shuffle, with no hot key left; the hint keeps Spark
+    from broadcasting them for the small files they come from, round after round through the driver.
     """
     limit = max(HOT_MIN, total // HOT_SHARE)
     if total <= limit:
@@ -28,7 +29,7 @@ def _relink(edges: DataFrame, on: str, minima: DataFrame, total: int) -> DataFra
     hot = minima.filter(F.col("degree") > limit).select(F.col("node").alias(on), "low")
     rest = minima.filter(F.col("degree") <= limit).select(F.col("node").alias(on), "low")
     by_broadcast = edges.join(F.broadcast(hot), on)
-    by_shuffle = edges.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on)
+    by_shuffle = edges.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest.hint("merge"), on)
     return by_broadcast.unionByName(by_shuffle)
 
 
@@ -90,6 +91,7 @@ def components(
     found = current.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     ends = edges.select(F.col(a).alias("node")).unionByName(edges.select(F.col(b).alias("node")))
     nodes = vertices.select("node").unionByName(ends).distinct()
+    found = found.hint("merge") if mark[0] > HOT_MIN else found
     return nodes.join(found, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )

@@ -238,7 +238,8 @@ def customer_edges(spark: SparkSession, folder: str) -> DataFrame:
     keys = read_table(spark, folder, "customer").select("c_custkey")
     funder = F.floor(F.col("c_custkey") / 7).cast("bigint")
     edges = keys.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("wallet"), funder.alias("funder"))
-    return edges.join(keys.select(F.col("c_custkey").alias("funder")), "funder", "left_semi").select(
+    known = keys.select(F.col("c_custkey").alias("funder")).hint("merge")
+    return edges.join(known, "funder", "left_semi").select(
         "wallet", "funder"
     )
 

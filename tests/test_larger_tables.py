@@ -1,9 +1,10 @@
 """What failed on larger tables: sums beyond bigint, batches without rows, micro-batches by setting instead of by rows."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from flowlens.session import shared_dir
+from flowlens.session import materialize, shared_dir
 from flowlens.streaming import jobs as J
 from flowlens.workload import q_stream
 
@@ -59,3 +60,19 @@ def test_table_beyond_the_limit_is_not_broadcast_by_its_files(spark):
 def test_changes_without_programs_join_no_parts(spark):
     plan = entry.queries()["swap_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "p_partkey" not in plan and "l_partkey" in plan
+
+
+def test_large_components_are_not_broadcast(spark, monkeypatch):
+    """Links come from small files, but only hot nodes may go through the driver: two joins of a step."""
+    from flowlens.operators import graph as G
+
+    def broadcasts(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+    monkeypatch.setattr(G, "HOT_MIN", 50)
+    links, _ = materialize(spark.range(1, 500).selectExpr("id as wallet", "id div 7 as funder").filter("wallet % 3 <> 0"))
+    edges, _ = materialize(links.selectExpr("wallet as hi", "funder as lo"))
+    minima, _ = materialize(edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("low"), F.count("*").alias("degree")))
+    assert broadcasts(G._relink(edges, "hi", minima, edges.count())) == 2
+    found = G.components(links.selectExpr("wallet as node"), links)
+    assert broadcasts(found) == 0 and found.filter("component = 0 and node = 7").isEmpty() is False
