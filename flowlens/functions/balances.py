@@ -38,7 +38,7 @@ def parse_balances(balances: Column, nested: bool = False) -> Column:
         raw = b["amount"]
         if nested:
             raw = F.coalesce(b["ui_token_amount"]["amount"], raw)
-        amount = F.coalesce(raw.cast("string").try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
+        amount = F.coalesce(raw.try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
         return F.struct(b["owner"].alias("owner"), b["mint"].alias("mint"), amount.alias("delta"))
 
     kept = F.filter(
@@ -71,25 +71,30 @@ def _negated(entries: Column) -> Column:
 
 
 def _sum_tokens(entries: Column) -> Column:
-    keys = F.array_distinct(
-        F.transform(entries, lambda e: F.struct(e["owner"].alias("o"), e["mint"].alias("m")))
-    )
-    return F.transform(
-        keys,
-        lambda k: F.struct(
-            k["o"].alias("owner"),
-            k["m"].alias("mint"),
-            F.aggregate(
-                entries,
-                F.lit(0).cast(AMOUNT),
-                lambda acc, e: F.when(
-                    (e["owner"] == k["o"]) & (e["mint"] == k["m"]),
-                    (acc + e["delta"]).cast(AMOUNT),
-                ).otherwise(acc),
-            ).alias("delta"),
-        ),
+    """One entry per (owner, mint). Entries that are that already are not summed; mints differ more often than owners."""
+    distinct = F.array_distinct(
+        F.transform(entries, lambda e: F.struct(e["mint"].alias("m"), e["owner"].alias("o")))
     )
 
+    def summed(keys: Column) -> Column:
+        return F.transform(
+            keys,
+            lambda k: F.struct(
+                k["o"].alias("owner"),
+                k["m"].alias("mint"),
+                F.aggregate(
+                    entries,
+                    F.lit(0).cast(AMOUNT),
+                    lambda acc, e: F.when(
+                        (e["mint"] == k["m"]) & (e["owner"] == k["o"]),
+                        (acc + e["delta"]).cast(AMOUNT),
+                    ).otherwise(acc),
+                ).alias("delta"),
+            ),
+        )
+
+    return let(distinct, lambda keys: F.when(F.size(keys) == F.size(entries), entries).otherwise(summed(keys)))
+
 
 def token_deltas(
     pre: Column, post: Column, on_duplicate: str = "sum", nested: bool = False
@@ -105,7 +110,8 @@ def token_deltas(
         parsed = parse_balances(b, nested)
         return let(parsed, _last_per_key) if on_duplicate == "last" else parsed
 
-    entries = F.concat(side(post), _negated(side(pre)))
+    # What is nothing on its side adds nothing, and each entry left out is one less to compare with all others.
+    entries = F.filter(F.concat(side(post), _negated(side(pre))), lambda e: e["delta"] != 0)
     return F.filter(let(entries, _sum_tokens), lambda e: e["delta"] != 0)
 
 

@@ -14,6 +14,14 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 # Planned sizes are those of compressed files. Rows in memory take ten times as much and more, so only a table planned
 # below this share of the limit is broadcast without being measured.
 PLANNED_SHARE = 16
+# A task's part of a keyed table below this size is kept as a hash table, so the facts are not sorted for the join.
+HASHED_BYTES = 64 * 1024 * 1024
+
+
+def shuffled(df: DataFrame, size: int) -> DataFrame:
+    """``df`` (of ``size`` bytes in memory, no hot key) hinted for a join by shuffle: hashed where a task's part is small, else sorted."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.hint("shuffle_hash" if size <= HASHED_BYTES * parts else "merge")
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -61,7 +69,8 @@ def lookup_join(
         if size <= broadcast_bytes:
             return facts.join(F.broadcast(table), keys, how)
     if salts <= 1 or size * salts > planned_bytes(facts):
-        return facts.join(table.hint("merge"), keys, how)
+        measured_table = not facts.isStreaming and not table.isStreaming
+        return facts.join(shuffled(table, size) if measured_table else table.hint("merge"), keys, how)
     spread = [c for c in facts.columns if c not in keys] or keys
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

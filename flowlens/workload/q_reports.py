@@ -298,7 +298,7 @@ def batch_timing(spark, folder):
 def pipeline_rates(spark, folder):
     """Throughput, errors (transactions without a balance), detection rate, confidence, repeated keys."""
     found = (
-        T.infer_trades(deltas(spark, folder))
+        T.infer_trades(deltas(spark, folder, programs=False))
         .agg(F.struct(F.count("*").alias("n"), F.sum("confidence_tenths").alias("tenths")))
         .scalar()
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlens.constants import USDC, WSOL
 from flowlens.functions.columns import epoch_seconds
-from flowlens.operators.lookups import lookup_join
+from flowlens.operators.lookups import PLANNED_SHARE, lookup_join, planned_bytes, shuffled
 from flowlens.sources.tables import read_table
 
 DAY = 86_400
@@ -123,7 +123,8 @@ def tx(
         *[F.array_sort(F.collect_set(c)).alias(name) for name, c in invoked.items()],
         F.array_sort(F.collect_set("l_suppkey")).alias("supp"),
     )
-    joined = orders.join(grouped, "o_orderkey", "left")
+    # Orders are flat and narrow beside their collected lines, which are not sorted once more where orders can be hashed.
+    joined = shuffled(orders, planned_bytes(orders) * PLANNED_SHARE).join(grouped, "o_orderkey", "left")
     payer = text("c", "o_custkey")
 
     def balances(side: str):
