@@ -11,7 +11,7 @@ from flowlens.constants import CONFIDENCE_CUT, PROGRAMS, WSOL
 from flowlens.functions import balances as B
 from flowlens.functions import swaps as S
 from flowlens.functions.columns import bind
-from flowlens.operators.lookups import lookup_join
+from flowlens.operators.lookups import BROADCAST_BYTES, lookup_join, measured
 from flowlens.operators.merge import insert_ignore
 
 
@@ -108,8 +108,8 @@ def trades_considered(deltas: DataFrame) -> DataFrame:
     return bind(users, {"trades": trades})
 
 
-def infer_trades(deltas: DataFrame, min_tenths: int = CONFIDENCE_CUT) -> DataFrame:
-    """The best trade of each transaction with at least ``min_tenths`` confidence."""
+def infer_trades(deltas: DataFrame, min_tenths: int = CONFIDENCE_CUT, carry: Sequence[str] = ()) -> DataFrame:
+    """The best trade of each transaction with at least ``min_tenths`` confidence, with the columns ``carry``."""
     best = bind(trades_considered(deltas), {"best": S.best_trade(F.col("trades"))})
     return (
         best.filter(F.col("best").isNotNull() & (-F.col("best.minus_tenths") >= min_tenths))
@@ -126,6 +126,7 @@ def infer_trades(deltas: DataFrame, min_tenths: int = CONFIDENCE_CUT) -> DataFra
             F.col("best.quote_amount").alias("quote_amount"),
             (-F.col("best.minus_tenths")).alias("confidence_tenths"),
             S.route_depth(F.col("programs_invoked")).alias("route_depth"),
+            *carry,
         )
         .withColumn("confidence", F.col("confidence_tenths") / F.lit(10.0))
         .withColumn("quote_lamports", S.quote_lamports(F.col("quote_mint"), F.col("quote_amount")))
@@ -155,13 +156,26 @@ def with_mcap(swaps: DataFrame, supply: DataFrame, wsol: str = WSOL) -> DataFram
 
 
 def backfill(deltas: DataFrame, hot_mints: DataFrame) -> DataFrame:
-    """Trades in stored delta records that involve a newly hot mint (``hot_mints.mint``)."""
+    """Trades in stored delta records that involve a newly hot mint (``hot_mints.mint``).
+
+    Hot mints that can be broadcast are looked up in each record where it lies: a record is told once for each hot mint it
+    touched, and counts where its trade is of that mint. So no record is shuffled. Only more hot mints than that are
+    met by a shuffle.
+    """
+    hot_mints = hot_mints.select("mint").distinct()
+    if not hot_mints.isStreaming:
+        hot_mints, size = measured(hot_mints)
+        if size <= BROADCAST_BYTES:
+            told = deltas.select("*", F.explode("mints_touched").alias("_mint"))
+            told = told.join(F.broadcast(hot_mints.select(F.col("mint").alias("_mint"))), "_mint", "left_semi")
+            found = infer_trades(told, carry=["_mint"]).filter("base_mint = _mint")
+            return found.select(F.col("base_mint").alias("mint"), *[c for c in found.columns if c not in ("base_mint", "_mint")])
     touched = deltas.select(F.explode("mints_touched").alias("mint"), "signature")
-    hits = lookup_join(touched, hot_mints.select("mint").distinct(), ["mint"], "left_semi")
+    hits = lookup_join(touched, hot_mints, ["mint"], "left_semi")
     wanted = hits.select("signature").distinct()
     chosen = deltas.join(wanted, "signature", "left_semi")
     found = infer_trades(chosen).withColumnRenamed("base_mint", "mint")
-    return lookup_join(found, hot_mints.select("mint").distinct(), ["mint"], "left_semi")
+    return lookup_join(found, hot_mints, ["mint"], "left_semi")
 
 
 def backfill_missing(
@@ -169,6 +183,8 @@ def backfill_missing(
 ) -> DataFrame:
     """``backfill`` to the end: with price and market cap, without the trades that ``stored``
     (signature, base_mint) already holds."""
+    hot = hot_mints.select(F.col("mint").alias("base_mint")).distinct()
+    supply = lookup_join(supply, hot, ["base_mint"], "left_semi")
     found = with_mcap(backfill(deltas, hot_mints).withColumnRenamed("mint", "base_mint"), supply)
     order = [F.asc("slot"), F.asc("user_wallet")]
     return insert_ignore(stored, found, ["signature", "base_mint"], order)
