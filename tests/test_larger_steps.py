@@ -76,8 +76,7 @@ def test_stored_periods_are_not_a_file_per_task(spark):
 def test_changes_with_and_without_repeated_keys(spark, pre, post, want):
     from flowlens.functions.balances import token_deltas
 
-    kind = "array<struct<owner string, mint string, amount decimal(20,0)>>".replace(" string", ":string").replace(" decimal", ":decimal")
-    row = spark.createDataFrame([(pre, post)], "pre array<struct<owner:string,mint:string,amount:long>>, post array<struct<owner:string,mint:string,amount:long>>")
-    row = row.select(F.col("pre").cast(kind), F.col("post").cast(kind))
+    kind = "array<struct<owner:string,mint:string,amount:long>>"
+    row = spark.createDataFrame([(pre, post)], f"pre {kind}, post {kind}")
     got = row.select(F.explode(token_deltas(F.col("pre"), F.col("post"))).alias("e")).select("e.*").collect()
     assert {(r.owner, r.mint): int(r.delta) for r in got} == want and len(got) == len(want)
