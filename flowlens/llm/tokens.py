@@ -25,14 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import SLICE_CHARS, Ragged, kept, ranges, slices, stored, task
+from flowlens.llm.common import Ragged, kept, ranges, slices, stored, task
 
 BLOCK_IDS = 1 << 16
 END_ID = 2
 # Distinct pieces whose ids a Python worker remembers; beyond it only those met again stay.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 # Bytes of unseen pieces that go to the tokenizer as one string.
 STRING_BYTES = 4096
+# Bytes of text that are encoded at once: a dozen arrays of that length are held beside them.
+ENCODE_BYTES = 512 << 10
 
 BLOCK_SCHEMA = (
     "shard int, block int, bits int, n_ids long,"
@@ -232,7 +234,7 @@ def _writer(path: str, end_id: int, block_ids: int):
         held = pa.array([], pa.int64()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         for batch in batches:
             ids = batch.column("doc_id")
-            for lo, texts in slices(batch.column("text"), SLICE_CHARS):
+            for lo, texts in slices(batch.column("text"), ENCODE_BYTES):
                 flat, counts = coder.encode(texts)
                 ended = np.full(len(flat) + len(counts), end_id, np.uint32)
                 ended[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from flowlens.llm import tokens
 from flowlens.llm.tokens import Encoder, bits_for, pack, token_index, unpack, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,3 +65,25 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert token_index(write_tokens(frame(spark, []), PATH)).count() == 0
+
+
+def test_batches_are_encoded_a_little_at_a_time(monkeypatch):
+    texts = [f"text {i} " * 4000 for i in range(60)]
+    taken = []
+
+    class Watched(Encoder):
+        def encode(self, texts):
+            taken.append(texts.nbytes)
+            return super().encode(texts)
+
+    class Task:
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(tokens, "encoder", Watched)
+    monkeypatch.setattr(tokens, "TaskContext", type("Tasks", (), {"get": staticmethod(Task)}))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    blocks = [r for b in tokens._writer(PATH, 2, 50_000)(iter([batch])) for r in b.to_pylist()]
+    got = [unpack(r["payload"], r["bits"], d["offset"], d["n"]).tolist() for r in blocks for d in r["docs"]]
+    assert got == [[*PLAIN.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert max(taken) < 600_000
