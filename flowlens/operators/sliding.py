@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.columns import wide
-from flowlens.operators.lookups import top_per_key
+from flowlens.operators.lookups import lookup_join, top_per_key
 from flowlens.session import materialize
 
 # Wallets listed per pane and wanted wallet; what is not listed is bounded by the next one's volume.
@@ -70,8 +70,6 @@ def sliding_totals(
         F.when(sell, _event(until("_sell"), sellers=-1)),
     ]
     if seen is not None:
-        from flowlens.operators.lookups import lookup_join
-
         rows = lookup_join(rows, seen.select("user_wallet", "first_seen"), ["user_wallet"], salts=1)
         # The last window end, as a multiple of the pane, at which the wallet is still new; then one pane more.
         last = (F.floor((F.col("first_seen") + length) / pane) * pane).cast("bigint") + pane
@@ -157,8 +155,8 @@ def sliding_top_wallets(
 
     Each pane lists its ``listed`` largest wallets; any other has at most the volume of the next one there. Only wallets
     that some pane lists get their window sums. A window's list is proven where its n-th sum is larger than the
-    bounds of its panes together, or where its panes list every wallet. The windows left over, if any, are
-    ranked over all their wallets. Volumes must not be negative.
+    bounds of its panes together, or where its panes list every wallet. In the windows left over, if any, all wallets
+    are summed, and those that reach the n-th sum of the listed ones are ranked. Volumes must not be negative.
     """
     check_length(pane, length)
     listed = listed or max(LISTED_LEAST, LISTED_PER_WANTED * n)
@@ -179,7 +177,7 @@ def sliding_top_wallets(
     open_, _ = materialize(
         bounds.join(last, ["mint", "win_end"], "left")
         .filter(F.col("_bound") >= F.coalesce("_last", F.lit(-1)))
-        .select("mint", "win_end")
+        .select("mint", "win_end", F.coalesce("_last", F.lit(-1)).alias("_last"))
     )
     if open_.isEmpty():
         return found
@@ -188,5 +186,7 @@ def sliding_top_wallets(
     spans = near.unionByName(near.withColumn("_span", F.col("_span") - 1)).distinct()
     again = rows.withColumn("_span", F.floor((F.col("pane") + pane) / length).cast("bigint"))
     again = again.join(spans, ["mint", "_span"], "left_semi").drop("_span")
-    rest = _largest(_window_sums(again, pane, length).join(open_, ["mint", "win_end"], "left_semi"), n)
+    # ``n`` listed wallets have ``_last`` or more there, so whoever has less needs no place in the ranking.
+    asked = lookup_join(_window_sums(again, pane, length), open_, ["mint", "win_end"], "inner")
+    rest = _largest(asked.filter("lamports >= _last").drop("_last"), n)
     return found.join(open_, ["mint", "win_end"], "left_anti").unionByName(rest)

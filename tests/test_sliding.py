@@ -81,6 +81,22 @@ def test_top_wallets(spark, listed, length):
     assert len(found) == len(want) and set(found) == want
 
 
+def test_windows_left_over_rank_few_wallets(spark, monkeypatch):
+    """All wallets of like volume: no window can be proven, yet only those that reach the known third sum are ranked."""
+    rows = [("m", 10 * p, f"w{w:03}", 1, 0, 1000 + (w * 7 + p * 3) % 50) for p in range(6) for w in range(300)]
+    frame = spark.createDataFrame(rows, PANES)
+    ranked, plain = [], sliding._largest
+    monkeypatch.setattr(sliding, "_largest", lambda sums, n: ranked.append(sums.count()) or plain(sums, n))
+    got = sliding.sliding_top_wallets(frame, 10, 40, 3, F.col("lamports"), 8).collect()
+    want = {
+        (mint, end, w, v)
+        for (mint, end), held in windows(rows, 10, 40).items()
+        for v, w in [(-a, b) for a, b in sorted((-x[2], w) for w, x in held.items())[:3]]
+    }
+    assert {(r.mint, r.win_end, r.user_wallet, int(r.lamports)) for r in got} == want
+    assert len(ranked) == 2 and 0 < ranked[1] < 300
+
+
 def shuffled_rows(df):
     """Records that the exchanges of a finished plan wrote."""
     plan, total, todo = df._jdf.queryExecution().executedPlan(), 0, []
