@@ -8,7 +8,9 @@ distance; the greatest of them bounds the score from above. A query evaluates ca
 their bounds and stops once no bound left can reach its k-th score, which is exact, ties included.
 
 The index is cut in blocks, and so are the queries; every block of queries meets every block of the index
-(a stated query set against all rows), each pair of blocks by itself, and the k best per query are merged.
+(a stated query set against all rows): one task per part of the stored index and part of the stored queries. It
+reads both parts, so neither side is copied or broadcast for that, carries its queries' k best from block to block
+of the index, and only those are merged. A task holds one part of the queries and one block of the index.
 
 **Edge cases.** Vectors that are null or hold a null or non-finite component take no part; vectors of
 different lengths are not compared; rows of the query's own id are not its candidates; repeated rows are
@@ -34,7 +36,7 @@ BATCH = 128
 SLACK = 0.5  # scores are whole, rounding of the bounds is far below
 
 _BLOCK = "block long, dim int, most long, ids binary, vectors binary"
-_PAIR = "query_id long, vec_id long, score long"
+_FOUND = "query_id long, vec_id long, score long"
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -43,6 +45,20 @@ def valid(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
 
 
+def packed(vectors: np.ndarray) -> bytes:
+    """Bytes of whole numbers, in the smallest of three widths that holds them all."""
+    for kind in (np.int16, np.int32):
+        if not vectors.size or (np.iinfo(kind).min <= vectors.min() and vectors.max() <= np.iinfo(kind).max):
+            return vectors.astype(kind).tobytes()
+    return vectors.tobytes()
+
+
+def unpacked(data: bytes, count: int, dim: int) -> np.ndarray:
+    if not count * dim:
+        return np.zeros((count, dim))
+    return np.frombuffer(data, f"i{len(data) // (count * dim)}").reshape(count, dim).astype(float)
+
+
 def _blocks(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId() << 32, 0
@@ -58,7 +74,7 @@ def _blocks(size: int):
                     {
                         "block": part + made, "dim": dim, "most": int((vectors**2).sum(axis=1).max()),
                         "ids": np.array([i for i, _ in rows], np.int64).tobytes(),
-                        "vectors": vectors.tobytes(),
+                        "vectors": packed(vectors),
                     }
                 ],
                 schema=pa.schema(
@@ -90,42 +106,63 @@ def lifted(vectors: np.ndarray, pivots: np.ndarray, most: int, query: bool) -> n
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def best_of(q: np.ndarray, bound: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: int, k: int):
-    """(ids, scores) of the k best candidates of one query, in bound order until exact stopping."""
-    order = np.argsort(-bound, kind="stable")
-    got_ids, got = np.zeros(0, np.int64), np.zeros(0)
-    for lo in range(0, len(order), BATCH):
+def best_of(q: np.ndarray, bound: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: int, k: int, held=None):
+    """(ids, scores) of the k best candidates of one query, in bound order until exact stopping.
+
+    ``held`` are those of other blocks of the index; places not taken yet score minus infinity.
+    """
+    got_ids, got = held or (np.zeros(0, np.int64), np.zeros(0))
+    order = np.argsort(-bound)
+    lo, size = 0, BATCH
+    while lo < len(order):
         if len(got) == k and bound[order[lo]] + SLACK < got[-1]:
             break
-        part = order[lo : lo + BATCH]
+        part = order[lo : lo + size]
+        lo, size = lo + size, 2 * size
         part = part[ids[part] != own]
-        all_ids, scores = np.append(got_ids, ids[part]), np.append(got, vectors[part] @ q)
-        top = np.lexsort((all_ids, -scores))[:k]
-        got_ids, got = all_ids[top], scores[top]
+        scores = vectors[part] @ q
+        if len(got) == k:
+            reach = scores >= got[-1]
+            part, scores = part[reach], scores[reach]
+        if len(part):
+            all_ids, scores = np.append(got_ids, ids[part]), np.append(got, scores)
+            top = np.lexsort((all_ids, -scores))[:k]
+            got_ids, got = all_ids[top], scores[top]
     return got_ids, got
 
 
 def _search(k: int, most: int, pivots: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Per block of queries: their ids, and the ids and scores of the k best so far.
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        at = None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                dim = row["dim"]
-                ids = np.frombuffer(row["ids"], np.int64)
-                vectors = np.frombuffer(row["vectors"], np.int64).reshape(len(ids), dim).astype(float)
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                queries = np.frombuffer(row["q_vectors"], np.int64).reshape(len(q_ids), dim).astype(float)
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                dim = row["dim"].as_py()
                 chosen = pivots.get(dim, np.zeros((0, dim)))
-                table = np.frombuffer(row["distances"], np.float64).reshape(len(ids), -1) if len(chosen) else np.zeros((len(ids), 1))
-                mine = lifted(queries, chosen, most, query=True) if len(chosen) else np.zeros((len(q_ids), 1))
+                if at != row["block"].as_py():
+                    at, ids = row["block"].as_py(), np.frombuffer(row["ids"].as_py(), np.int64)
+                    vectors = unpacked(row["vectors"].as_py(), len(ids), dim)
+                    table = np.zeros((1, len(ids)))
+                    if len(chosen):
+                        table = np.frombuffer(row["distances"].as_py(), np.float64).reshape(len(chosen), -1)
+                block = row["q_block"].as_py()
+                if block not in held:
+                    own = np.frombuffer(row["q_ids"].as_py(), np.int64)
+                    held[block] = own, np.zeros((len(own), k), np.int64), np.full((len(own), k), -np.inf)
+                own, best_ids, best = held[block]
+                queries = unpacked(row["q_vectors"].as_py(), len(own), dim)
+                mine = lifted(queries, chosen, most, query=True) if len(chosen) else np.zeros((len(own), 1))
                 norms = (queries**2).sum(axis=1)
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for j, q in enumerate(queries):
-                    least = np.abs(table - mine[j]).max(axis=1)
-                    found, scores = best_of(q, (norms[j] + most - least**2) / 2, ids, vectors, q_ids[j], k)
-                    out.append((np.full(len(found), q_ids[j]), found, scores))
-                columns = [np.concatenate([o[c] for o in out]).astype(np.int64) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+                    least = np.abs(table - mine[j][:, None]).max(axis=0)
+                    bound = (norms[j] + most - least**2) / 2
+                    best_ids[j], best[j] = best_of(q, bound, ids, vectors, own[j], k, (best_ids[j], best[j]))
+        for own, best_ids, best in held.values():
+            real = best > -np.inf
+            columns = [np.repeat(own, real.sum(axis=1)), best_ids[real], best[real].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -149,22 +186,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
                 batch.column("dim").to_pylist(), batch.column("vectors").to_pylist(),
                 pc.binary_length(batch.column("ids")).to_pylist(), strict=True,
             ):
-                x = np.frombuffer(data, np.int64).reshape(count // 8, dim).astype(float)
-                out.append(lifted(x, pivots[dim], most, query=False).tobytes() if dim in pivots else b"")
+                x = unpacked(data, count // 8, dim)
+                out.append(lifted(x, pivots[dim], most, query=False).T.tobytes() if dim in pivots else b"")
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "distances"]
             )
 
-    index = stored(blocks.mapInArrow(task(measured), _BLOCK + ", distances binary"))
-    queries = stored(rows.filter(is_query).coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(task(_blocks(QUERY_ROWS)), _BLOCK))
-    # Queries are the smaller side: a copy of each of their blocks goes to every group of index blocks.
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    place = index.withColumn("place", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    # Blocks are dealt evenly, for the input's files may be few: what is stored together is searched by one task.
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    index = stored(blocks.repartition(parts).mapInArrow(task(measured), _BLOCK + ", distances binary"))
+    asked = rows.filter(is_query).coalesce(parts).mapInArrow(task(_blocks(QUERY_ROWS)), _BLOCK)
+    queries = stored(asked.repartition(parts))
+    # Without the hint the smaller side would be broadcast, or all blocks of one dimension be dealt to one task.
     sent = queries.select(
-        "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("place"),
-    )
-    found = place.join(sent, ["place", "dim"]).mapInArrow(task(_search(k, most, pivots)), _PAIR)
+        "dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
+    )
+    met = index.drop("most").join(sent.hint("shuffle_replicate_nl"), "dim")
+    found = met.mapInArrow(task(_search(k, most, pivots)), _FOUND)
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

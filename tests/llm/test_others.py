@@ -361,3 +361,40 @@ def test_bound_stops_early_and_exactly():
 def test_top_k_empty(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(empty, F.col("vec_id") % 10 == 0, 5).count() == 0
+
+
+def test_top_k_copies_no_queries(spark):
+    rows = [(i, v) for i, v in vectors(1, 300) if v is not None and i is not None]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Once a copy of the queries per group of index blocks was broadcast, through the driver.
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
+
+
+def test_top_k_carries_the_best_over_blocks():
+    rng = np.random.default_rng(2)
+    x = np.floor(256 * rng.normal(size=(600, 6)))
+    x[300:] = x[:300]  # ties across blocks
+    for q in x[:20]:
+        held = np.zeros(5, np.int64), np.full(5, -np.inf)
+        for lo in (400, 200, 0):
+            ids = np.arange(lo, lo + 200)
+            held = topk.best_of(q, x[ids] @ q, ids, x[ids], 3, 5, held)
+        others = np.delete(np.arange(600), 3)
+        assert held[0].tolist() == others[np.lexsort((others, -(x[others] @ q)))[:5]].tolist()
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e4])
+def test_top_k_of_wide_components(spark, monkeypatch, scale):
+    monkeypatch.setattr(topk, "INDEX_ROWS", 16)
+    rng = np.random.default_rng(3)
+    rows = [(i, [scale * float(x) for x in rng.integers(-4, 5, 3) * (i % 7 == 0)]) for i in range(60)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 5)
+    assert sorted(map(tuple, found.collect())) == plain_top(rows, 10, 5)
+
+
+def test_packed_widths():
+    for top, width in ((32767, 2), (-32768, 2), (32768, 4), (-(2**31), 4), (2**31, 8)):
+        data = topk.packed(np.array([[top, 0]]))
+        assert len(data) == 2 * width and topk.unpacked(data, 1, 2).tolist() == [[top, 0]]
+    assert topk.unpacked(topk.packed(np.zeros((3, 0), np.int64)), 3, 0).shape == (3, 0)
