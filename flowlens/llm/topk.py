@@ -35,6 +35,9 @@ INDEX_ROWS, QUERY_ROWS = 4096, 512
 BATCH = 128
 SLACK = 0.5  # scores are whole, rounding of the bounds is far below
 
+# Spark reads a whole row group of such long rows at once; Parquet would not close one below 100 rows.
+ROW_GROUPS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1}
+
 _BLOCK = "block long, dim int, most long, ids binary, vectors binary"
 _FOUND = "query_id long, vec_id long, score long"
 
@@ -171,7 +174,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best of ``vectors`` (vec_id, embedding) per query."""
     spark = vectors.sparkSession
     rows = valid(vectors).select("vec_id", "embedding")
-    blocks = stored(rows.mapInArrow(task(_blocks(INDEX_ROWS)), _BLOCK))
+    blocks = stored(rows.mapInArrow(task(_blocks(INDEX_ROWS)), _BLOCK), **ROW_GROUPS)
     most = blocks.agg(F.max("most")).first()[0] or 0
     # The pivots are a sample of fixed size; those of another length than a block's are of no use to it.
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("embedding").collect()
@@ -194,9 +197,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
 
     # Blocks are dealt evenly, for the input's files may be few: what is stored together is searched by one task.
     parts = max(1, spark.sparkContext.defaultParallelism)
-    index = stored(blocks.repartition(parts).mapInArrow(task(measured), _BLOCK + ", distances binary"))
+    index = stored(blocks.repartition(parts).mapInArrow(task(measured), _BLOCK + ", distances binary"), **ROW_GROUPS)
     asked = rows.filter(is_query).coalesce(parts).mapInArrow(task(_blocks(QUERY_ROWS)), _BLOCK)
-    queries = stored(asked.repartition(parts))
+    queries = stored(asked.repartition(parts), **ROW_GROUPS)
     # Without the hint the smaller side would be broadcast, or all blocks of one dimension be dealt to one task.
     sent = queries.select(
         "dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")

@@ -1,16 +1,19 @@
 import math
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from helpers import corpus, frame, words
 from pyspark.sql import functions as F
 
 from flowlens.llm import decontaminate, licences, mixing, topk
+from flowlens.llm.common import stored_at
 
 
 # --- licences ----------------------------------------------------------------------------------
@@ -398,3 +401,15 @@ def test_packed_widths():
         data = topk.packed(np.array([[top, 0]]))
         assert len(data) == 2 * width and topk.unpacked(data, 1, 2).tolist() == [[top, 0]]
     assert topk.unpacked(topk.packed(np.zeros((3, 0), np.int64)), 3, 0).shape == (3, 0)
+
+
+def test_blocks_are_stored_in_small_row_groups(spark):
+    def rows(batches):
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array([np.random.default_rng().bytes(1 << 20)])], names=["vectors"])
+
+    _, path = stored_at(spark.range(40).coalesce(1).mapInArrow(rows, "vectors binary"), **topk.ROW_GROUPS)
+    (file,) = Path(path.removeprefix("file:")).glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_rows == 40 and max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 20 << 20
